@@ -49,9 +49,12 @@ def header_for(header: Column, names: Sequence[str]) -> Column:
 
     Among headers that differ only in case, the last one stands for the name.
     """
-    lowered = F.transform(header, lambda h: F.struct(F.lower(h).alias("low"), h.alias("raw")))
-    picks = [F.try_element_at(F.filter(lowered, lambda h, n=n: h["low"] == n), F.lit(-1))["raw"] for n in names]
-    return F.coalesce(*picks)
+
+
+    def last_named(name: str) -> Column:
+        return F.try_element_at(F.filter(header, lambda h: F.lower(h) == name), F.lit(-1))
+
+    return F.coalesce(*[last_named(n) for n in names])
 
 
 def header_index(header: Column, name: Column) -> Column:
