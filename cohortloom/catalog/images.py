@@ -199,7 +199,11 @@ def label_masks(spark, sf):
     )
 
 
-@register("B30")
+@register(
+    "B30",
+    sql="""select vec_id, label, case when label < 6 then label * 20
+             else 50 + cast(concat('0x', substr(md5(cast(label as varchar)), 1, 8)) as bigint) % 205 end as red from embeddings""",
+)
 def label_colors(spark, sf):
     """Known labels get their table value, unknown ones a reproducible default."""
     known = table(spark, sf, "embeddings").select("label").distinct().filter("label < 6")

@@ -161,9 +161,10 @@ def attach_predictions(labels: DataFrame, predictions: DataFrame, key: str) -> D
 
 
 def lookup_or_hash(df: DataFrame, table: DataFrame, label: str, value: str) -> DataFrame:
-    """Attribute of a label; unknown labels get a reproducible default in 50..254, label 0 gets 0."""
+    """Attribute of a label; unknown labels get a default in 50..254 from their digest, label 0 gets 0."""
     found = attach_group(df, table.select(label, value), [label])
+    digest = F.conv(F.substring(F.md5(F.col(label).cast("string").cast("binary")), 1, 8), 16, 10)
     default = F.when(F.col(label) == 0, F.lit(0)).otherwise(
-        F.lit(50) + F.pmod(F.xxhash64(label), F.lit(205)).cast("int")
+        (F.lit(50) + digest.cast("long") % 205).cast("int")
     )
     return found.withColumn(value, F.coalesce(F.col(value), default))

@@ -23,58 +23,53 @@ SAMPLES_PER_RANGE = 20
 MAX_RANGES = 2048
 
 
-def _key(cols: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
+def _cut_points(df: DataFrame, cols: Sequence[str], ranges: int) -> tuple[list[str], list]:
+    """The leading order columns that are needed to cut the order, and the cut keys.
 
-
-def _cut_points(df: DataFrame, cols: Sequence[str], ranges: int) -> list:
-    """Evenly spaced keys of a bounded sample: the keys with the smallest hashes.
-
-    Sampling only places the cuts; every row is kept and numbered.
+    The sample is bounded: the keys with the smallest hashes, which picks rows evenly and gives the
+    same keys every time.  It only places the cuts; every row is kept and numbered.  A column is
+    added to the cut key while sampled rows still share the shorter key, so that a frequent leading
+    value is cut by the columns behind it.
     """
-    keys = df.select(*cols)
-    sample = (
-        keys.orderBy(F.xxhash64(*cols), *cols).limit(ranges * SAMPLES_PER_RANGE).select(_key(cols).alias("k"))
-    )
-    ordered = sample.agg(F.array_sort(F.collect_list("k")).alias("ks")).select(
-        F.size("ks").alias("n"),
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max(ranges - 1, 1))),
-            lambda i: F.get(F.col("ks"), (i * F.size("ks") / F.lit(ranges)).cast("int")),
-        ).alias("cuts"),
-    )
-    row = ordered.first()
-    if row is None or row["n"] < ranges or ranges < 2:
-        return []
-    return [c for c in row["cuts"] if c is not None]
+    if ranges < 2:
+        return [], []
+    sample = df.select(*cols).orderBy(F.xxhash64(*cols)).limit(ranges * SAMPLES_PER_RANGE)
+    keys = [tuple(r) for r in sample.orderBy(*cols).collect()]
+    if len(keys) < ranges:
+        return [], []
+    most = SAMPLES_PER_RANGE // 4
+    width = 1
+    while width < len(cols) and any(
+        keys[i][:width] == keys[i + most][:width] for i in range(len(keys) - most)
+    ):
+        width += 1
+    cuts = [keys[i * len(keys) // ranges][:width] for i in range(1, ranges)]
+    return list(cols[:width]), [c for c in cuts if width > 1 or c[0] is not None]
 
 
 def _range_of(cols: Sequence[str], cuts: list, schema) -> Column:
-    """Number of cut points not above the row's key, by binary search."""
+    """Number of cut points not above the row's key, by binary search in a constant array."""
     if not cuts:
         return F.lit(0)
     types = [schema[c].dataType for c in cols]
-    table = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(cols, cut, types)])
-            for cut in cuts
-        ]
-    )
-    steps = len(cuts).bit_length() + 1
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    key = _key(cols)
-
-    def narrow(acc, _):
-        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
-        below = F.get(table, mid) <= key
-        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(
-            F.struct(
-                F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-                F.when(below, acc["hi"]).otherwise(mid).alias("hi"),
-            )
+    if len(cols) == 1:
+        key = F.col(cols[0])
+        table = F.array(*[F.lit(cut[0]).cast(types[0]) for cut in cuts])
+    else:
+        key = F.struct(*[F.col(c) for c in cols])
+        table = F.array(
+            *[
+                F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(cols, cut, types)])
+                for cut in cuts
+            ]
         )
+    table = F.sort_array(table)  # foldable, so sorted once per plan
+    strides = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+
+    def advance(found, stride):
+        return F.when(F.get(table, found + stride - 1) <= key, found + stride).otherwise(found)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow, lambda acc: acc["lo"])
+    return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), advance)
 
 
 def running_totals(
@@ -84,21 +79,23 @@ def running_totals(
     by: Sequence[str] = (),
     totals: bool = True,
     ranges: int | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``weights`` along ``order`` within ``by``, with group totals.
 
     ``order`` must be a total order within ``by``.  Each weight ``w`` gives the columns ``w`` (the
-    running sum) and, with ``totals``, ``w_total``.
+    running sum) and, with ``totals``, ``w_total``.  ``profile`` is a cheaper table with the same
+    keys to place the cuts by, for instance ``df`` before a join.
     """
     by, order = list(by), list(order)
     cols = by + [c for c in order if c not in by]
     if ranges is None:
         ranges = min(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    cuts = _cut_points(df, cols, ranges)
+    cut_cols, cuts = _cut_points(df if profile is None else profile, cols, ranges)
 
     names = list(weights)
     placed = df.withColumns({f"_w_{n}": c for n, c in weights.items()}).withColumn(
-        "_range", _range_of(cols, cuts, df.schema).cast("int")
+        "_range", _range_of(cut_cols, cuts, df.schema)
     )
     cell = ["_range", *by]
     within = Window.partitionBy(*cell)
@@ -157,18 +154,18 @@ def batch_slice(df: DataFrame, order: Sequence[str], batch_id: int, size: int) -
     return ranked.filter(F.col("_pos").between(start + 1, start + size)).drop("_pos")
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Integer quotient."""
+    return F.call_function("div", a, b)
+
+
 def fold_of(position: Column, total: Column, k: int) -> Column:
     """Contiguous fold (1..k) of a 1-based position; the first ``total mod k`` folds hold one more."""
-    base = F.floor(total / F.lit(k))
-    extra = total % F.lit(k)
-    wide = extra * (base + 1)
+    size = _div(total, F.lit(k))
+    wide = total % F.lit(k) * (size + 1)
     p = position - 1
-    return (
-        F.when(p < wide, F.floor(p / (base + 1)))
-        .otherwise(extra + F.floor((p - wide) / F.greatest(base, F.lit(1))))
-        .cast("int")
-        + 1
-    )
+    late = total % F.lit(k) + _div(p - wide, F.greatest(size, F.lit(1)))
+    return F.when(p < wide, _div(p, size + 1)).otherwise(late).cast("int") + 1
 
 
 def kfold(df: DataFrame, k: int, order: Sequence[str], name: str = "fold") -> DataFrame:

@@ -212,7 +212,7 @@ def with_places(
     ``o`` before it.  All k + 1 inner splits therefore come from one pass of running counts.
     """
     sizes = group_sizes(df, group)
-    outer = assign_groups(sizes, group, "_n_rows", k)
+    outer = materialize(assign_groups(sizes, group, "_n_rows", k), "groups")
     if inner_grouped:
         sized = sizes.join(outer, group)
         for o in range(1, k + 1):
@@ -227,7 +227,7 @@ def with_places(
         weights = {"_c0": F.lit(1).cast("long")}
         for o in range(1, k + 1):
             weights[f"_c{o}"] = (F.col("fold") == o).cast("long")
-        placed = running_totals(placed, order, weights)
+        placed = running_totals(placed, order, weights, profile=df)
         inner = [fold_of(F.col("_c0"), F.col("_c0_total"), k)]
         for o in range(1, k + 1):
             place = F.col("_c0") - F.col(f"_c{o}")
