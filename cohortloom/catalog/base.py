@@ -115,6 +115,21 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- grouped folds: largest group first, each to the lightest fold -----------------------------------
+
+FOLDS_SQL = """
+  g as (select l_suppkey, count(*) as n, row_number() over (order by count(*) desc, l_suppkey) as r from lineitem group by 1),
+  w as (select cast(0 as bigint) as r, cast([0, 0, 0, 0, 0] as bigint[]) as loads, 0 as fold
+        union all
+        select g.r, list_transform(loads, lambda x, i: case when i = list_position(loads, list_min(loads)) then x + g.n else x end),
+               cast(list_position(loads, list_min(loads)) as int)
+        from w join g on g.r = w.r + 1),
+  q as (select n, fold, count(*) as c from w join g using (r) group by 1, 2),
+  b as (select n, fold, sum(c) over (partition by n order by fold) as hi, c from q),
+  k as (select l_suppkey, n, row_number() over (partition by n order by l_suppkey) as rk from g),
+  gf as (select k.l_suppkey, b.fold, k.n from k join b on k.n = b.n and k.rk > b.hi - b.c and k.rk <= b.hi)"""
+
+
 # --- images joined to labels -----------------------------------------------------------------------
 
 JOINED_SQL = f"""

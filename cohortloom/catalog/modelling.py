@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortloom.catalog.base import VOLUME_SQL, register, table, volumes
+from cohortloom.catalog.base import FOLDS_SQL, VOLUME_SQL, register, table, volumes
 from cohortloom.operators.aggregates import regression_metrics
 from cohortloom.operators.reshape import array_of, assemble
 from cohortloom.operators.ridge import (
@@ -107,6 +107,59 @@ def out_of_fold_predictions(spark, sf):
     )
 
 
+# The same search for one feature, where every solve is a closed form.  Split 0 uses all rows.
+_ONE_FEATURE_SQL = f"""
+  with recursive {FOLDS_SQL},
+  m as (select avg(l_quantity) as mx, avg(l_extendedprice) as my from lineitem),
+  d as (select l.*, gf.fold, l_quantity - mx as x, l_extendedprice - my as y
+        from lineitem l join gf using (l_suppkey), m),
+  t as (select o, d.*, ntile(5) over (partition by o order by {", ".join(ROW_ORDER)}) as piece
+        from d join (select unnest([0, 1, 2, 3, 4, 5]) as o) on fold <> o),
+  s as (select o, piece, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy
+        from t group by 1, 2),
+  a as (select o, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy,
+               sqrt(sum(sxx) / sum(n) - power(sum(sx) / sum(n), 2)) as sd from s group by 1),
+  p as (select unnest([0.1::double, 10.0, 1000.0]) as alpha),
+  f as (select o, piece, alpha, ((a.sxy - s.sxy) - (a.sx - s.sx) * (a.sy - s.sy) / (a.n - s.n)) / sd as c,
+               ((a.sxx - s.sxx) - power(a.sx - s.sx, 2) / (a.n - s.n)) / (sd * sd) as v, sd,
+               (a.sx - s.sx) / (a.n - s.n) as ux, (a.sy - s.sy) / (a.n - s.n) as uy,
+               s.n, s.sx, s.sy, s.sxx, s.sxy, s.syy from s join a using (o), p),
+  e as (select *, c / (v + alpha) / sd as slope, uy - c / (v + alpha) / sd * ux as base from f),
+  r as (select o, alpha, avg(1 - (syy + n * base * base + slope * slope * sxx - 2 * base * sy - 2 * slope * sxy + 2 * base * slope * sx)
+                                 / (syy - sy * sy / n)) as score from e group by 1, 2),
+  z as (select o, arg_max(alpha, score) as alpha from r group by 1),
+  h as (select o, alpha, sd, (sxy - sx * sy / n) / sd / ((sxx - sx * sx / n) / (sd * sd) + alpha) as std_coef,
+               sx / n as ux, sy / n as uy from a join z using (o))"""
+
+
+def _fit_one(spark, sf):
+    rows = table(spark, sf, "lineitem").select(*ROW_ORDER, array_of(["l_quantity"]))
+    return nested_cv(rows, "l_suppkey", ROW_ORDER, "features", "l_extendedprice", 5, ALPHAS)
+
+
+@register(
+    "I4",
+    "I5",
+    sql=f"""{_ONE_FEATURE_SQL}
+      select l_orderkey, l_linenumber, l_partkey, fold, alpha, round(my + uy + std_coef / sd * (x - ux), 2) as prediction
+      from d join h on fold = o, m""",
+)
+def out_of_fold_one_feature(spark, sf):
+    return predict_oof(_fit_one(spark, sf), "features", "l_extendedprice").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "fold", "alpha", F.round("prediction", 2).alias("prediction")
+    )
+
+
+@register(
+    "I6",
+    sql=f"""{_ONE_FEATURE_SQL} select 'l_quantity' as feature, round(std_coef, 3) as standardized_coefficient, alpha from h where o = 0""",
+)
+def final_one_feature(spark, sf):
+    model = _fit_one(spark, sf).final
+    out = coefficients(spark, model, ["l_quantity"]).withColumn("alpha", F.lit(model.alpha))
+    return out.withColumn("standardized_coefficient", F.round("standardized_coefficient", 3))
+
+
 @register("I6")
 def final_coefficients(spark, sf):
     table_ = coefficients(spark, _fit(spark, sf).final, FEATURES)

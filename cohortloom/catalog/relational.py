@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortloom.catalog.base import IMAGE_SQL, VOLUME_SQL, images, register, table, volumes
+from cohortloom.catalog.base import FOLDS_SQL, IMAGE_SQL, VOLUME_SQL, images, register, table, volumes
 from cohortloom.functions.names import capture, swap_suffix
 from cohortloom.operators.aggregates import qc_summary
 from cohortloom.operators.filters import (
@@ -236,14 +236,7 @@ def contiguous_folds(spark, sf):
 
 @register(
     "F6",
-    sql="""
-      with recursive g as (select l_suppkey, count(*) as n, row_number() over (order by count(*) desc, l_suppkey) as r
-                           from lineitem group by 1),
-      w as (select cast(0 as bigint) as r, cast([0, 0, 0, 0, 0] as bigint[]) as loads, 0 as fold
-            union all
-            select g.r, list_transform(loads, lambda x, i: case when i = list_position(loads, list_min(loads)) then x + g.n else x end),
-                   cast(list_position(loads, list_min(loads)) as int)
-            from w join g on g.r = w.r + 1)
+    sql=f"""with recursive {FOLDS_SQL}
       select fold, count(*) as n_groups, cast(sum(n) as bigint) as n_rows from w join g using (r) group by 1""",
 )
 def grouped_fold_loads(spark, sf):
@@ -254,7 +247,7 @@ def grouped_fold_loads(spark, sf):
     return groups.groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_rows"))
 
 
-@register("F6")
+@register("F6", sql=f"with recursive {FOLDS_SQL} select l_suppkey, fold from gf")
 def grouped_folds(spark, sf):
     """Fold of each group; within a size class the assignment follows the group id."""
     rows = table(spark, sf, "lineitem").select("l_suppkey")

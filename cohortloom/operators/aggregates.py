@@ -16,6 +16,7 @@ from cohortloom.functions.missing import nan_to_null
 from cohortloom.functions.scalars import clip_upper
 from cohortloom.operators.joins import attach_group
 from cohortloom.operators.positions import quantiles
+from cohortloom.session import materialize
 
 
 def value_counts(df: DataFrame, col: str, k: int | None = None, name: str = "count") -> DataFrame:
@@ -192,12 +193,11 @@ def bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR, and outlier count per group."""
-    quart = quantiles(
-        df.filter(F.col(by).isNotNull()), value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by], "n_values"
-    )
+    kept = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
+    marks = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quart = materialize(quantiles(kept, value, marks, [by], "n_values"), "quartiles")
     iqr = F.col("q3") - F.col("q1")
     fences = quart.withColumns({"_low": F.col("q1") - 1.5 * iqr, "_high": F.col("q3") + 1.5 * iqr})
-    kept = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
     counts = kept.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = attach_group(counts, fences.select(by, "_low", "_high"), [by], "inner")
     inside = F.col(value).between(F.col("_low"), F.col("_high"))

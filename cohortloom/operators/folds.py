@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cohortloom.operators.joins import attach_group
 from cohortloom.operators.positions import with_position
+from cohortloom.session import materialize
 
 
 def lightest_first(classes: list[tuple[int, int]], k: int) -> dict[int, list[int]]:
@@ -77,5 +78,5 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
 
 def group_kfold(df: DataFrame, group: str, k: int, name: str = "fold") -> DataFrame:
     """Append the fold of each row's group; ``k`` is lowered to the number of groups."""
-    folds = assign_groups(group_sizes(df, group), group, "_n_rows", k, name)
+    folds = materialize(assign_groups(group_sizes(df, group), group, "_n_rows", k, name), "groups")
     return attach_group(df, folds, [group], "inner")
