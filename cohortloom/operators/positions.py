@@ -94,7 +94,8 @@ def running_totals(
     cut_cols, cuts = _cut_points(df if profile is None else profile, cols, ranges)
 
     names = list(weights)
-    placed = df.withColumns({f"_w_{n}": c for n, c in weights.items()}).withColumn(
+    counted = {f"_w_{n}": F.coalesce(c, F.lit(0)) for n, c in weights.items()}
+    placed = df.withColumns(counted).withColumn(
         "_range", _range_of(cut_cols, cuts, df.schema)
     )
     cell = ["_range", *by]

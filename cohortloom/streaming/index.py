@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
 def stream_files(spark: SparkSession, root: str, glob: str = "*.nii*") -> DataFrame:
     """New files below ``root`` as a stream of ``path, modificationTime, length, content``."""
     return (
         spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(root)
