@@ -37,7 +37,7 @@ def _listing(spark, sf):
 )
 def scan_status(spark, sf):
     plan = plan_paths(_inputs(spark, sf), "cohort")
-    return work_status(plan, _listing(spark, sf), "path").select("doc_id", "status")
+    return work_status(plan, _listing(spark, sf), "cohort").select("doc_id", "status")
 
 
 @register(

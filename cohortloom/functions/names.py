@@ -90,14 +90,11 @@ def first_token(c: Column) -> Column:
     return F.split_part(c, F.lit("_"), F.lit(1))
 
 
-def plan_paths(
-    df: DataFrame, root: str, path: str = "path", space: str = TEMPLATE_SPACE
-) -> DataFrame:
-    """The six output paths that belong to an input image."""
-    stem = image_stem(F.col(path))
+def output_layout(root: str, space: str = TEMPLATE_SPACE) -> dict[str, tuple[str, str]]:
+    """Directory and name ending of the six outputs; the image stem stands between them."""
     base = f"{root.rstrip('/')}/" if root else ""
     seg = f"{base}derivatives/synthseg/"
-    outputs = {
+    return {
         "processed": (f"{base}processed/", f"_space-{space}_desc-processed.nii.gz"),
         "mask": (f"{base}derivatives/masks/", f"_space-{space}_desc-brain_mask.nii.gz"),
         "xfm": (f"{base}derivatives/transforms/", f"_from-native_to-{space}_mode-image_xfm.mat"),
@@ -105,8 +102,18 @@ def plan_paths(
         "vol": (seg, "_volumes.csv"),
         "qc": (seg, "_qc.csv"),
     }
+
+
+def plan_paths(
+    df: DataFrame, root: str, path: str = "path", space: str = TEMPLATE_SPACE
+) -> DataFrame:
+    """The six output paths that belong to an input image."""
+    stem = image_stem(F.col(path))
     return df.withColumns(
-        {name: F.concat(F.lit(a), stem, F.lit(b)) for name, (a, b) in outputs.items()}
+        {
+            name: F.concat(F.lit(folder), stem, F.lit(ending))
+            for name, (folder, ending) in output_layout(root, space).items()
+        }
     )
 
 

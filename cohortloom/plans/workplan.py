@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.config import OUTPUT_DIRECTORIES
-from cohortloom.functions.names import base_name, plan_paths
+from cohortloom.config import OUTPUT_DIRECTORIES, TEMPLATE_SPACE
+from cohortloom.functions.names import base_name, image_stem, output_layout, plan_paths
 from cohortloom.operators.filters import outside_directories
 from cohortloom.operators.joins import keyed_join
 from cohortloom.operators.ordering import path_key, take_exact
@@ -16,25 +16,32 @@ STAGE_OUTPUTS = {"register": ("processed", "xfm"), "segment": ("seg", "vol", "qc
 OUTPUTS = ("processed", "xfm", "mask", "seg", "vol", "qc")
 
 
-def work_status(plan: DataFrame, listing: DataFrame, key: str = "path") -> DataFrame:
+def outputs_present(listing: DataFrame, root: str, space: str = TEMPLATE_SPACE) -> DataFrame:
+    """Which outputs exist per image stem, read off the listed paths: ``stem`` and six flags."""
+    path = F.col("path")
+    kind, stem = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (folder, ending) in output_layout(root, space).items():
+        hit = path.startswith(folder) & path.endswith(ending)
+        inner = F.substring(path, F.lit(len(folder) + 1), F.length(path) - len(folder) - len(ending))
+        kind = F.when(hit, F.lit(name)).otherwise(kind)
+        stem = F.when(hit, inner).otherwise(stem)
+    found = listing.select(kind.alias("_kind"), stem.alias("stem")).filter("_kind is not null")
+    return found.groupBy("stem").agg(*[F.bool_or(F.col("_kind") == o).alias(f"has_{o}") for o in OUTPUTS])
+
+
+def work_status(
+    plan: DataFrame, listing: DataFrame, root: str, path: str = "path", space: str = TEMPLATE_SPACE
+) -> DataFrame:
     """Status of each planned scan: ``register``, ``segment``, ``mask only`` or ``done``.
 
-    The six outputs are compared with the listing in one join: planned paths as rows, matched,
-    then counted back per scan.
+    The listing is reduced to one row per stem before the shuffle; one join then settles all six
+    outputs of a scan.
     """
-    wanted = plan.select(key, *OUTPUTS).unpivot([key], list(OUTPUTS), "output", "output_path")
-    present = listing.select(F.col("path").alias("output_path")).distinct()
-    there = present.withColumn("_there", F.lit(True))
-    found = keyed_join(wanted, there, ["output_path"], "left")
-    flags = found.groupBy(key).agg(
-        *[
-            F.coalesce(F.bool_and(F.when(F.col("output") == o, F.col("_there").isNotNull())), F.lit(False)).alias(
-                f"has_{o}"
-            )
-            for o in OUTPUTS
-        ]
-    )
-    return plan.join(flags.withColumn("status", status_of()), key, "left")
+    stemmed = plan.withColumn("stem", image_stem(F.col(path)))
+    joined = keyed_join(stemmed, outputs_present(listing, root, space), ["stem"], "left")
+    flags = [f"has_{o}" for o in OUTPUTS]
+    joined = joined.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
+    return joined.withColumn("status", status_of()).drop("stem")
 
 
 def status_of() -> Column:
@@ -64,7 +71,7 @@ def plan_work(
     if batch_size is not None:
         keyed = inputs.withColumn("_parts", path_key(F.col("path")))
         inputs = batch_slice(keyed, ["_parts"], batch_id, batch_size).drop("_parts")
-    return work_status(plan_paths(inputs, root), listing)
+    return work_status(plan_paths(inputs, root), listing, root)
 
 
 def outcome(status: DataFrame, stage: str = "stage", state: str = "status") -> DataFrame:
