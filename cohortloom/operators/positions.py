@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.session import materialize
+
 SAMPLES_PER_RANGE = 20
 MAX_RANGES = 2048
 
@@ -184,6 +186,7 @@ def value_runs(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     if dict(kept.dtypes)[value] in ("double", "float"):
         kept = kept.filter(~F.isnan(value))
     counts = kept.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "values")
     return running_totals(counts, [value], {"upto": F.col("n")}, by)
 
 
