@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.config import SCALE, ScaleLimits
+from cohortloom.operators.joins import hot_keys
 from cohortloom.session import materialize
 
 SAMPLES_PER_RANGE = 20
@@ -80,39 +82,50 @@ def running_totals(
     weights: dict[str, Column],
     by: Sequence[str] = (),
     totals: bool = True,
-    ranges: int | None = None,
     profile: DataFrame | None = None,
+    scale: ScaleLimits = SCALE,
 ) -> DataFrame:
     """Inclusive running sums of ``weights`` along ``order`` within ``by``, with group totals.
 
     ``order`` must be a total order within ``by``.  Each weight ``w`` gives the columns ``w`` (the
     running sum) and, with ``totals``, ``w_total``.  ``profile`` is a cheaper table with the same
-    keys to place the cuts by, for instance ``df`` before a join.
+    keys to look for hot groups in and to place the cuts by, for instance ``df`` before a join.
+
+    With ``by``, only groups of at least ``scale.hot_key_rows`` rows are cut into ranges; the others
+    fit a task each.  Without, everything is one group and is cut.
     """
-    by, order = list(by), list(order)
-    cols = by + [c for c in order if c not in by]
-    if ranges is None:
+    by, order, names = list(by), list(order), list(weights)
+    profile = df if profile is None else profile
+    counted = {f"_w_{n}": F.coalesce(c, F.lit(0)) for n, c in weights.items()}
+    placed = df.withColumns(counted)
+    hot = hot_keys(profile, by, scale) if by else []
+    split_some = bool(hot) or not by
+    cut_cols, cuts = [], []
+    if split_some:
         ranges = min(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    cut_cols, cuts = _cut_points(df if profile is None else profile, cols, ranges)
+        cols = by + [c for c in order if c not in by]
+        sampled = _flagged(profile, by, hot).filter("_hot") if by else profile
+        cut_cols, cuts = _cut_points(sampled, cols, ranges)
+    found = _range_of(cut_cols, cuts, df.schema)
+    if hot:
+        placed = _flagged(placed, by, hot).withColumn("_range", F.when(F.col("_hot"), found).otherwise(0))
+    else:
+        placed = placed.withColumn("_range", found)
 
-    names = list(weights)
-    counted = {f"_w_{n}": F.coalesce(c, F.lit(0)) for n, c in weights.items()}
-    placed = df.withColumns(counted).withColumn(
-        "_range", _range_of(cut_cols, cuts, df.schema)
-    )
-    cell = ["_range", *by]
-    within = Window.partitionBy(*cell)
+    cell = [*by, "_range"]
+    within = Window.partitionBy(*(cell if split_some else by))
     upto = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumns({n: F.sum(f"_w_{n}").over(upto) for n in names})
     if totals:
         out = out.withColumns({f"{n}_total": F.sum(f"_w_{n}").over(within) for n in names})
-    scratch = ["_range", *[f"_w_{n}" for n in names]]
+    scratch = ["_range", "_hot", *[f"_w_{n}" for n in names]]
     if not cuts:
         return out.drop(*scratch)
 
     # Ranges follow the group order, so each cut splits at most one group: the groups that lie in
     # several ranges have at most 2 * ranges rows here, which bounds the broadcast below.
-    sizes = placed.groupBy(*cell).agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in names])
+    sizes = placed.filter("_hot") if hot else placed
+    sizes = sizes.groupBy(*cell).agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in names])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     split = (
@@ -138,15 +151,26 @@ def running_totals(
     return out.drop(*scratch)
 
 
+def _flagged(df: DataFrame, by: Sequence[str], hot: list) -> DataFrame:
+    """``df`` with ``_hot``: whether the row's group is one of the listed ones (NULL keys included)."""
+    listed = df.sparkSession.createDataFrame(hot, df.select(*by).schema)
+    listed = listed.select(*[F.col(c).alias(f"_h_{c}") for c in by], F.lit(True).alias("_hot"))
+    match = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by]
+    joined = df.join(F.broadcast(listed), match, "left").drop(*[f"_h_{c}" for c in by])
+    return joined.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+
+
 def with_position(
     df: DataFrame,
     order: Sequence[str],
     by: Sequence[str] = (),
     name: str = "position",
     total: str | None = None,
+    scale: ScaleLimits = SCALE,
 ) -> DataFrame:
     """1-based position along a total order within ``by``; optionally the group size."""
-    out = running_totals(df, order, {name: F.lit(1).cast("long")}, by, totals=total is not None)
+    one = F.lit(1).cast("long")
+    out = running_totals(df, order, {name: one}, by, total is not None, scale=scale)
     return out.withColumnRenamed(f"{name}_total", total) if total else out
 
 
@@ -177,7 +201,9 @@ def kfold(df: DataFrame, k: int, order: Sequence[str], name: str = "fold") -> Da
     return ranked.withColumn(name, fold_of(F.col("_pos"), F.col("_n"), k)).drop("_pos", "_n")
 
 
-def value_runs(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_runs(
+    df: DataFrame, value: str, by: Sequence[str] = (), scale: ScaleLimits = SCALE
+) -> DataFrame:
     """Distinct values with their running count, per group: ``(by, value, n, upto, upto_total)``.
 
     NULL and NaN values are left out.  Counting comes first, so copies of a value never travel.
@@ -187,7 +213,7 @@ def value_runs(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         kept = kept.filter(~F.isnan(value))
     counts = kept.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "values")
-    return running_totals(counts, [value], {"upto": F.col("n")}, by)
+    return running_totals(counts, [value], {"upto": F.col("n")}, by, scale=scale)
 
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "fraction") -> DataFrame:
@@ -197,10 +223,15 @@ def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "fractio
 
 
 def quantiles(
-    df: DataFrame, value: str, ps: dict[str, float], by: Sequence[str] = (), sizes: str | None = None
+    df: DataFrame,
+    value: str,
+    ps: dict[str, float],
+    by: Sequence[str] = (),
+    sizes: str | None = None,
+    scale: ScaleLimits = SCALE,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``ps``."""
-    runs = value_runs(df, value, by)
+    runs = value_runs(df, value, by, scale)
     last = F.col("upto") - 1
     first = F.col("upto") - F.col("n")
     lo, hi = {}, {}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cohortloom.config import ScaleLimits
 from cohortloom.operators.positions import (
     batch_slice,
     ecdf,
@@ -16,6 +17,9 @@ from cohortloom.operators.positions import (
 )
 
 
+LIMITS = [ScaleLimits(), ScaleLimits(hot_key_rows=300), ScaleLimits(hot_key_rows=2, hot_keys=2)]
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows share one key and one value; keys and values may be NULL."""
@@ -30,9 +34,10 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id long, key string, value double").repartition(7).cache()
 
 
-def test_positions_match_a_window(skewed):
+@pytest.mark.parametrize("limits", LIMITS)
+def test_positions_match_a_window(skewed, limits):
     for by in ([], ["key"]):
-        got = with_position(skewed, ["value", "id"], by, total="n")
+        got = with_position(skewed, ["value", "id"], by, total="n", scale=limits)
         w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
         both = got.withColumns(
             {"p": F.row_number().over(w.orderBy("value", "id")), "m": F.count(F.lit(1)).over(w)}
@@ -50,18 +55,20 @@ def test_running_totals_match_a_window(skewed):
 
 def test_order_independence(skewed):
     want = sorted(map(tuple, with_position(skewed, ["value", "id"], ["key"]).collect()), key=str)
+    limits = LIMITS[1]
     for n in (1, 17):
-        again = with_position(skewed.repartition(n), ["value", "id"], ["key"])
+        again = with_position(skewed.repartition(n), ["value", "id"], ["key"], scale=limits)
         assert sorted(map(tuple, again.collect()), key=str) == want
 
 
-def test_quantiles_match_pandas(skewed):
+@pytest.mark.parametrize("limits", LIMITS)
+def test_quantiles_match_pandas(skewed, limits):
     pdf = skewed.toPandas()
     ps = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
     want = pdf["value"].quantile(list(ps.values()))
     got = quantiles(skewed, "value", ps).first()
     assert np.allclose([got[n] for n in ps], want)
-    by = {r.key: [r[n] for n in ps] for r in quantiles(skewed, "value", ps, ["key"]).collect()}
+    by = {r.key: [r[n] for n in ps] for r in quantiles(skewed, "value", ps, ["key"], scale=limits).collect()}
     for key, group in pdf.groupby("key", dropna=False):
         assert np.allclose(by[None if pd.isna(key) else key], group["value"].quantile(list(ps.values())))
 
