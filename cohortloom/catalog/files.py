@@ -21,7 +21,6 @@ from cohortloom.sources.files import (
 from cohortloom.sources.nifti import extract_headers
 from cohortloom.sources.sinks import write_csv, write_report
 from cohortloom.sources.tables import (
-    IMAGE_INDEX_SCHEMA,
     read_image_index,
     read_qc_long,
     read_qc_wide,
@@ -63,7 +62,6 @@ def image_index_csv(spark, sf):
         F.col("source").alias("dataset"),
         F.lpad(i.cast("string"), 8, "0").alias("sub"),
         F.nullif((i % 2).cast("string"), F.lit("1")).alias("ses"),
-        *[F.lit(None).cast("string").alias(c) for c in ("run", "acq", "rec", "ce", "rez", "echo", "part", "task")],
         F.col("lang").alias("suffix"),
         F.array(F.col("n_chars"), F.lit(12)).alias("shape"),
         F.array(F.lit(1.0), (0.5 + i % 4).cast("double")).alias("pixdim"),
@@ -74,7 +72,7 @@ def image_index_csv(spark, sf):
         F.concat("source", F.lit("/"), i.cast("string")).alias("path"),
     )
     path = working_path(spark, "index")
-    write_csv(rows.select(*IMAGE_INDEX_SCHEMA.names), path)
+    write_csv(rows, path)
     return read_image_index(spark, path).select(
         "dataset",
         "sub",

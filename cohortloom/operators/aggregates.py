@@ -73,7 +73,7 @@ def overview(df: DataFrame, by: str, path: str, subject: str, label: str) -> Dat
     row is copied for it.
     """
     labelled = F.col(label).isNotNull()
-    persons = df.groupBy(by, subject).agg(
+    persons = df.filter(F.col(by).isNotNull()).groupBy(by, subject).agg(
         F.count(path).alias("_images"),
         F.count(F.lit(1)).alias("_rows"),
         F.count_if(labelled).alias("_labelled"),

@@ -10,9 +10,10 @@ from cohortloom.operators.joins import keyed_join
 
 
 def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``, whatever scheme prefix the reader adds."""
-    clean = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return F.substring_index(path, f"/{clean}/", -1)
+    """Path below the absolute ``root``, whatever scheme prefix the reader adds."""
+    mark = "/" + root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+    start = F.instr(path, mark)
+    return F.when(start > 0, F.substr(path, start + len(mark))).otherwise(path)
 
 
 def _binary_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -47,6 +48,11 @@ def write_list(df: DataFrame, path: str, column: str = "path") -> None:
     df.select(F.col(column).alias("value")).write.text(path)
 
 
+def decoded(uri: Column) -> Column:
+    """A percent-encoded file URI as a plain path."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def list_or_scan(spark: SparkSession, root: str, stored: str, glob: str = "*.nii*") -> DataFrame:
     """The stored list when there is one; otherwise scan, store and return the scan."""
     try:

@@ -6,39 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortloom.functions.missing import nan_to_null, token_to_null
 from cohortloom.operators.joins import attach_group
+from cohortloom.operators.quality import require_columns
+from cohortloom.sources.files import decoded
 
-ENTITY_COLUMNS = ("sub", "ses", "run", "acq", "rec", "ce", "rez", "echo", "part", "task")
+INDEX_LISTS = {"shape": "bigint", "pixdim": "double"}
 
-IMAGE_INDEX_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("dataset", *ENTITY_COLUMNS, "suffix", "shape", "pixdim")]
-    + [T.StructField(c, T.StringType()) for c in ("dtype", "orient")]
-    + [T.StructField("size", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in ("md5", "path")]
-)
 
+def read_image_index(spark: SparkSession, path: str) -> DataFrame:
+    """Image index from CSV, columns taken from its header.
 
-def read_image_index(
-    spark: SparkSession, path: str, schema: T.StructType = IMAGE_INDEX_SCHEMA
-) -> DataFrame:
-    """Image index from CSV; ids stay text (leading zeros), list literals become arrays.
-
-    ``schema`` names the columns of the file in their order; ``shape`` and ``pixdim`` hold lists.
+    Every id stays text (leading zeros), list literals become arrays, ``size`` a long; entity
+    columns may differ from index to index.
     """
-    raw = spark.read.schema(schema).csv(path, header=True, escape='"')
-    lists = {"shape": "bigint", "pixdim": "double"}
-    parsed = {
-        c: F.from_json(F.col(c), f"array<{t}>") for c, t in lists.items() if c in raw.columns
-    }
-    texts = {
-        f.name: token_to_null(F.col(f.name))
-        for f in schema.fields
-        if isinstance(f.dataType, T.StringType) and f.name not in lists
-    }
-    return raw.withColumns({**texts, **parsed})
+    raw = spark.read.csv(path, header=True, escape='"')
+    require_columns(raw, ["dataset", "sub", "suffix", "shape", "pixdim", "size", "md5", "path"])
+    texts = {c: token_to_null(F.col(c)) for c in raw.columns if c not in (*INDEX_LISTS, "size")}
+    lists = {c: F.from_json(F.col(c), f"array<{t}>") for c, t in INDEX_LISTS.items()}
+    return raw.withColumns({**texts, **lists, "size": F.col("size").try_cast("long")})
 
 
 def split_fields(line: Column, sep: str) -> Column:
@@ -64,7 +51,7 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str = "
     line of a file's first block and reaches the other lines through a small per-file table.
     """
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
+        decoded(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         F.regexp_replace("value", r"^\uFEFF", "").alias("text"),
@@ -118,7 +105,7 @@ def read_sidecars(spark: SparkSession, glob: str | Sequence[str]) -> DataFrame:
     """Column descriptions, one JSON file per dataset."""
     texts = spark.read.text(glob, wholetext=True)
     return texts.select(
-        parent_directory(F.col("_metadata.file_path")).alias("dataset"),
+        parent_directory(decoded(F.col("_metadata.file_path"))).alias("dataset"),
         sidecar_descriptions(F.col("value")).alias("descriptions"),
     )
 

@@ -3,9 +3,12 @@ import hashlib
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators.ordering import order_by_path
+from cohortloom.operators.quality import MissingColumnError
+from cohortloom.plans.indexing import index_images, update_index
 from cohortloom.sources.files import (
     file_digests,
     incremental_index,
@@ -15,10 +18,12 @@ from cohortloom.sources.files import (
     scan_files,
     write_list,
 )
-from cohortloom.sources.nifti import extract_headers, index_files
+from cohortloom.sources.nifti import extract_headers
 from cohortloom.sources.sinks import write_csv, write_report
 from cohortloom.sources.tables import (
+    parent_directory,
     read_delimited,
+    read_image_index,
     read_qc_long,
     read_qc_wide,
     read_regional,
@@ -26,7 +31,6 @@ from cohortloom.sources.tables import (
     row_map,
     sidecar_entry,
 )
-from cohortloom.streaming.index import run_available, stream_files
 
 
 def nifti(shape=(4, 5, 6), pix=(1.0, 1.25, 2.004), code=4, affine=((-1, 0, 0), (0, 1, 0), (0, 0, 1)), order="<", version=1, qform=False):
@@ -75,11 +79,14 @@ def test_inventory_digest_and_header(spark, tmp_path):
     digests = {r.path: r.md5 for r in file_digests(spark, str(root), wanted).collect()}
     assert digests == {**{k: hashlib.md5(v).hexdigest() for k, v in files.items()}, "gone.nii": None}
 
-    got = {r.path: r for r in index_files(spark, str(root), "*_T1w.nii*").filter("path not like '%bidsignore%'").collect()}
-    a, b, c = (got[k] for k in sorted(files))
+    good, rejects = index_images(spark, str(root))
+    assert {r.path: r.reject_reason for r in rejects.collect()} == {sorted(files)[2]: "not a NIfTI header"}
+    got = {r.path: r for r in good.collect()}
+    a, b = (got[k] for k in sorted(files)[:2])
+    assert (a.dataset, a["sub"], a.ses, a.suffix, a["size"]) == ("ds1", "01", None, "T1w", len(files[a.path]))
+    assert good.columns[-8:] == ["suffix", "shape", "pixdim", "dtype", "orient", "size", "md5", "path"]
     assert (a["shape"], a.pixdim, a.dtype, a.orient) == ([4, 5, 6], [1.0, 1.25, 2.0], "int16", "LAS")
     assert (b["shape"], b.pixdim, b.dtype) == ([7, 8], [2.0, 3.0], "float32")
-    assert c["shape"] is None and c.header_error == "not a NIfTI header"
     assert a.md5 == hashlib.md5(files[sorted(files)[0]]).hexdigest()
 
 
@@ -188,18 +195,38 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream_indexes_each_file_once(spark, tmp_path):
-    root, out = tmp_path / "data", str(tmp_path / "out")
-
-    def index(stream):
-        rows = stream.select(F.col("path"), F.md5("content").alias("md5"), "content")
-        return extract_headers(rows)
+    root = tmp_path / "data"
 
     def run():
-        run_available(stream_files(spark, str(root)), index, out, str(tmp_path / "checkpoint"))
-        return spark.read.parquet(out).count()
-
-    put(root / "d/a.nii", nifti())
-    assert run() == 1
-    assert run() == 1
-    put(root / "d/e/b.nii.gz", gzip.compress(nifti()))
-    assert run() == 2
+        index = update_index(spark, str(root), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        return sorted((r.path, r.reject_reason) for r in index.collect())
+
+    first = ("d/sub-1/anat/sub-1_T1w.nii", None)
+    put(root / first[0], nifti())
+    assert run() == [first]
+    assert run() == [first]
+    second = ("d/sub-2/anat/sub-2_T2w.nii.gz", None)
+    put(root / second[0], gzip.compress(nifti()))
+    put(root / "d/sub-2/func/sub-2_bold.nii.gz", gzip.compress(nifti()))
+    assert run() == [first, second, ("d/sub-2/func/sub-2_bold.nii.gz", "invalid datatype func")]
+
+
+def test_image_index_keeps_ids_and_reads_lists(spark, tmp_path):
+    text = (
+        "dataset,sub,run,suffix,shape,pixdim,dtype,orient,size,md5,path\n"
+        'd1,01,,T1w,"[256, 256, 176]","[1.0, 1.0, 1.2]",int16,RAS,9500000,abc,d1/a.nii\n'
+        'd1,002,1,T2w,"[256, 256]","[1.0, nan]",int16,RAS,12,,d1/b.nii\n'
+    )
+    put(tmp_path / "index.csv", text)
+    a, b = read_image_index(spark, str(tmp_path / "index.csv")).orderBy("path").collect()
+    assert (a["sub"], a.run, a["shape"], a.pixdim, a["size"]) == ("01", None, [256, 256, 176], [1.0, 1.0, 1.2], 9500000)
+    assert (b["sub"], b.run, b.pixdim, b.md5) == ("002", "1", None, None)
+    put(tmp_path / "other.csv", "a,b\n1,2\n")
+    with pytest.raises(MissingColumnError):
+        read_image_index(spark, str(tmp_path / "other.csv"))
+
+
+def test_directories_with_special_characters(spark, tmp_path):
+    put(tmp_path / "d 1+x%/t.tsv", "a\n1\n")
+    rows = read_delimited(spark, str(tmp_path / "*/t.tsv"))
+    assert rows.select(parent_directory(F.col("file")).alias("d")).first().d == "d 1+x%"
