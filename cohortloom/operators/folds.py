@@ -43,7 +43,7 @@ def lightest_first(classes: list[tuple[int, int]], k: int) -> dict[int, list[int
 
 
 def assign_groups(sizes: DataFrame, group: str, size: str, k: int, name: str = "fold") -> DataFrame:
-    """Fold (1..k) per group from a table of group sizes.
+    """Group, size and fold (1..k) from a table of group sizes.
 
     The driver sees one row per distinct size.  Sizes add up to the row count N, so there are at
     most sqrt(2 N) of them.
@@ -69,7 +69,7 @@ def assign_groups(sizes: DataFrame, group: str, size: str, k: int, name: str = "
     )
     placed = attach_group(ranked, table, ["_size"], "inner")
     fold = F.size(F.filter("_bounds", lambda b: b < F.col("_rank"))) + 1
-    return placed.select(group, fold.cast("int").alias(name))
+    return placed.select(group, F.col("_size").alias(size), fold.cast("int").alias(name))
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
@@ -79,4 +79,4 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
 def group_kfold(df: DataFrame, group: str, k: int, name: str = "fold") -> DataFrame:
     """Append the fold of each row's group; ``k`` is lowered to the number of groups."""
     folds = materialize(assign_groups(group_sizes(df, group), group, "_n_rows", k, name), "groups")
-    return attach_group(df, folds, [group], "inner")
+    return attach_group(df, folds.drop("_n_rows"), [group], "inner")

@@ -116,14 +116,15 @@ def running_totals(
     within = Window.partitionBy(*(cell if split_some else by))
     upto = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumns({n: F.sum(f"_w_{n}").over(upto) for n in names})
-    if totals:
+    if totals and by:
         out = out.withColumns({f"{n}_total": F.sum(f"_w_{n}").over(within) for n in names})
     scratch = ["_range", "_hot", *[f"_w_{n}" for n in names]]
-    if not cuts:
+    if not cuts and (by or not totals):
         return out.drop(*scratch)
 
     # Ranges follow the group order, so each cut splits at most one group: the groups that lie in
-    # several ranges have at most 2 * ranges rows here, which bounds the broadcast below.
+    # several ranges have at most 2 * ranges rows here, which bounds the broadcast below.  Without
+    # ``by`` there is one row per range, and it carries the totals too.
     sizes = placed.filter("_hot") if hot else placed
     sizes = sizes.groupBy(*cell).agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in names])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -132,7 +133,7 @@ def running_totals(
         sizes.withColumn("_parts", F.count(F.lit(1)).over(group))
         .withColumns({f"_o_{n}": F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)) for n in names})
         .withColumns({f"_t_{n}": F.sum(f"_s_{n}").over(group) for n in names})
-        .filter(F.col("_parts") > 1)
+        .filter(F.col("_parts") > 1 if by else F.lit(True))
         .select(
             *[F.col(c).alias(f"_k_{c}") for c in cell],
             *[f"_o_{n}" for n in names],
@@ -143,9 +144,8 @@ def running_totals(
     out = out.join(F.broadcast(split), match, "left")
     out = out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in names})
     if totals:
-        out = out.withColumns(
-            {f"{n}_total": F.coalesce(F.col(f"_t_{n}"), F.col(f"{n}_total")) for n in names}
-        )
+        own = {n: F.col(f"{n}_total") if by else F.lit(0) for n in names}
+        out = out.withColumns({f"{n}_total": F.coalesce(F.col(f"_t_{n}"), own[n]) for n in names})
     scratch += [f"_k_{c}" for c in cell]
     scratch += [f"_{x}_{n}" for x in "ot" for n in names]
     return out.drop(*scratch)

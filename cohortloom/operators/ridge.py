@@ -214,25 +214,26 @@ def with_places(
     sizes = group_sizes(df, group)
     outer = materialize(assign_groups(sizes, group, "_n_rows", k), "groups")
     if inner_grouped:
-        sized = sizes.join(outer, group)
+        table = outer.drop("_n_rows").withColumn("_i0", F.col("fold"))
         for o in range(1, k + 1):
-            inner = assign_groups(sized.filter(F.col("fold") != o), group, "_n_rows", k, f"_i{o}")
-            outer = outer.join(inner, group, "left")
-        everyone = assign_groups(sizes, group, "_n_rows", k, "_i0")
-        outer = outer.join(everyone, group)
-        placed = attach_group(df, outer, [group], "inner")
+            train = outer.filter(F.col("fold") != o).drop("fold")
+            inner = assign_groups(train, group, "_n_rows", k, f"_i{o}").drop("_n_rows")
+            table = table.join(inner, group, "left")
+        placed = attach_group(df, table, [group], "inner")
         inner = [F.coalesce(F.col(f"_i{o}"), F.lit(0)) for o in range(0, k + 1)]
     else:
-        placed = attach_group(df, outer, [group], "inner")
+        loads = dict(outer.groupBy("fold").agg(F.sum("_n_rows")).collect())  # one row per fold
+        everyone = sum(loads.values())
+        placed = attach_group(df, outer.drop("_n_rows"), [group], "inner")
         weights = {"_c0": F.lit(1).cast("long")}
         for o in range(1, k + 1):
             weights[f"_c{o}"] = (F.col("fold") == o).cast("long")
-        placed = running_totals(placed, order, weights, profile=df)
-        inner = [fold_of(F.col("_c0"), F.col("_c0_total"), k)]
+        placed = running_totals(placed, order, weights, totals=False, profile=df)
+        inner = [fold_of(F.col("_c0"), F.lit(everyone), k)]
         for o in range(1, k + 1):
             place = F.col("_c0") - F.col(f"_c{o}")
-            total = F.col("_c0_total") - F.col(f"_c{o}_total")
-            inner.append(F.when(F.col("fold") == o, F.lit(0)).otherwise(fold_of(place, total, k)))
+            piece = fold_of(place, F.lit(everyone - loads.get(o, 0)), k)
+            inner.append(F.when(F.col("fold") == o, F.lit(0)).otherwise(piece))
     scratch = [c for c in placed.columns if c.startswith(("_c", "_i"))]
     return placed.withColumn("places", F.array(*[c.cast("int") for c in inner])).drop(*scratch)
 
