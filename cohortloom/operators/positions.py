@@ -1,7 +1,7 @@
 """Exact positions and running totals over a total order, without one task holding a group.
 
 A window that is unpartitioned, or partitioned by a key that may hold a third of all rows, sorts
-that whole group in one task.  Here the order is cut into value ranges instead:
+that whole group in one task.  Here the whole order, or each hot group, is cut into value ranges:
 
 1. a bounded, deterministic sample of the order keys gives the cut points,
 2. each row finds its range by binary search in a constant array (a pure function of the row, so a
@@ -9,7 +9,7 @@ that whole group in one task.  Here the order is cut into value ranges instead:
 3. the rows are shuffled by (group, range) and numbered inside it, and
 4. the sizes of the preceding ranges, pre-aggregated before any shuffle, are added.
 
-A task holds one range, never a group.
+A task holds one range or a group below the hot limit.
 """
 
 from __future__ import annotations
