@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import exact_dedup, line_dedup, quality_rules
+from cohortloom.llm import bpe, exact_dedup, line_dedup, quality_rules, toxicity
 from cohortloom.llm.shared import documents
 
 
@@ -20,8 +21,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    found = [op2_exact_dedup, op7_line_dedup, op8_quality_rules]
+    found = [op2_exact_dedup, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_bpe]
     return {f.__name__: f for f in found}
 
 
