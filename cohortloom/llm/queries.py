@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import bpe, exact_dedup, line_dedup, quality_rules, toxicity
+from cohortloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, quality_rules, toxicity
 from cohortloom.llm.shared import documents
 
 
@@ -13,6 +13,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
 
@@ -30,13 +34,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_exact_dedup, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_bpe]
+    found = [op2_exact_dedup, op6_jaccard_join, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.oracle_sql(),
+        "op6_jaccard_join": jaccard_join.oracle_sql(),
         "op7_line_dedup": line_dedup.oracle_sql(),
         "op8_quality_rules": quality_rules.oracle_sql(),
     }
