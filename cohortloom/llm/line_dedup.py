@@ -5,12 +5,11 @@ a hashed key; lines whose keys meet are compared, the edit distance of each matc
 similar lines the earliest stays. "Earliest" is by (doc_id, line number), judged on the input: a line
 goes when an equal line, or one within the bound, comes before it anywhere in the corpus.
 
-The work is linear in the text. Equal lines are collapsed by digest first. A distinct line can only have
-a neighbour if it shares, to within one character of length, its first or its second half with another
-distinct line; only such lines get variants. The key of a variant is an exclusive-or of hashes of
-(character, position), so all variants of a line come from running values instead of as many copies of
-the line. Lines that meet in a key differ in one place only, so a key holds at most one line for each
-character, and the minimum over a key replaces pairs: hot keys do not arise, whatever the number of copies.
+The work is linear in the text. Equal lines are collapsed by digest first. Two lines within one edit share a
+half, and of ``PIECES`` pieces all but one; keys of halves, then of all pieces but one, find the lines that
+can have a neighbour and the piece where it can differ, and only there are variants made. Lines that meet in
+a variant by deletion at one place differ in one character, so a key holds at most one line for each
+character, and the minimum over a key replaces pairs: keys do not grow hot, whatever the number of copies.
 """
 
 from __future__ import annotations
@@ -22,6 +21,8 @@ from cohortloom.llm.shared import SPACE, SPACE_CHARS, key_of, store, text_of
 
 #: Shorter lines only go when an equal line comes before: one edit makes another word of them.
 MIN_SIMILAR = 20
+#: Pieces of a line that is tested for the place where it may differ.
+PIECES = 16
 PLACE = ["id", "line_no"]
 
 
@@ -31,86 +32,95 @@ def normal_line(line):
 
 
 def occurrences(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Every line with a word: place, digest, length and, if long enough, the four half keys; stored."""
+    """Every line with a word: place, digest and, if long enough, the four half keys; stored."""
     lines = docs.select(key_of(doc_id).alias("id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
     lines = lines.select(*PLACE, normal_line(F.col("raw")).alias("line")).where("line <> ''")
     lines = lines.withColumn("n", F.char_length("line"))
 
-    def half(n: str, side: str) -> str:
-        cut = f"({n}) div 2"
-        part = f"left(line, {cut})" if side == "first" else f"right(line, ({n}) - {cut})"
-        return f"xxhash64({n}, '{side}', {part})"
-
-    keys = ", ".join(half(n, side) for n in ("n", "n - 1") for side in ("first", "second"))
-    return store(
-        lines.select(
-            *PLACE,
-            F.unhex(F.sha2("line", 256)).alias("digest"),
-            "n",
-            F.when(F.col("n") >= MIN_SIMILAR, F.expr(f"array({keys})")).alias("halves"),
-        ),
-        "lines",
-    )
+    def half(base: str, side: str) -> str:
+        cut = f"({base}) div 2"
+        part = f"left(line, {cut})" if side == "first" else f"right(line, ({base}) - {cut})"
+        return f"xxhash64({base}, '{side}', {part})"
 
+    keys = ", ".join(half(base, side) for base in ("n", "n - 1") for side in ("first", "second"))
+    long_enough = F.col("n") >= MIN_SIMILAR
+    return store(lines.select(*PLACE, digest().alias("digest"), F.when(long_enough, F.expr(f"array({keys})")).alias("halves")), "lines")
 
-def distinct_lines(places: DataFrame) -> DataFrame:
-    first = F.min(F.struct(*PLACE)).alias("first")
-    return places.groupBy("digest").agg(
-        first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")
-    )
+
+def digest(column: str = "line"):
+    return F.unhex(F.md5(F.col(column).cast("binary")))
+
+
+def shared_keys(keyed: DataFrame, key: list[str], line: str) -> DataFrame:
+    """Rows of ``keyed`` whose key two different lines have. Dealt by key once, for the count and the rows."""
+    dealt = keyed.repartition(*[F.col(k) for k in key])
+    shared = dealt.groupBy(*key).agg(F.min(line).alias("least"), F.max(line).alias("most")).where("least <> most")
+    return dealt.join(shared.select(*key), key, "left_semi")
 
 
-def with_partners(lines: DataFrame) -> DataFrame:
-    """Distinct lines that share a half with another one: ``digest, first``."""
-    keyed = lines.where("halves is not null").select("digest", "first", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
-    shared = shared.where("a <> b").select("half")
-    return keyed.join(shared, "half", "left_semi").select("digest", "first").distinct()
+def with_partners(places: DataFrame) -> DataFrame:
+    """``digest, first`` of distinct lines that share a half with another one."""
+    long_lines = places.where("halves is not null")
+    keyed = long_lines.select(F.xxhash64("digest").alias("line"), F.explode("halves").alias("half"))
+    found = shared_keys(keyed, ["half"], "line").select("line").distinct()
+    lines = long_lines.groupBy("digest").agg(F.min(F.struct(*PLACE)).alias("first"))
+    return lines.withColumn("line", F.xxhash64("digest")).join(found, "line", "left_semi").drop("line")
 
 
 def with_texts(docs: DataFrame, chosen: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``digest, first, line`` of chosen lines, cut out of the document of their first place; stored."""
     wanted = chosen.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("first.line_no", "digest", "first")).alias("wanted"))
-    bodies = docs.select(key_of(doc_id).alias("id"), F.split(text_of(text), "\n").alias("body"))
-    lines = bodies.join(wanted, "id").select("body", F.inline("wanted"))
+    bodies = docs.select(key_of(doc_id).alias("id"), text_of(text).alias("body"))
+    lines = bodies.join(wanted, "id").select(F.split("body", "\n").alias("body"), "wanted")
+    lines = lines.select("body", F.inline("wanted"))
     lines = lines.select("digest", "first", normal_line(F.get("body", F.col("line_no"))).alias("line"))
     # rows that repeat a doc_id: the digest tells which of them holds the line
-    lines = lines.where(F.col("digest") == F.unhex(F.sha2("line", 256)))
-    return store(lines.dropDuplicates(["digest"]), "similar")
+    return store(lines.where(F.col("digest") == digest()).dropDuplicates(["digest"]), "similar")
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """A row for each line and each of its variants: ``digest, first, n, key1, key2, place``.
+def differing_pieces(lines: DataFrame) -> DataFrame:
+    """``digest, first, line, from, upto``: places where a line may differ from another one, from piecewise keys.
 
-    ``n`` is the variant's length, ``place`` the position of the deleted character, null for the line itself.
+    A line is cut at the same places as a neighbour of its length, and as one a character shorter: then the
+    pieces behind the one with the extra character start one place later.
     """
-    chars = lines.repartition("digest").select("digest", "first", F.posexplode(F.split("line", "")).alias("i", "c"))
-    for k in (1, 2):
-        chars = chars.withColumn(f"a{k}", F.xxhash64("c", "i", F.lit(k)))
-        chars = chars.withColumn(f"b{k}", F.xxhash64("c", F.col("i") - 1, F.lit(k)))
-    upto = Window.partitionBy("digest").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("digest").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for k in (1, 2):
-        chars = chars.withColumn(f"pa{k}", F.bit_xor(f"a{k}").over(upto)).withColumn(f"pb{k}", F.bit_xor(f"b{k}").over(upto))
-        chars = chars.withColumn(f"ta{k}", F.bit_xor(f"a{k}").over(whole)).withColumn(f"tb{k}", F.bit_xor(f"b{k}").over(whole))
-    chars = chars.withColumn("n", F.count("*").over(whole))
-
-    def without(k: int):  # before the character at their own position, after it one to the left
-        return F.expr(f"pa{k} ^ a{k} ^ tb{k} ^ pb{k}").alias(f"key{k}")
-
-    deleted = chars.select("digest", "first", (F.col("n") - 1).alias("n"), without(1), without(2), F.col("i").alias("place"))
-    itself = chars.where("i = 0").select(
-        "digest", "first", "n", F.col("ta1").alias("key1"), F.col("ta2").alias("key2"), F.lit(None).cast("int").alias("place")
+
+    def piece(shift: int) -> str:
+        at, end = f"i * base div {PIECES}", f"(i + 1) * base div {PIECES}"
+        return f"transform(sequence(0, {PIECES - 1}), i -> xxhash64(i, substr(line, {at} + {1 + shift}, {end} - {at})))"
+
+    based = lines.withColumn("n", F.char_length("line"))
+    based = based.withColumn("base", F.explode(F.array("n", F.col("n") - 1)))
+    based = based.withColumn("still", F.expr(piece(0))).withColumn("moved", F.expr(piece(1)))
+    based = based.withColumn("behind", F.when(F.col("base") == F.col("n"), F.col("still")).otherwise(F.col("moved")))
+    based = based.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    rest = F.expr("concat(slice(still, 1, piece), slice(behind, piece + 2, size(behind)))")
+    keyed = based.select("digest", "n", "base", "piece", F.xxhash64(rest).alias("rest"))
+    met = shared_keys(keyed, ["base", "piece", "rest"], "digest")
+    spans = met.select(
+        "digest",
+        F.expr(f"piece * base div {PIECES}").alias("from"),
+        F.expr(f"(piece + 1) * base div {PIECES} - 1 + n - base").alias("upto"),
     )
-    return deleted.unionByName(itself)
+    return lines.join(spans.distinct(), "digest")
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """``key, place, digest, first``: the line itself (no place), and without the character at ``place``."""
+    spans = differing_pieces(lines)
+    itself = spans.select("digest", "first", "line").distinct()
+    itself = itself.select(digest().alias("key"), F.lit(None).cast("int").alias("place"), "digest", "first")
+    places = spans.select("digest", "first", "line", F.explode(F.sequence("from", "upto")).alias("place"))
+    without = F.expr("concat(left(line, place), substr(line, place + 2))").alias("without")
+    deleted = places.select("place", "digest", "first", without)
+    return itself.unionByName(deleted.select(digest("without").alias("key"), "place", "digest", "first").distinct())
 
 
 def earlier_neighbours(lines: DataFrame) -> DataFrame:
     """Digests of lines with an earlier line within one edit."""
-    key = ["n", "key1", "key2"]
     keyed = variants(lines).withColumn("entry", F.struct("first", "digest"))
-    same_place = Window.partitionBy(*key, "place")
-    same_key = Window.partitionBy(*key)
+    same_place = Window.partitionBy("key", "place")
+    same_key = Window.partitionBy("key")
     is_line = F.col("place").isNull()
     met = keyed.withColumn("changed", F.min(F.when(~is_line, F.col("entry"))).over(same_place))
     met = met.withColumn("shorter", F.min(F.when(is_line, F.col("entry"))).over(same_key))
@@ -127,10 +137,10 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``id, removed``: per document with removed lines, their numbers."""
     places = occurrences(docs, text, doc_id)
-    lines = store(distinct_lines(places), "distinct-lines")
-    near = earlier_neighbours(with_texts(docs, with_partners(lines), text, doc_id)).withColumn("near", F.lit(True))
+    lines = places.groupBy("digest").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"))
+    near = earlier_neighbours(with_texts(docs, with_partners(places), text, doc_id)).withColumn("near", F.lit(True))
     touched = lines.join(near, "digest", "left").where("copies > 1 or near").select("digest", "first", "near")
-    gone = places.join(touched, "digest").where("near or struct(id, line_no) <> first")
+    gone = places.select(*PLACE, "digest").join(touched, "digest").where("near or struct(id, line_no) <> first")
     return gone.groupBy("id").agg(F.collect_set("line_no").alias("removed"))
 
 
