@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, quality_rules, suffix_dedup, toxicity
+from cohortloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_scoring, quality_rules, suffix_dedup, toxicity
 from cohortloom.llm.shared import documents
 
 
@@ -17,6 +17,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(documents(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_exact_dedup, op4_suffix_dedup, op6_jaccard_join, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_bpe]
+    found = [op2_exact_dedup, op4_suffix_dedup, op5_lm_scoring, op6_jaccard_join, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_bpe]
     return {f.__name__: f for f in found}
 
 
