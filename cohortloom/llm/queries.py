@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_scoring, quality_rules, suffix_dedup, toxicity
+from cohortloom.llm import bpe, exact_dedup, jaccard_join, license_scan, line_dedup, lm_scoring, packing, quality_rules, suffix_dedup, toxicity
 from cohortloom.llm.shared import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(documents(spark, sf_dir))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(documents(spark, sf_dir))
 
@@ -42,7 +50,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_exact_dedup, op4_suffix_dedup, op5_lm_scoring, op6_jaccard_join, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_bpe]
+    found = [
+        op1_license_scan,
+        op2_exact_dedup,
+        op3_best_fit_packing,
+        op4_suffix_dedup,
+        op5_lm_scoring,
+        op6_jaccard_join,
+        op7_line_dedup,
+        op8_quality_rules,
+        op9_toxicity,
+        op10_bpe,
+    ]
     return {f.__name__: f for f in found}
 
 
