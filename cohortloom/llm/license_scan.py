@@ -198,8 +198,10 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("paragraph", "line"))
     lines = lines.withColumn("words", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != ""))
-    lines = lines.withColumn("grams", hashed(F.col("words"))).where(F.exists("grams", lambda g: g.isin(hashes)))
-    found = lines.select("doc_id", "paragraph", "words", "grams", F.monotonically_increasing_id().alias("row"))
+    lines = lines.withColumn("grams", hashed(F.col("words")))
+    # not a filter: the optimizer would move that down and evaluate the trigrams again for each of them
+    found = F.when(F.exists("grams", lambda g: g.isin(hashes)), F.array(F.struct(*lines.columns)))
+    found = lines.select(F.inline(found)).drop("line").withColumn("row", F.monotonically_increasing_id())
 
     pairs = F.transform(F.col("words"), lambda w, i: F.concat(w, F.lit(" "), F.get("words", i + 1)))
     features = F.array_distinct(F.concat("words", F.filter(pairs, lambda g: g.isNotNull())))

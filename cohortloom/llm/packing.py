@@ -67,7 +67,8 @@ def pieces(docs: DataFrame, longest: int, text: str, doc_id: str) -> DataFrame:
     """``id, version, piece, start, size`` of every piece; a document without words has none."""
     body = text_of(text)
     sized = docs.select(key_of(doc_id).alias("id"), F.xxhash64(body).alias("version"), F.size(words_of(body)).alias("n"))
-    cut = sized.where("n > 0").select("id", "version", "n", F.explode(F.expr(f"sequence(0, cast((n - 1) div {longest} as int))")).alias("piece"))
+    numbers = F.expr(f"filter(sequence(0, cast((n - 1) div {longest} as int)), p -> p * {longest} < n)")
+    cut = sized.select("id", "version", "n", F.explode(numbers).alias("piece"))
     start = F.col("piece") * F.lit(longest)
     return cut.select("id", "version", "piece", start.cast("int").alias("start"), F.least(F.lit(longest), F.col("n") - start).cast("int").alias("size"))
 
