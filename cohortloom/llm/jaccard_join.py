@@ -198,9 +198,10 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     stands = known.join(copies, ["n", "d1", "d2"]).where("id <> first").select("id", "first").distinct()
     stands = store(stands, "equal-sets")
 
-    dealt = all_signatures(rows).repartition("sig")
+    # the filter is the join's own: with it here, both uses are one exchange
+    dealt = all_signatures(rows).where("sig is not null").repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    members = dealt.join(shared.select("sig"), "sig", "left_semi")
+    members = dealt.join(shared.select("sig"), "sig")  # inner: a semi join would move below the exchange
     # a repeated id may stand under several ids with equal sets; its own texts keep their signatures
     members = members.join(stands.groupBy("id").agg(F.min("first").alias("first")), "id", "left")
     members = store(members.select("sig", F.coalesce("first", "id").alias("id")).distinct(), "members")

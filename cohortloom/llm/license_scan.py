@@ -76,6 +76,7 @@ TEMPLATES = {
         "This work is dedicated to the public domain under CC0 1.0 Universal.",
     ],
     "proprietary": [
+        "All rights reserved.",
         "All rights reserved. No part of this work may be reproduced without prior written permission.",
         "This software is proprietary and confidential. Unauthorized copying is strictly prohibited.",
     ],

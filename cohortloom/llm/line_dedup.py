@@ -53,9 +53,9 @@ def digest(column: str = "line"):
 
 def shared_keys(keyed: DataFrame, key: list[str], line: str) -> DataFrame:
     """Rows of ``keyed`` whose key two different lines have. Dealt by key once, for the count and the rows."""
-    dealt = keyed.repartition(*[F.col(k) for k in key])
+    dealt = keyed.dropna(subset=key).repartition(*[F.col(k) for k in key])  # the join's filter: one exchange for both uses
     shared = dealt.groupBy(*key).agg(F.min(line).alias("least"), F.max(line).alias("most")).where("least <> most")
-    return dealt.join(shared.select(*key), key, "left_semi")
+    return dealt.join(shared.select(*key), key)  # inner: a semi join would move below the exchange
 
 
 def with_partners(places: DataFrame) -> DataFrame:

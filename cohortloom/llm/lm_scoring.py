@@ -1,14 +1,14 @@
 """LM scoring: a weighted backoff automaton over n-grams, walked once from left to right.
 
-States are the n-grams shorter than ``order`` that occur in training texts, the empty one included. A state has an
-arc for each token seen after it, weighted with the log probability there, and a failure arc to its longest
-proper suffix, weighted with the mass left for unseen tokens; the empty state knows every token. Counts
-are smoothed towards the shorter context: P(w | h) = (c(hw) + MU * P(w | h')) / (c(h) + MU), down to the
-add-0.1 unigram base, so probabilities over all known tokens and one unknown sum to one in every state.
-
-The automaton of a corpus fits no worker. Documents are dealt into blocks; a block counts its own n-grams, the
-counts meet by n-gram, and each block gets back the totals that differ from its own, which is all it needs of
-the automaton to walk its documents exactly. A frequent n-gram is one row for each block, however
+States are the n-grams shorter than ``order`` that occur at least ``MIN_CONTEXT`` times in training texts, and the
+empty one. A state has an arc for each token seen after it, weighted with the log probability there, and a failure arc
+to its longest proper suffix that is a state, weighted with the mass left for unseen tokens; the empty state
+knows every token. Counts are smoothed towards the shorter context: P(w | h) = (c(hw) + MU * P(w | h')) / (c(h) + MU),
+down to the add-0.1 unigram base, so probabilities over all known tokens and one unknown sum to one in every state.
+
+The automaton of a corpus fits no worker. Documents are dealt into blocks; a block counts its own n-grams, length by
+length, the counts meet by n-gram, and each block gets back the totals that differ from its own, which is all it
+needs of the automaton to walk its documents exactly. A frequent n-gram is one row for each block, however
 often it occurs, and what moves grows with the text. N-grams are 64-bit hashes of their words.
 """
 
@@ -28,6 +28,8 @@ from cohortloom.llm.shared import text_of
 ORDER = 2
 #: Weight of the shorter context, in observations.
 MU = 5.0
+#: Training occurrences from which a context is a state; rarer ones say little about what follows.
+MIN_CONTEXT = 200
 #: Fixed: the base's added count, and folds of which number 0 is held out.
 ADDED, FOLDS = 0.1, 10
 BLOCK_BYTES = 8_000_000
@@ -35,33 +37,59 @@ _END = np.uint64(0x5DEECE66D1234567)
 
 
 class Block:
-    """The token sequence of a block's documents and, for each length, its n-grams."""
+    """The token sequence of a block's documents and, for each length, its n-grams behind a state."""
 
-    def __init__(self, texts: list[bytes], training: np.ndarray, order: int):
+    def __init__(self, texts: list[bytes], training: np.ndarray):
         hashes = WordHashes()
         words = [t.lower().split() for t in texts]  # of bytes: A-Z only, and ASCII white space only
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        flat = np.fromiter((hashes[w] for ws in words for w in (*ws, None) if w is not None), np.uint64)
-        tokens = np.empty(int(self.sizes.sum()), np.uint64)
+        self.tokens = np.empty(int(self.sizes.sum()), np.uint64)
         last = self.begin + self.sizes - 1
-        inner = np.ones(len(tokens), bool)
+        inner = np.ones(len(self.tokens), bool)
         inner[last] = False
-        tokens[inner], tokens[last] = flat, _END
-        self.place = np.arange(len(tokens)) - np.repeat(self.begin, self.sizes)
-        train = np.repeat(training, self.sizes)
-        self.keys, self.at, self.counts = [], [], []
-        key = mixed(tokens)
-        for k in range(order):
-            if k:
-                key = np.append(np.uint64(0), mixed(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:] + np.uint64(k)))
-            there = self.place >= k
-            found, index = np.unique(key[there], return_inverse=True)
-            at = np.full(len(tokens), -1, np.int64)
-            at[there] = index
-            self.keys.append(found)
-            self.at.append(at)
-            self.counts.append(np.bincount(index, train[there], len(found)).astype(np.int64))
+        self.tokens[inner] = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64)
+        self.tokens[last] = _END
+        self.ends = ~inner
+        self.train = np.repeat(training, self.sizes)
+        #: Per length: n-gram number at each place (-1: none), n-gram keys, own and corpus-wide counts.
+        self.at, self.keys, self.own, self.counts = [], [], [], []
+        self.key = mixed(self.tokens)
+        #: Places after which the last n-gram, so far, is a state; and the longest such length.
+        self.open = np.ones(len(self.tokens), bool)
+        self.state = np.zeros(len(self.tokens), np.int64)
+
+    def extend(self) -> None:
+        """Number and count the n-grams of the next length."""
+        k = len(self.at)
+        if k:
+            key = np.empty_like(self.key)
+            key[0] = 0
+            key[1:] = mixed(self.key[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.tokens[1:] + np.uint64(k))
+            self.key = key
+            there = np.append(False, self.open[:-1])
+            there[self.begin] = False
+        else:
+            there = self.open
+        found, index = np.unique(self.key[there], return_inverse=True)
+        at = np.full(len(self.tokens), -1, np.int64)
+        at[there] = index
+        self.at.append(at)
+        self.keys.append(found)
+        self.own.append(np.bincount(index, self.train[there], len(found)).astype(np.int64))
+
+    def settle(self, keys: np.ndarray, totals: np.ndarray, min_context: int) -> None:
+        """Corpus-wide counts of the last length: given ones, sorted by key, else the block's own; then its states."""
+        own_keys, counts = self.keys[-1], self.own[-1].copy()
+        if len(keys):
+            where = np.minimum(np.searchsorted(keys, own_keys), len(keys) - 1)
+            known = keys[where] == own_keys
+            counts[known] = totals[where[known]]
+        self.counts.append(counts)
+        at = self.at[-1]
+        self.open = (at >= 0) & ~self.ends
+        self.open[self.open] = counts[at[self.open]] >= min_context
+        self.state[self.open] = len(self.at)
 
 
 def unigram_base(counts: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -69,28 +97,29 @@ def unigram_base(counts: np.ndarray, n: int, v: int) -> np.ndarray:
 
 
 class Automaton:
-    """Arcs and failure arcs that a block can take, by n-gram number. ``counts[k]``: of (k+1)-grams, corpus-wide."""
+    """Arcs and failure arcs that a settled block can take, by n-gram number and length."""
 
-    def __init__(self, block: Block, counts: list[np.ndarray], n: int, v: int, mu: float = MU):
-        self.block, self.counts = block, counts
-        p = unigram_base(counts[0], n, v)
+    def __init__(self, block: Block, n: int, v: int, mu: float = MU):
+        self.block = block
+        p = unigram_base(block.counts[0], n, v)
         self.arc, self.fail = [np.log10(p)], [None]
-        for k in range(1, len(counts)):
-            at = block.at[k]
-            here = np.flatnonzero(at >= 0)
-            one = np.empty(len(counts[k]), np.int64)
-            one[at[here]] = here  # a place where each n-gram ends
-            context = counts[k - 1][block.at[k - 1][one - 1]]
-            p = (counts[k] + mu * p[block.at[k - 1][one]]) / (context + mu)
-            self.arc.append(np.log10(p))
-            self.fail.append(np.log10(mu / (counts[k - 1] + mu)))
+        here = p[block.at[0]]
+        for k in range(1, len(block.counts)):
+            place = np.flatnonzero(block.at[k] >= 0)
+            gram = block.at[k][place]
+            context = block.counts[k - 1][block.at[k - 1][place - 1]]
+            here[place] = (block.counts[k][gram] + mu * here[place]) / (context + mu)
+            arc = np.zeros(len(block.counts[k]))
+            arc[gram] = np.log10(here[place])
+            self.arc.append(arc)
+            self.fail.append(np.log10(mu / (block.counts[k - 1] + mu)))
 
     def walk(self) -> np.ndarray:
         """Log10 probability of each document. All documents advance by one token at a time, each in its state.
 
         A state is the length of its n-gram, which ends at the token before.
         """
-        block, longest = self.block, len(self.counts) - 1
+        block, longest = self.block, len(self.arc) - 1
         by_size = np.argsort(-block.sizes, kind="stable")
         begin, sizes = block.begin[by_size], block.sizes[by_size]
         state = np.zeros(len(begin), np.int64)
@@ -98,23 +127,26 @@ class Automaton:
         for step in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -step, "left"))
             at = begin[:live] + step
-            s, weight = state[:live], np.zeros(live)
-            arrived = np.zeros(live, np.int64)
+            s, weight = state[:live].copy(), np.zeros(live)
             for k in range(longest, -1, -1):  # fail down from the longest states
                 inside = np.flatnonzero(s == k)
                 if not len(inside):
                     continue
                 gram = block.at[k][at[inside]]
-                seen = self.counts[k][gram] > 0
-                take = inside[seen | (k == 0)]
-                weight[take] += self.arc[k][block.at[k][at[take]]]
-                arrived[take] = np.minimum(k + 1, longest) * (self.counts[0][block.at[0][at[take]]] > 0)
-                drop = inside[~seen] if k else inside[:0]
-                if k:
-                    weight[drop] += self.fail[k][block.at[k - 1][at[drop] - 1]]
-                    s[drop] = k - 1
+                if not k:
+                    weight[inside] += self.arc[0][gram]
+                    continue
+                seen = block.counts[k][gram] > 0
+                weight[inside[seen]] += self.arc[k][gram[seen]]
+                s[inside[seen]] = -1
+                drop = inside[~seen]
+                weight[drop] += self.fail[k][block.at[k - 1][at[drop] - 1]]
+                # the longest proper suffix that is a state: n-grams of that length stand behind one
+                s[drop] = 0
+                for j in range(1, k):
+                    s[drop[block.at[j][at[drop]] >= 0]] = j
             total[:live] += weight
-            state[:live] = arrived
+            state[:live] = np.minimum(block.state[at], longest)
         out = np.empty(len(total))
         out[by_size] = total
         return out
@@ -141,7 +173,9 @@ def training_totals(docs: DataFrame) -> tuple[int, int]:
     return row.n + ends, row.v + (ends > 0)
 
 
-def score(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(
+    docs: DataFrame, order: int = ORDER, mu: float = MU, min_context: int = MIN_CONTEXT, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Learns from rows outside fold 0. A null or empty text is its end alone. A null doc_id takes the fold of an
@@ -157,33 +191,49 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int
     n, v = training_totals(rows)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    def read(table: pa.Table) -> Block:
-        held = np.array(table["held_out"].to_pylist(), bool)
-        return Block(table["text"].to_pylist(), ~held, order)
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        block = read(table)
-        keys, counts = np.concatenate(block.keys), np.concatenate(block.counts)
-        number = np.full(len(keys), key[0].as_py(), np.int32)
-        return pa.table({"block": number, "gram": keys.view(np.int64), "c": counts.astype(np.int32)})
-
-    own = dealt.groupBy("block").applyInArrow(count, "block int, gram long, c int")
-    met = own.withColumn("total", F.sum("c").over(Window.partitionBy("gram")))
-    other = met.where("total <> c").select("block", "gram", "total")
-
-    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = read(left)
-        keys, totals = right["gram"].to_numpy().view(np.uint64), right["total"].to_numpy()
+    def settled(table: pa.Table, known: pa.Table | None, lengths: int) -> Block:
+        """The block with corpus-wide counts of so many lengths."""
+        block = Block(table["text"].to_pylist(), ~np.array(table["held_out"].to_pylist(), bool))
+        keys = np.zeros(0, np.uint64) if known is None else known["gram"].to_numpy().view(np.uint64)
+        totals = np.zeros(0, np.int64) if known is None else known["total"].to_numpy()
         by = np.argsort(keys)
         keys, totals = keys[by], totals[by]
-        counts = []
-        for own_keys, own_counts in zip(block.keys, block.counts):
-            where = np.minimum(np.searchsorted(keys, own_keys), max(len(keys) - 1, 0))
-            known = keys[where] == own_keys if len(keys) else np.zeros(len(own_keys), bool)
-            merged = own_counts.copy()
-            merged[known] = totals[where[known]]
-            counts.append(merged)
-        unigrams = counts[0][block.at[0]]
+        for _ in range(lengths):
+            block.extend()
+            block.settle(keys, totals, min_context)
+        return block
+
+    def counted(block: Block, number: int) -> pa.Table:
+        block.extend()
+        packed = np.int64(number << 32) + block.own[-1]
+        return pa.table({"gram": block.keys[-1].view(np.int64), "own": packed})
+
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        return counted(settled(table, None, 0), key[0].as_py())
+
+    def further(lengths: int):
+        def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return pa.table({"gram": pa.array([], pa.int64()), "own": pa.array([], pa.int64())})
+            return counted(settled(table, known, lengths), key[0].as_py())
+
+        return run
+
+    # block and count share a column: half of what moves here would be the block's number otherwise
+    known = None
+    for lengths in range(order):
+        if known is None:
+            own = dealt.groupBy("block").applyInArrow(first, "gram long, own long")
+        else:
+            own = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(further(lengths), "gram long, own long")
+        count = F.expr("own & 4294967295L")
+        met = own.withColumn("total", F.sum(count).over(Window.partitionBy("gram")))
+        other = met.where(F.col("total") != count).select(F.expr("cast(own >> 32 as int)").alias("block"), "gram", "total")
+        known = other if known is None else known.unionByName(other)
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = settled(left, right, order)
+        unigrams = block.counts[0][block.at[0]]
         base = np.add.reduceat(np.log10(unigram_base(unigrams, n, v)), block.begin)
         return pa.table(
             {
@@ -193,9 +243,9 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int
                 "n_known": np.add.reduceat((unigrams > 0).astype(np.int64), block.begin),
                 "train_tokens": np.full(len(base), n, np.int64),
                 "base_score": base,
-                "score": Automaton(block, counts, n, v, mu).walk(),
+                "score": Automaton(block, n, v, mu).walk(),
             }
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(walk, schema)
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(walk, schema)

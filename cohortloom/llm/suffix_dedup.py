@@ -210,9 +210,12 @@ def shared_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 start = stop
 
     found = docs.select("id", "version", "text").mapInArrow(run, "anchor long, id long, version long, place long")
-    dealt = found.repartition("anchor")
-    counts = dealt.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    return dealt.join(counts, "anchor")
+    # both uses are one exchange, as they need the same columns and have the join's filter below them
+    dealt = found.where("anchor is not null").repartition("anchor")
+    used = [F.max(c).alias(f"most_{c}") for c in ("id", "version", "place")]
+    counts = dealt.groupBy("anchor").agg(F.count("*").alias("n"), *used)
+    counts = counts.where("n > 1 and most_id is not null and most_version is not null and most_place is not null")
+    return dealt.join(counts.select("anchor", "n"), "anchor")
 
 
 def cut_out(docs: DataFrame, found: DataFrame, length: int, spread: int) -> DataFrame:
