@@ -9,9 +9,9 @@ sure that others agree. A set with too many of them is dealt anew by another has
 could only be missed by.
 
 No pairs are made within a signature: every member is compared with the smallest one, exactly, shingle by
-shingle; links become components; then only members of different components under one signature are
-compared. So groups of copies cost as much as they have members, and no link between components is lost. A
-signature holds a document once while a document has many, so no signature outgrows a task's share.
+shingle; links become components; where more than one is left of those that met the same document, blocks of them are compared
+within tasks, by matrix products (``across_components``). So groups of copies are joined at the cost of their
+members, no link is lost, and no pair that is none becomes a row. A signature holds a document once while a document has many, so no signature outgrows a task's share.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ BAND_RATIO, EXTRA = 1.25, 0.3
 #: Hashes that deal the shingles; at the last one every partition gives a signature.
 DEALS = 8
 MAX_WORDS = 500_000
+#: Documents in a block that is compared within a task.
+BLOCK = 300
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -183,6 +185,68 @@ def linked(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def across_components(compared: DataFrame, labels: DataFrame, sets: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` between components, among documents that were compared with the same one.
+
+    The members of such a group are dealt into blocks of about ``block``, and a task takes two blocks and counts what
+    each two sets share by matrix products, in memory of bounded size. No pair becomes a row: a task returns only as
+    many links as join its components. Groups that are one component by now are left out.
+    """
+    named = compared.join(labels.select(F.col("id").alias("b"), "component"), "b", "left")
+    named = named.select("a", "b", F.coalesce("component", "b").alias("component"))
+    open_ = named.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    open_ = open_.where("x <> y").select("a", F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
+    dealt = named.join(open_, "a").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")))
+    # with every block once: the smaller of the two names the row of the table of block pairs
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("a", "b", "component", "own", other)
+    dealt = dealt.select("a", "b", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.join(sets.select(F.col("id").alias("b"), "members"), "b")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, found = table["b"].to_pylist(), table["component"].to_pylist()
+        members = [np.frombuffer(m, np.uint64) for m in table["members"].to_pylist()]
+        sizes = np.array([len(m) for m in members])
+        common = shared_counts(members)
+        alike = 100 * common >= least * (sizes[:, None] + sizes[None, :] - common)
+        root = {c: c for c in found}
+
+        def top(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        links = []
+        for x, y in zip(*(v.tolist() for v in np.nonzero(np.triu(alike, 1)))):
+            u, v = top(found[x]), top(found[y])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                links.append((ids[x], ids[y]))
+        return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
+
+    return rows.groupBy("a", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def shared_counts(members: list[np.ndarray], wide: int = 8192) -> np.ndarray:
+    """How many elements each two sets share, by matrix products over ``wide`` elements at a time."""
+    flat = np.concatenate(members)
+    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    _, index, times = np.unique(flat, return_inverse=True, return_counts=True)
+    several = np.cumsum(times > 1) - 1
+    keep = times[index] > 1
+    column, owner = several[index[keep]], owner[keep]
+    out = np.diag([float(len(m)) for m in members]).astype(np.float32)
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, [first, first + wide])
+        part = np.zeros((len(members), wide), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, [len(m) for m in members])
+    return out.astype(np.int64)
+
+
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -216,14 +280,7 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     links = store(linked(first_pairs, sets), "links")
     labels = components(links)
 
-    # members of different components under one signature: every pair that was not compared yet
-    named = members.join(labels, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    mixed_up = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_ = store(named.join(mixed_up.select("sig"), "sig", "left_semi"), "open")
-    left = open_.select("sig", F.col("id").alias("a"), F.col("component").alias("x"))
-    right = open_.select("sig", F.col("id").alias("b"), F.col("component").alias("y"))
-    pairs = left.join(right, "sig").where("x < y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = store(linked(pairs.join(first_pairs, ["a", "b"], "left_anti"), sets), "links")
+    more = store(across_components(first_pairs, labels, sets), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 

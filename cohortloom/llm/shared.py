@@ -40,7 +40,7 @@ def lower_ascii(text: Column) -> Column:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later jobs and lost executors start from the table."""
-    return materialize(df, f"llm-{name}")
+    return materialize(df, f"llm-{name}", compression="zstd")
 
 
 def python_lower(text: str) -> str:

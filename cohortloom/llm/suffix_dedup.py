@@ -6,7 +6,7 @@ merged by binary search in sorted runs.
 
 Shards hold what can repeat, and nothing else. A rolling hash of every ``GRAM`` bytes is taken and each string's
 least one is its anchor, so equal strings have equal anchors; only stretches whose anchor occurs twice in the
-corpus go to a shard, chosen by the anchor, equal stretches once with their earliest place. An anchor
+corpus go to a shard, chosen by the anchor, equal stretches once with their earliest place. Documents that repeat an earlier one wholly are set apart first. An anchor
 with very many stretches, such as the edge of a passage that countless documents share, is spread over
 shards of its own; each finds its first strings, and their digests meet, sorted, in ranges. Every step is
 linear in the text, and no task holds more than a shard or a range of bounded size.
@@ -183,18 +183,35 @@ def runs_of(flags: np.ndarray) -> list[int]:
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str, *more) -> DataFrame:
-    """Documents by id and text: rows that repeat an id with another text are told apart."""
+    """Documents with a ``row`` for id and text: rows that repeat an id with another text are told apart."""
     body = text_of(text).cast("binary")
-    return docs.select(key_of(doc_id).alias("id"), F.xxhash64(body).alias("version"), body.alias("text"), *more)
+    return docs.select(key_of(doc_id).alias("id"), F.xxhash64(key_of(doc_id), body).alias("row"), body.alias("text"), *more)
 
 
-def shared_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``anchor, n, id, version, at, starts``: stretches whose anchor occurs more than once."""
+def whole_copies(docs: DataFrame, length: int) -> DataFrame:
+    """``row, size`` of documents that repeat an earlier one wholly: all their strings start earlier; stored."""
+    sized = docs.select("id", "row", F.octet_length("text").alias("size"), F.md5("text").alias("digest"))
+    sized = sized.where(F.col("size") >= length)
+    first = sized.groupBy("digest", "size").agg(F.min("id").alias("first"))
+    return store(sized.join(first, ["digest", "size"]).where("id > first").select("row", "size").distinct(), "copies")
+
+
+def of_shared_anchors(found: DataFrame) -> DataFrame:
+    """``anchor, n, row, place``: rows of ``found`` whose anchor occurs more than once, with its count."""
+    # both uses are one exchange, as they need the same columns and have the join's filter below them
+    dealt = found.where("anchor is not null").repartition("anchor")
+    used = [F.max(c).alias(f"most_{c}") for c in ("row", "place")]
+    counts = dealt.groupBy("anchor").agg(F.count("*").alias("n"), *used)
+    counts = counts.where("n > 1 and most_row is not null and most_place is not null")
+    return dealt.join(counts.select("anchor", "n"), "anchor").select("anchor", "n", "row", "place")
+
+
+def shared_stretches(docs: DataFrame, copies: DataFrame, length: int, gram: int) -> DataFrame:
+    """``anchor, n, row, place``: stretches whose anchor occurs more than once, whole copies left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2).to_pylist()
+            rows, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             start = 0
             while start < len(texts):
                 stop, total = start + 1, len(texts[start])
@@ -203,31 +220,26 @@ def shared_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     stop += 1
                 number, anchor, at, count = stretches(texts[start:stop], length, gram)
                 number = number + start
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(ids[number]), pa.array(versions[number]), pa.array(at * 128 + count)],
-                    ["anchor", "id", "version", "place"],
-                )
+                columns = [pa.array(anchor), pa.array(rows[number]), pa.array(at * 128 + count)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "row", "place"])
                 start = stop
 
-    found = docs.select("id", "version", "text").mapInArrow(run, "anchor long, id long, version long, place long")
-    # both uses are one exchange, as they need the same columns and have the join's filter below them
-    dealt = found.where("anchor is not null").repartition("anchor")
-    used = [F.max(c).alias(f"most_{c}") for c in ("id", "version", "place")]
-    counts = dealt.groupBy("anchor").agg(F.count("*").alias("n"), *used)
-    counts = counts.where("n > 1 and most_id is not null and most_version is not null and most_place is not null")
-    return dealt.join(counts.select("anchor", "n"), "anchor")
+    found = of_shared_anchors(docs.select("row", "text").mapInArrow(run, "anchor long, row long, place long"))
+    # an outer join: an anti join would move below the exchange of all stretches
+    flagged = found.drop("n").join(copies.select("row", F.lit(True).alias("copy")), "row", "left")
+    return of_shared_anchors(flagged.where("copy is null").select("anchor", "row", "place"))
 
 
 def cut_out(docs: DataFrame, found: DataFrame, length: int, spread: int) -> DataFrame:
-    """``part, key, spread, id, version, at, starts`` of every shared stretch with its bytes; stored."""
-    lists = found.groupBy("id", "version").agg(F.collect_list(F.struct("anchor", "n", "place")).alias("places"))
-    rows = docs.select("id", "version", "text").join(lists, ["id", "version"])
-    rows = rows.select("id", "version", "text", F.inline("places"))
+    """``part, key, spread, id, row, at, starts`` of every shared stretch with its bytes; stored."""
+    lists = found.groupBy("row").agg(F.collect_list(F.struct("anchor", "n", "place")).alias("places"))
+    rows = docs.select("id", "row", "text").join(lists, "row")
+    rows = rows.select("id", "row", "text", F.inline("places"))
     rows = rows.withColumn("at", F.expr("cast(place div 128 as int)")).withColumn("starts", F.expr("cast(place % 128 as int)"))
     rows = rows.withColumn("part", F.expr(f"substr(text, at + 1, starts + {length - 1})"))
     ways = F.expr(f"(n + {spread - 1}) div {spread}")
     rows = rows.withColumn("key", F.xxhash64("anchor", F.when(ways > 1, F.pmod(F.xxhash64("part"), ways))))
-    return store(rows.select("part", "key", (ways > 1).alias("spread"), "id", "version", "at", "starts"), "stretches")
+    return store(rows.select("part", "key", (ways > 1).alias("spread"), "id", "row", "at", "starts"), "stretches")
 
 
 def shard_results(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
@@ -291,17 +303,19 @@ def merged_across(results: DataFrame) -> DataFrame:
 
 
 def repeated_places(docs: DataFrame, length: int, gram: int, spread: int, shard_bytes: int) -> DataFrame:
-    """``id, version, runs``: per document the starts, as from-upto runs, of strings that start earlier."""
-    parts = cut_out(docs, shared_stretches(docs, length, gram), length, spread)
+    """``row, runs``: per document the starts, as from-upto runs, of strings that start earlier."""
+    copies = whole_copies(docs, length)
+    parts = cut_out(docs, shared_stretches(docs, copies, length, gram), length, spread)
     results = shard_results(parts, length, shard_bytes)
     results = results.join(merged_across(results), "digest", "left")
     flagged = F.concat("runs", F.coalesce("more", F.array().cast("array<int>")))
     first = results.select("digest", F.struct("id", "at").alias("first"), flagged.alias("runs"))
-    here = parts.select(F.unhex(F.md5("part")).alias("digest"), "id", "version", "at", "starts").join(first, "digest")
+    here = parts.select(F.unhex(F.md5("part")).alias("digest"), "id", "row", "at", "starts").join(first, "digest")
     runs = F.when(F.struct("id", "at") != F.col("first"), F.array(F.col("at"), F.col("at") + F.col("starts")))
     runs = runs.otherwise(F.transform("runs", lambda x: x + F.col("at")))
-    here = here.select("id", "version", runs.alias("runs")).where("size(runs) > 0")
-    return here.groupBy("id", "version").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    here = here.select("row", runs.alias("runs")).where("size(runs) > 0")
+    here = here.union(copies.select("row", F.array(F.lit(0), F.col("size") - (length - 1))))
+    return here.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def covered(size: int, runs: list[int] | None, length: int) -> np.ndarray:
@@ -335,9 +349,9 @@ def remove_repeats(
     without doc_id comes before all others.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "left_over"]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*added, text)]).alias("row")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*added, text)]).alias("own")
     places = repeated_places(keyed(docs, text, doc_id), length, gram, spread, shard_bytes)
-    joined = keyed(docs, text, doc_id, row, F.col(text).isNull().alias("absent")).join(places, ["id", "version"], "left")
+    joined = keyed(docs, text, doc_id, own, F.col(text).isNull().alias("absent")).join(places, "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,15 +365,15 @@ def remove_repeats(
                 out.append((len(body), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), left.decode()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3)], ["row", *added, "absent"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3)], ["own", *added, "absent"])
 
-    kind = docs.select(row).schema["row"].dataType.simpleString()
-    done = joined.select("row", "text", "runs", "absent").mapInArrow(
-        run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left_over string, absent boolean"
+    kind = docs.select(own).schema["own"].dataType.simpleString()
+    done = joined.select("own", "text", "runs", "absent").mapInArrow(
+        run, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left_over string, absent boolean"
     )
     names = [c for c in docs.columns if c not in added]
     left = F.when(~F.col("absent"), F.col("left_over"))
-    return done.select(*[left.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names], *added)
+    return done.select(*[left.alias(c) if c == text else F.col("own").getField(c).alias(c) for c in names], *added)
 
 
 def report(docs: DataFrame) -> DataFrame:
