@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.shared import text_of
+from cohortloom.llm.shared import store, text_of
 
 UNKNOWN = "unknown"
 #: Below this calibrated probability a paragraph counts as unknown.
@@ -203,6 +203,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     # not a filter: the optimizer would move that down and evaluate the trigrams again for each of them
     found = F.when(F.exists("grams", lambda g: g.isin(hashes)), F.array(F.struct(*lines.columns)))
     found = lines.select(F.inline(found)).drop("line").withColumn("row", F.monotonically_increasing_id())
+    found = store(found, "paragraphs")  # few, and read several times
 
     pairs = F.transform(F.col("words"), lambda w, i: F.concat(w, F.lit(" "), F.get("words", i + 1)))
     features = F.array_distinct(F.concat("words", F.filter(pairs, lambda g: g.isNotNull())))
