@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm.shared import key_of, store, text_of
 
 LENGTH = 100
-GRAM = 32
+GRAM = 64
 #: Starts in one stretch, at most.
 STRETCH = 64
 SHARD_BYTES = 8_000_000
