@@ -47,8 +47,7 @@ def curated(spark, sf):
 def flagship_cohort(spark, sf):
     """Exclude, mask, deduplicate by content, join many-to-one, count."""
     unique = curated(spark, sf)
-    profile = images(spark, sf).select("doc_id")
-    joined = join_m1(unique, participants(spark, sf), ["doc_id"], profile=profile, match_flag="matched")
+    joined = join_m1(unique, participants(spark, sf), ["doc_id"], match_flag="matched", check="later")
     persons = joined.groupBy("dataset", "sub").agg(
         F.count(F.lit(1)).alias("images"),
         F.count_if(F.col("suffix") == "en").alias("en"),
@@ -106,7 +105,7 @@ def first_rows_null_keys(spark, sf):
 
 def joined(spark, sf):
     people = participants(spark, sf)
-    return join_m1(images(spark, sf), people, ["doc_id"], match_flag="matched")
+    return join_m1(images(spark, sf), people, ["doc_id"], match_flag="matched", check="later")
 
 
 @register(

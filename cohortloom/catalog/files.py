@@ -146,25 +146,25 @@ def score_tables_wide(spark, sf):
 )
 def score_table_means(spark, sf):
     long = read_qc_long(spark, _score_files(spark, sf), pattern="*.csv")
-    means = score_means(long, ["directory", "score"], "value").withColumn("mean", F.round("mean", 6))
-    counts = long.groupBy("directory", "score").agg(F.count(F.lit(1)).alias("n"))
-    return means.join(counts, ["directory", "score"])
+    means = score_means(long, ["directory", "score"], "value", rows="n")
+    return means.withColumn("mean", F.round("mean", 6))
 
 
 @register(
     "A10",
-    sql="""select user_id, count(*) as n, min(value) as low, max(value) as high, cast(null as double) as undefined from events group by 1""",
+    sql="""select user_id, count(*) as n, min(value) as low, max(value) as high, cast(null as double) as gap, cast(null as double) as listed_gap, cast(null as double) as undefined from events group by 1""",
 )
 def nested_report(spark, sf):
     path = working_path(spark, "report")
     rows = table(spark, sf, "events").groupBy("user_id").agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("range")).alias("data"),
+        F.struct(F.count(F.lit(1)).alias("n"), F.struct(F.min("value").alias("low"), F.max("value").alias("high"), F.lit(float("nan")).alias("gap")).alias("range")).alias("data"),
+        F.array(F.lit(float("nan"))).alias("gaps"),
         F.lit(float("nan")).alias("undefined"),
     )
     write_report(rows, path)
-    schema = "user_id long, data struct<n: long, range: struct<low: double, high: double>>, undefined double"
+    schema = "user_id long, data struct<n: long, range: struct<low: double, high: double, gap: double>>, gaps array<double>, undefined double"
     back = spark.read.schema(schema).json(path)
-    return back.select("user_id", "data.n", "data.range.low", "data.range.high", "undefined")
+    return back.select("user_id", "data.n", "data.range.low", "data.range.high", "data.range.gap", F.get("gaps", F.lit(0)).alias("listed_gap"), "undefined")
 
 
 @register("A13", sql="select page_id, md5(url) as md5, case when page_id % 4 > 0 then md5(html) end as html_md5 from pages")

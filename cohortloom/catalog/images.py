@@ -95,14 +95,14 @@ def array_geometry(spark, sf):
 @register(
     "B12",
     sql=f"""
-      with g as ({_GEOMETRY_SQL} where doc_id % 29 <> 0), s as (select *, least(3, len(shape), len(pixdim)) as n from g)
+      with g as (select * replace (list_transform(pixdim, lambda x: case when isnan(x) then null else x end) as pixdim) from ({_GEOMETRY_SQL})), s as (select *, least(3, len(shape), len(pixdim)) as n from g)
       select doc_id, cast(len(shape) as int) as ndim, list_max(pixdim) as res, shape[1] * pixdim[1] as fov_x,
              shape[2] * pixdim[2] as fov_y, case when n >= 3 then shape[3] * pixdim[3] end as fov_z,
              round(shape[1] * pixdim[1] * shape[2] * pixdim[2] * case when n >= 3 then shape[3] * pixdim[3] else 1 end, 4) as vol
       from s""",
 )
 def fields_of_view(spark, sf):
-    rows = with_geometry(geometry(spark, sf).filter("doc_id % 29 <> 0"))
+    rows = with_geometry(geometry(spark, sf))
     fov = F.col("fov")
     return rows.select(
         "doc_id",

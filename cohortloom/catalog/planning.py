@@ -22,7 +22,8 @@ def _listing(spark, sf):
     """Inputs plus the outputs that exist so far."""
     inputs = _inputs(spark, sf)
     planned = plan_paths(inputs, "cohort").withColumn("k", F.floor(F.col("doc_id") / 2))
-    rows = planned.unpivot(["k"], list(OUTPUTS), "output", "path")
+    each = F.array(*[F.struct(F.lit(o).alias("output"), F.col(o).alias("path")) for o in OUTPUTS])
+    rows = planned.select("k", F.inline(each))
     there = (
         (F.col("output").isin("processed", "xfm") & (F.col("k") % 2 == 0))
         | (F.col("output").isin("seg", "vol", "qc") & (F.col("k") % 4 == 0))

@@ -121,21 +121,3 @@ class OutlierLimits:
 
     small_bytes: int = 100_000
     big_bytes: int = 100_000_000
-
-
-@dataclass(frozen=True)
-class ScaleLimits:
-    """Sizes at which the operators change strategy.
-
-    ``broadcast_rows`` bounds what may be broadcast on request.  ``hot_key_rows`` is the number of
-    rows from which one join key is spread over several tasks, ``hot_keys`` bounds how many keys
-    are treated that way at once (colder keys hold fewer rows each and need no spreading).
-    """
-
-    broadcast_rows: int = 100_000
-    hot_key_rows: int = 1_000_000
-    hot_keys: int = 4096
-    salts: int = 64
-
-
-SCALE = ScaleLimits()

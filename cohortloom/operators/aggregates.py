@@ -96,9 +96,14 @@ def qc_summary(df: DataFrame, key: Sequence[str], score: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min(c).alias("qc_min"), F.avg(c).alias("qc_mean"))
 
 
-def score_means(long: DataFrame, by: Sequence[str], value: str, name: str = "mean") -> DataFrame:
-    """Mean of each score of a long score table."""
-    return long.groupBy(*by).agg(F.avg(nan_to_null(F.col(value))).alias(name))
+def score_means(
+    long: DataFrame, by: Sequence[str], value: str, name: str = "mean", rows: str | None = None
+) -> DataFrame:
+    """Mean of each score of a long score table; ``rows`` names a count of its rows."""
+    aggs = [F.avg(nan_to_null(F.col(value))).alias(name)]
+    if rows:
+        aggs.append(F.count(F.lit(1)).alias(rows))
+    return long.groupBy(*by).agg(*aggs)
 
 
 def mask_rates(df: DataFrame, masks: dict[str, Column]) -> DataFrame:

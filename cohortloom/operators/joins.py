@@ -1,4 +1,4 @@
-"""Keyed joins with checked cardinality, checked broadcasts and spread hot keys."""
+"""Keyed joins with checked cardinality; a hot left key can be spread over several tasks."""
 
 from __future__ import annotations
 
@@ -7,63 +7,30 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortloom.config import SCALE, ScaleLimits
-from cohortloom.operators.quality import assert_unique
-
-
-def fits_broadcast(df: DataFrame, scale: ScaleLimits = SCALE) -> bool:
-    """Whether ``df`` has no more rows than may be broadcast; stops counting at the bound."""
-    return df.limit(scale.broadcast_rows + 1).count() <= scale.broadcast_rows
-
-
-def hot_keys(df: DataFrame, on: Sequence[str], scale: ScaleLimits = SCALE) -> list:
-    """The keys holding at least ``hot_key_rows`` rows, hottest first, at most ``hot_keys`` of them.
-
-    Rows are counted before the shuffle, so a hot key travels as one partial count per task.
-    """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") >= scale.hot_key_rows)
-    return hot.orderBy(F.desc("_n"), *on).limit(scale.hot_keys).select(*on).collect()
+from cohortloom.operators.quality import assert_unique, unique_in_plan
 
 
 def keyed_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    profile: DataFrame | None = None,
-    scale: ScaleLimits = SCALE,
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", spread: int = 1
 ) -> DataFrame:
-    """Equi-join whose hot left keys are spread over several tasks.
-
-    Supports inner, left, left_semi and left_anti.  A right side checked to be small is broadcast.
-    Otherwise, without hot keys, this is the plain join, and Catalyst and AQE choose the strategy;
-    with them, the left rows of a hot key get a salt from
-    their task number (reproducible when a task is retried) and the matching right rows are copied
-    once per salt.  ``profile`` is a cheaper table with at least the left keys to look for hot keys
-    in, for instance the left side before a costly step.
+    """Equi-join: inner, left, left_semi or left_anti.
+
+    Catalyst broadcasts a right side that it knows to be small in bytes, and AQE splits the partitions
+    of hot keys.  It cannot split what earlier steps have already gathered by the key, for there is no
+    shuffle left to split: with ``spread`` above 1 every left row gets a salt, a hash of its other
+    columns, and each right row is copied once per salt.  That holds for any number of hot keys, and is
+    meant for right sides with few rows for a key.
     """
     on = list(on)
-    if fits_broadcast(right, scale):
-        return left.join(F.broadcast(right), on, how)
-    hot = hot_keys(left if profile is None else profile, on, scale)
-    if not hot:
+    if spread <= 1:
         return left.join(right, on, how)
-    spark = left.sparkSession
-    flags = spark.createDataFrame(hot, left.select(*on).schema).withColumn("_hot", F.lit(True))
-    flags = F.broadcast(flags)  # at most scale.hot_keys rows
-    salt = F.pmod(F.spark_partition_id(), F.lit(scale.salts))
-    # rows with a NULL key match nothing, so they may go anywhere
-    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salted = left.join(flags, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(scale.salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    spread = right.join(flags, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.drop("_hot").join(spread, [*on, "_salt"], how).drop("_salt")
+    maps = {f.name for f in left.schema.fields if isinstance(f.dataType, T.MapType)}
+    rest = [c for c in left.columns if c not in on and c not in maps]
+    salt = F.pmod(F.xxhash64(*rest), F.lit(spread)) if rest else F.lit(0).cast("long")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
+    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def attach_group(
@@ -78,30 +45,41 @@ def join_m1(
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    profile: DataFrame | None = None,
     match_flag: str | None = None,
+    check: str = "now",
 ) -> DataFrame:
     """Many-to-one join: raises when a key occurs twice on the right.
 
+    ``check`` says when: ``now``, by a job of its own; ``later``, in the plan of the join, whose action
+    then fails; ``none`` if the key is known to be unique, for instance after grouping by it.
     ``match_flag`` names an extra boolean column telling whether a right row was found.
     """
-    assert_unique(right, on)
+    right = checked_unique(right, on, check)
     if match_flag:
         right = right.withColumn(match_flag, F.lit(True))
-    out = keyed_join(left, right, on, how, profile)
+    out = keyed_join(left, right, on, how)
     return out.withColumn(match_flag, F.coalesce(match_flag, F.lit(False))) if match_flag else out
 
 
-def join_11(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """One-to-one join; both sides must be unique on the key."""
-    assert_unique(left, on)
-    assert_unique(right, on)
+def checked_unique(df: DataFrame, on: Sequence[str], check: str) -> DataFrame:
+    if check not in ("now", "later", "none"):
+        raise ValueError(f"check must be now, later or none, not {check}")
+    return unique_in_plan(df, on) if check == "later" else assert_unique(df, on) if check == "now" else df
+
+
+def join_11(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", check: str = "now"
+) -> DataFrame:
+    """One-to-one join; both sides must be unique on the key. ``check`` as in :func:`join_m1`."""
+    left, right = checked_unique(left, on, check), checked_unique(right, on, check)
     return left.join(right, list(on), how)
 
 
-def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], value: str) -> DataFrame:
+def lookup(
+    df: DataFrame, table: DataFrame, on: Sequence[str], value: str, check: str = "now"
+) -> DataFrame:
     """Inner lookup: rows without a match, or with a NULL value, are dropped."""
-    assert_unique(table, on)
+    table = checked_unique(table, on, check)
     return keyed_join(df, table.filter(F.col(value).isNotNull()), on, "inner")
 
 
@@ -112,6 +90,7 @@ def lookup_with_reasons(
     value: Column,
     matched: Column,
     reasons: tuple[Column, Column, Column],
+    check: str = "now",
 ) -> DataFrame:
     """Lookup that says why a row failed, first cause first.
 
@@ -119,7 +98,7 @@ def lookup_with_reasons(
     are the messages for no pattern match, key not in the table, and value missing.  Good rows have
     a NULL ``reason``.
     """
-    found = join_m1(df, table, on, "left", match_flag="_found")
+    found = join_m1(df, table, on, "left", match_flag="_found", check=check)
     return found.withColumn(
         "reason",
         F.when(~matched, reasons[0])

@@ -1,15 +1,15 @@
 """Exact positions and running totals over a total order, without one task holding a group.
 
 A window that is unpartitioned, or partitioned by a key that may hold a third of all rows, sorts
-that whole group in one task.  Here the whole order, or each hot group, is cut into value ranges:
+that whole group in one task.  Here the input is written once and, when it has more than
+``RANGE_ROWS`` rows, dealt into that many times fewer ranges of (group, order) and written as such:
 
-1. a bounded, deterministic sample of the order keys gives the cut points,
-2. each row finds its range by binary search in a constant array (a pure function of the row, so a
-   retried task reproduces it),
-3. the rows are shuffled by (group, range) and numbered inside it, and
-4. the sizes of the preceding ranges, pre-aggregated before any shuffle, are added.
+1. Spark samples the keys for the range bounds; every row is kept and carries the number of its range,
+2. rows are numbered inside (group, range), and
+3. the sizes of the group's earlier ranges, pre-aggregated before any shuffle, are added.
 
-A task holds one range or a group below the hot limit.
+The number of ranges grows with the rows, so a task holds about ``RANGE_ROWS`` rows at any size, whether
+they belong to one group or to millions of them.
 """
 
 from __future__ import annotations
@@ -19,61 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.config import SCALE, ScaleLimits
-from cohortloom.operators.joins import hot_keys
 from cohortloom.session import materialize
 
-SAMPLES_PER_RANGE = 20
-MAX_RANGES = 2048
-
-
-def _cut_points(df: DataFrame, cols: Sequence[str], ranges: int) -> tuple[list[str], list]:
-    """The leading order columns that are needed to cut the order, and the cut keys.
-
-    The sample is bounded: the keys with the smallest hashes, which picks rows evenly and gives the
-    same keys every time.  It only places the cuts; every row is kept and numbered.  A column is
-    added to the cut key while sampled rows still share the shorter key, so that a frequent leading
-    value is cut by the columns behind it.
-    """
-    if ranges < 2:
-        return [], []
-    sample = df.select(*cols).orderBy(F.xxhash64(*cols)).limit(ranges * SAMPLES_PER_RANGE)
-    keys = [tuple(r) for r in sample.orderBy(*cols).collect()]
-    if len(keys) < ranges:
-        return [], []
-    most = SAMPLES_PER_RANGE // 4
-    width = 1
-    while width < len(cols) and any(
-        keys[i][:width] == keys[i + most][:width] for i in range(len(keys) - most)
-    ):
-        width += 1
-    cuts = [keys[i * len(keys) // ranges][:width] for i in range(1, ranges)]
-    return list(cols[:width]), [c for c in cuts if width > 1 or c[0] is not None]
-
-
-def _range_of(cols: Sequence[str], cuts: list, schema) -> Column:
-    """Number of cut points not above the row's key, by binary search in a constant array."""
-    if not cuts:
-        return F.lit(0)
-    types = [schema[c].dataType for c in cols]
-    if len(cols) == 1:
-        key = F.col(cols[0])
-        table = F.array(*[F.lit(cut[0]).cast(types[0]) for cut in cuts])
-    else:
-        key = F.struct(*[F.col(c) for c in cols])
-        table = F.array(
-            *[
-                F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(cols, cut, types)])
-                for cut in cuts
-            ]
-        )
-    table = F.sort_array(table)  # foldable, so sorted once per plan
-    strides = [1 << i for i in reversed(range(len(cuts).bit_length()))]
-
-    def advance(found, stride):
-        return F.when(F.get(table, found + stride - 1) <= key, found + stride).otherwise(found)
-
-    return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), advance)
+#: Rows that one task numbers.
+RANGE_ROWS = 1_000_000
 
 
 def running_totals(
@@ -82,58 +31,45 @@ def running_totals(
     weights: dict[str, Column],
     by: Sequence[str] = (),
     totals: bool = True,
-    profile: DataFrame | None = None,
-    scale: ScaleLimits = SCALE,
+    range_rows: int = RANGE_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Inclusive running sums of ``weights`` along ``order`` within ``by``, with group totals.
 
     ``order`` must be a total order within ``by``.  Each weight ``w`` gives the columns ``w`` (the
-    running sum) and, with ``totals``, ``w_total``.  ``profile`` is a cheaper table with the same
-    keys to look for hot groups in and to place the cuts by, for instance ``df`` before a join.
-
-    With ``by``, only groups of at least ``scale.hot_key_rows`` rows are cut into ranges; the others
-    fit a task each.  Without, everything is one group and is cut.
+    running sum) and, with ``totals``, ``w_total``.  ``written`` says that ``df`` is a stored table,
+    which need not be written again.
     """
     by, order, names = list(by), list(order), list(weights)
-    profile = df if profile is None else profile
-    counted = {f"_w_{n}": F.coalesce(c, F.lit(0)) for n, c in weights.items()}
-    placed = df.withColumns(counted)
-    hot = hot_keys(profile, by, scale) if by else []
-    split_some = bool(hot) or not by
-    cut_cols, cuts = [], []
-    if split_some:
-        ranges = min(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-        cols = by + [c for c in order if c not in by]
-        sampled = _flagged(profile, by, hot).filter("_hot") if by else profile
-        cut_cols, cuts = _cut_points(sampled, cols, ranges)
-    found = _range_of(cut_cols, cuts, df.schema)
-    if hot:
-        placed = _flagged(placed, by, hot).withColumn("_range", F.when(F.col("_hot"), found).otherwise(0))
+    stored = df if written else materialize(df, "order")
+    placed = stored.withColumns({f"_w_{n}": F.coalesce(c, F.lit(0)) for n, c in weights.items()})
+    ranges = -(-stored.count() // range_rows)
+    if ranges > 1:
+        dealt = placed.repartitionByRange(ranges, *by, *[c for c in order if c not in by])
+        placed = materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
     else:
-        placed = placed.withColumn("_range", found)
+        placed = placed.withColumn("_range", F.lit(0))
 
     cell = [*by, "_range"]
-    within = Window.partitionBy(*(cell if split_some else by))
+    within = Window.partitionBy(*cell)
     upto = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumns({n: F.sum(f"_w_{n}").over(upto) for n in names})
-    if totals and by:
+    if totals:
         out = out.withColumns({f"{n}_total": F.sum(f"_w_{n}").over(within) for n in names})
-    scratch = ["_range", "_hot", *[f"_w_{n}" for n in names]]
-    if not cuts and (by or not totals):
+    scratch = ["_range", *[f"_w_{n}" for n in names]]
+    if ranges <= 1:
         return out.drop(*scratch)
 
-    # Ranges follow the group order, so each cut splits at most one group: the groups that lie in
-    # several ranges have at most 2 * ranges rows here, which bounds the broadcast below.  Without
-    # ``by`` there is one row per range, and it carries the totals too.
-    sizes = placed.filter("_hot") if hot else placed
-    sizes = sizes.groupBy(*cell).agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in names])
+    # Ranges follow the group order, so at most one group is split by each bound: the groups in several
+    # ranges have at most two rows here for each range.
+    sizes = placed.groupBy(*cell).agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in names])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     split = (
         sizes.withColumn("_parts", F.count(F.lit(1)).over(group))
         .withColumns({f"_o_{n}": F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)) for n in names})
         .withColumns({f"_t_{n}": F.sum(f"_s_{n}").over(group) for n in names})
-        .filter(F.col("_parts") > 1 if by else F.lit(True))
+        .filter("_parts > 1")
         .select(
             *[F.col(c).alias(f"_k_{c}") for c in cell],
             *[f"_o_{n}" for n in names],
@@ -141,36 +77,26 @@ def running_totals(
         )
     )
     match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in cell]
-    out = out.join(F.broadcast(split), match, "left")
+    out = out.join(split, match, "left")
     out = out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in names})
     if totals:
-        own = {n: F.col(f"{n}_total") if by else F.lit(0) for n in names}
-        out = out.withColumns({f"{n}_total": F.coalesce(F.col(f"_t_{n}"), own[n]) for n in names})
+        out = out.withColumns({f"{n}_total": F.coalesce(f"_t_{n}", f"{n}_total") for n in names})
     scratch += [f"_k_{c}" for c in cell]
     scratch += [f"_{x}_{n}" for x in "ot" for n in names]
     return out.drop(*scratch)
 
 
-def _flagged(df: DataFrame, by: Sequence[str], hot: list) -> DataFrame:
-    """``df`` with ``_hot``: whether the row's group is one of the listed ones (NULL keys included)."""
-    listed = df.sparkSession.createDataFrame(hot, df.select(*by).schema)
-    listed = listed.select(*[F.col(c).alias(f"_h_{c}") for c in by], F.lit(True).alias("_hot"))
-    match = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by]
-    joined = df.join(F.broadcast(listed), match, "left").drop(*[f"_h_{c}" for c in by])
-    return joined.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-
-
 def with_position(
     df: DataFrame,
     order: Sequence[str],
     by: Sequence[str] = (),
     name: str = "position",
     total: str | None = None,
-    scale: ScaleLimits = SCALE,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """1-based position along a total order within ``by``; optionally the group size."""
     one = F.lit(1).cast("long")
-    out = running_totals(df, order, {name: one}, by, total is not None, scale=scale)
+    out = running_totals(df, order, {name: one}, by, total is not None, range_rows)
     return out.withColumnRenamed(f"{name}_total", total) if total else out
 
 
@@ -202,7 +128,7 @@ def kfold(df: DataFrame, k: int, order: Sequence[str], name: str = "fold") -> Da
 
 
 def value_runs(
-    df: DataFrame, value: str, by: Sequence[str] = (), scale: ScaleLimits = SCALE
+    df: DataFrame, value: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Distinct values with their running count, per group: ``(by, value, n, upto, upto_total)``.
 
@@ -213,7 +139,7 @@ def value_runs(
         kept = kept.filter(~F.isnan(value))
     counts = kept.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "values")
-    return running_totals(counts, [value], {"upto": F.col("n")}, by, scale=scale)
+    return running_totals(counts, [value], {"upto": F.col("n")}, by, range_rows=range_rows, written=True)
 
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "fraction") -> DataFrame:
@@ -228,10 +154,10 @@ def quantiles(
     ps: dict[str, float],
     by: Sequence[str] = (),
     sizes: str | None = None,
-    scale: ScaleLimits = SCALE,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``ps``."""
-    runs = value_runs(df, value, by, scale)
+    runs = value_runs(df, value, by, range_rows)
     last = F.col("upto") - 1
     first = F.col("upto") - F.col("n")
     lo, hi = {}, {}

@@ -30,6 +30,16 @@ def assert_unique(df: DataFrame, keys: Sequence[str], samples: int = 5) -> DataF
     return df
 
 
+def unique_in_plan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df``, whose evaluation fails when a key repeats: no job of its own, and one exchange by the key."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.first(F.struct(*rest)) if rest else F.first(F.lit(True))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), row.alias("_row"))
+    message = F.concat(F.lit(f"keys {list(keys)} repeat, for example "), F.to_json(F.struct(*keys)))
+    once = counted.withColumn("_row", F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_row")))
+    return once.select(*[c if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])
+
+
 def with_reasons(
     df: DataFrame, rules: Sequence[tuple[Column, Column | str]], name: str = "reject_reason"
 ) -> DataFrame:

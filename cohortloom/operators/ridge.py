@@ -7,11 +7,13 @@ cells and all models of the whole search follow from one small table of sums.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,6 @@ from cohortloom.operators.joins import attach_group
 from cohortloom.operators.positions import fold_of, running_totals
 from cohortloom.session import materialize
 
-REDUCE_SHARDS = 32
 
 
 # --- scaling --------------------------------------------------------------------------------
@@ -53,8 +54,16 @@ def _partial_grams(shift: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], It
             n = batch.num_rows
             if n == 0:
                 continue
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             y = batch.column("y").to_numpy(zero_copy_only=False)
+            listed = batch.column("features")
+            width = len(shift) - 1
+            ragged = n - pc.sum(pc.fill_null(pc.equal(pc.list_value_length(listed), width), False)).as_py()
+            if ragged:
+                raise ValueError(f"{ragged} rows do not have {width} features")
+            x = listed.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
+            missing = int((np.isnan(x).any(axis=1) | np.isnan(y)).sum())
+            if missing:
+                raise ValueError(f"{missing} rows have a missing feature or target")
             z = np.column_stack([np.ones(n), np.column_stack([x, y]) - shift])
             names, codes = np.unique(
                 batch.column("cell").to_numpy(zero_copy_only=False).astype(str), return_inverse=True
@@ -80,8 +89,9 @@ def _add(pdf):
 def gram_sums(df: DataFrame, features: str, y: str, cell: str, shift: Sequence[float]) -> DataFrame:
     """Per cell the flattened ``[1, x - shift, y - shift]`` Gram matrix.
 
-    Tasks emit one matrix per cell they meet.  The matrices are added in two steps so that no
-    reducer receives more than tasks / shards of them.
+    Tasks emit one matrix per cell they meet.  The matrices are added in three steps, the first in as
+    many shards as Spark has shuffle partitions, the second in the square root of that, so that no
+    reducer receives very many of them.  Rows that are ragged or have a missing value are an error.
     """
     rows = df.select(
         F.col(features).alias("features"),
@@ -90,10 +100,13 @@ def gram_sums(df: DataFrame, features: str, y: str, cell: str, shift: Sequence[f
     )
     schema = "cell string, gram array<double>"
     parts = rows.mapInArrow(_partial_grams(np.asarray(shift, dtype=float)), schema)
-    parts = parts.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(REDUCE_SHARDS)))
+    shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sharded = "cell string, gram array<double>, shard int"
-    once = parts.groupBy("cell", "shard").applyInPandas(_add, sharded)
-    return once.drop("shard").groupBy("cell").applyInPandas(_add, schema)
+    parts = parts.withColumn("shard", F.spark_partition_id())
+    for count in dict.fromkeys([shards, math.isqrt(shards)]):
+        parts = parts.withColumn("shard", F.pmod("shard", F.lit(count)).cast("int"))
+        parts = parts.groupBy("cell", "shard").applyInPandas(_add, sharded)
+    return parts.drop("shard").groupBy("cell").applyInPandas(_add, schema)
 
 
 def feature_means(df: DataFrame, features: str, y: str) -> list[float]:
@@ -228,7 +241,7 @@ def with_places(
         weights = {"_c0": F.lit(1).cast("long")}
         for o in range(1, k + 1):
             weights[f"_c{o}"] = (F.col("fold") == o).cast("long")
-        placed = running_totals(placed, order, weights, totals=False, profile=df)
+        placed = running_totals(placed, order, weights, totals=False)
         inner = [fold_of(F.col("_c0"), F.lit(everyone), k)]
         for o in range(1, k + 1):
             place = F.col("_c0") - F.col(f"_c{o}")

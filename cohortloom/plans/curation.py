@@ -59,7 +59,7 @@ def curate(
     unique = dedup_first(masked, ["md5"], [path_key(F.col("path"))])
     people = participants if exclusions is None else exclude(participants, exclusions, ["dataset"])
     joined = join_m1(
-        unique, people, ["dataset", "sub"], "left", profile=masked, match_flag="matched"
+        unique, people, ["dataset", "sub"], "left", match_flag="matched", check="later"
     )
     return Cohort(unique, joined, cohort_counts(unique, "dataset", "sub", "suffix", suffixes))
 

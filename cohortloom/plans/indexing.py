@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.names import parse_entities, promote
 from cohortloom.operators.quality import split_valid
 from cohortloom.operators.reshape import in_order
+from cohortloom.session import materialize
 from cohortloom.sources.files import relative_path
 from cohortloom.sources.nifti import extract_headers
 from cohortloom.streaming.index import run_available, stream_files
@@ -39,15 +40,37 @@ def index_rows(files: DataFrame, root: str, entities: Sequence[str] = ENTITIES)
 def index_images(
     spark: SparkSession, root: str, glob: str = "*.nii*", drop: str = "bidsignore"
 ) -> tuple[DataFrame, DataFrame]:
-    """Index of all images below ``root``, and the files that could not be indexed."""
+    """Index of all images below ``root``, and the files that could not be indexed.
+
+    Every listed file is in one of the two.  Rejected are names that break the rules, unreadable headers,
+    files above ``spark.sql.sources.binaryFile.maxLength``, whose contents are not asked for, and
+    files that fail to be read; these have no digest.  ``drop`` is looked for below ``root`` only.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", "true")
+        .option("ignoreMissingFiles", "true")
         .load(root)
     )
-    return split_valid(index_rows(files.filter(~F.col("path").contains(drop)), root))
+    files = files.filter(~relative_path(F.col("path"), root).contains(drop))
+    read = materialize(index_rows(files.filter(F.col("length") <= largest_file(spark)), root), "index")
+    good, bad = split_valid(read)
+    listing = files.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"))
+    lost = listing.join(read.select("path"), "path", "left_anti")
+    return good, bad.unionByName(unread(lost, largest_file(spark)), allowMissingColumns=True)
+
+
+def largest_file(spark: SparkSession) -> int:
+    """Bytes of the largest file whose contents Spark reads as one value."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+
+
+def unread(listing: DataFrame, largest: int) -> DataFrame:
+    """Listed files that were not read, with the reason."""
+    reason = F.when(F.col("size") > largest, f"more than {largest} bytes").otherwise("cannot be read")
+    return listing.select("path", "size", reason.alias("reject_reason"))
 
 
 def update_index(
@@ -55,8 +78,17 @@ def update_index(
 ) -> DataFrame:
     """Add the files that are new since the last call to the index at ``out`` and return it all.
 
-    Rejected files are recorded with their reason, so they are not read again.
+    Rejected files, too large ones among them, are recorded with their reason, so they are not read
+    again.  A file that fails to be read is passed over and does not stop the stream.
     """
-    stream = stream_files(spark, root, glob)
-    run_available(stream, lambda s: index_rows(s.filter(~F.col("path").contains(drop)), root), out, checkpoint)
+    largest = largest_file(spark)
+
+    def rows(files: DataFrame) -> DataFrame:
+        files = files.filter(~relative_path(F.col("path"), root).contains(drop))
+        read = index_rows(files.filter(F.col("length") <= largest), root)
+        large = files.filter(F.col("length") > largest)
+        large = large.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"))
+        return read.unionByName(unread(large, largest), allowMissingColumns=True)
+
+    run_available(stream_files(spark, root, glob), rows, out, checkpoint)
     return spark.read.parquet(out)

@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEADING_BYTES = 1 << 18  # compressed bytes that hold the header: 540 bytes of payload
+#: Bytes that hold the header, compressed or not, where a gzip file has no extra field and no comment;
+#: of a file that has one, all bytes are handed on.
+LEADING_BYTES = 1 << 14
+PAYLOAD = 540
 
 # fixed values: public data-type codes of the format
 DTYPE_NAMES = {
@@ -42,9 +45,15 @@ HEADER_SCHEMA = (
 
 
 def _payload(raw: bytes) -> bytes:
-    if raw[:2] == b"\x1f\x8b":
-        return zlib.decompressobj(wbits=31).decompress(raw, 540)
-    return raw[:540]
+    """The header's bytes; a gzip file may begin with empty members."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw[:PAYLOAD]
+    out = b""
+    while raw[:2] == b"\x1f\x8b" and len(out) < PAYLOAD:
+        member = zlib.decompressobj(wbits=31)
+        out += member.decompress(raw, PAYLOAD - len(out))
+        raw = member.unused_data
+    return out
 
 
 def _rotation(b: float, c: float, d: float) -> np.ndarray:
@@ -133,7 +142,12 @@ def extract_headers(df: DataFrame, content: str = "content") -> DataFrame:
     """Replace a content column by header fields; ``header_error`` says why one is unreadable."""
     keep = [f for f in df.schema.fields if f.name != content]
     names = [f.name for f in keep]
-    lead = df.withColumn(content, F.substring(F.col(content), 1, LEADING_BYTES))
+    flags = F.conv(F.hex(F.substring(F.col(content), 4, 1)), 16, 10).cast("int")
+    zipped = F.hex(F.substring(F.col(content), 1, 2)) == "1F8B"
+    whole = zipped & (flags.bitwiseAND(0x14) != 0)
+    lead = df.withColumn(
+        content, F.when(whole, F.col(content)).otherwise(F.substring(F.col(content), 1, LEADING_BYTES))
+    )
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
     schema = f"{kept}, {HEADER_SCHEMA}" if kept else HEADER_SCHEMA
 

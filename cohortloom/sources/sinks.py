@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,14 +25,34 @@ def write_csv(df: DataFrame, path: str, **options) -> None:
     flat_for_csv(df).write.option("header", True).option("escape", '"').options(**options).csv(path)
 
 
+def _has_float(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_float(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_float(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_float(kind.valueType)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def _nan_free(c: Column, kind: T.DataType) -> Column:
+    """``c`` with NULL for every NaN in it, at any depth."""
+    if not _has_float(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_nan_free(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(c.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _nan_free(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: _nan_free(x, kind.valueType))
+    return nan_to_null(c)
+
+
 def without_nan(df: DataFrame) -> DataFrame:
-    """Top-level NaN as NULL: JSON has no NaN."""
+    """NaN as NULL, in nested values too: JSON has no NaN."""
     return df.withColumns(
-        {
-            f.name: nan_to_null(F.col(f.name))
-            for f in df.schema.fields
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-        }
+        {f.name: _nan_free(F.col(f.name), f.dataType) for f in df.schema.fields if _has_float(f.dataType)}
     )
 
 

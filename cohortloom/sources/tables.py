@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.missing import nan_to_null, token_to_null
 from cohortloom.operators.joins import attach_group
-from cohortloom.operators.quality import require_columns
+from cohortloom.operators.quality import require_columns, split_valid
+from cohortloom.session import materialize
 from cohortloom.sources.files import decoded
 
 INDEX_LISTS = {"shape": "bigint", "pixdim": "double"}
@@ -19,15 +20,35 @@ def read_image_index(spark: SparkSession, path: str) -> DataFrame:
     """Image index from CSV, columns taken from its header.
 
     Every id stays text (leading zeros), list literals become arrays, ``size`` a long; entity
-    columns may differ from index to index.
+    columns may differ from index to index. What cannot be read is NULL; :func:`split_image_index` reports it.
     """
     raw = spark.read.csv(path, header=True, escape='"')
     require_columns(raw, ["dataset", "sub", "suffix", "shape", "pixdim", "size", "md5", "path"])
+    return _typed_index(raw)
+
+
+def _typed_index(raw: DataFrame) -> DataFrame:
     texts = {c: token_to_null(F.col(c)) for c in raw.columns if c not in (*INDEX_LISTS, "size")}
     lists = {c: F.from_json(F.col(c), f"array<{t}>") for c, t in INDEX_LISTS.items()}
     return raw.withColumns({**texts, **lists, "size": F.col("size").try_cast("long")})
 
 
+def split_image_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The image index, and the lines of it whose ``shape``, ``pixdim`` or ``size`` cannot be read.
+
+    Rejected lines keep their text and have a ``reject_reason``; a missing value is no reject.
+    """
+    raw = spark.read.csv(path, header=True, escape='"')
+    require_columns(raw, ["dataset", "sub", "suffix", "shape", "pixdim", "size", "md5", "path"])
+    rules = [
+        (token_to_null(F.col(c)).isNull() | F.from_json(F.col(c), f"array<{t}>").isNotNull(), f"{c} is no list")
+        for c, t in INDEX_LISTS.items()
+    ]
+    rules.append((token_to_null(F.col("size")).isNull() | F.col("size").try_cast("long").isNotNull(), "size is no number"))
+    good, bad = split_valid(raw, rules)
+    return _typed_index(good), bad
+
+
 def split_fields(line: Column, sep: str) -> Column:
     """Fields of one delimited line; a quoted field may hold the separator and doubled quotes."""
     s = "\\t" if sep == "\t" else "\\" + sep
@@ -56,7 +77,8 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str = "
         F.monotonically_increasing_id().alias("line"),
         F.regexp_replace("value", r"^\uFEFF", "").alias("text"),
     )
-    lines = lines.filter(F.col("text") != "")
+    # written once: headers and rows are told apart by line numbers, which two scans need not agree on
+    lines = materialize(lines.filter(F.col("text") != ""), "delimited")
     heads = (
         lines.filter(F.col("block") == 0)
         .groupBy("file")
@@ -157,7 +179,8 @@ def read_qc_wide(
     Only the distinct column names come to the driver.
     """
     rows = read_delimited(spark, [f"{d.rstrip('/')}/{pattern}" for d in dirs], ",")
-    names = rows.select(F.explode("header").alias("name")).distinct().orderBy("name").collect()
+    heads = rows.groupBy("file").agg(F.any_value("header").alias("header"))  # a row for each file
+    names = heads.select(F.explode("header").alias("name")).distinct().orderBy("name").collect()
     scores = [r["name"] for r in names if r["name"] != key]
     cells = rows.select(
         parent_directory(F.col("file")).alias("directory"),

@@ -17,6 +17,8 @@ def stream_files(spark: SparkSession, root: str, glob: str = "*.nii*") -> DataFr
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
+        .option("ignoreCorruptFiles", "true")
+        .option("ignoreMissingFiles", "true")
         .load(root)
     )
 

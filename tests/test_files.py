@@ -230,3 +230,60 @@ def test_directories_with_special_characters(spark, tmp_path):
     put(tmp_path / "d 1+x%/t.tsv", "a\n1\n")
     rows = read_delimited(spark, str(tmp_path / "*/t.tsv"))
     assert rows.select(parent_directory(F.col("file")).alias("d")).first().d == "d 1+x%"
+
+
+def test_nested_nan_is_null_in_reports(spark, tmp_path):
+    from cohortloom.sources.sinks import write_report
+
+    rows = spark.sql(
+        "select 1 as id, struct(double('NaN') as a, array(double('NaN'), 2.0D) as b) as s, map('k', double('NaN')) as m"
+    )
+    write_report(rows, str(tmp_path / "report"))
+    text = "".join(p.read_text() for p in (tmp_path / "report").glob("part-*"))
+    assert "NaN" not in text and '"a":null' in text and '"b":[null,2.0]' in text and '"k":null' in text
+
+
+def test_bad_list_literals_are_rejected(spark, tmp_path):
+    from cohortloom.sources.tables import split_image_index
+
+    lines = ["dataset,sub,suffix,shape,pixdim,size,md5,path"]
+    lines += ['d,01,T1w,"[1, 2]","[1.0, 2.0]",5,x,a', "d,02,T1w,oops,[1.0],5,x,b", "d,03,T1w,[1],[1.0],many,x,c", "d,04,T1w,,,,,e"]
+    (tmp_path / "index.csv").write_text("\n".join(lines))
+    good, bad = split_image_index(spark, str(tmp_path / "index.csv"))
+    assert {r.path: r.reject_reason for r in bad.collect()} == {"b": "shape is no list", "c": "size is no number"}
+    assert {r.path: (r["sub"], r["shape"], r["size"]) for r in good.collect()} == {"a": ("01", [1, 2], 5), "e": ("04", None, None)}
+
+
+def test_every_listed_image_is_indexed_or_rejected(spark, tmp_path):
+    from cohortloom.plans.indexing import index_images
+
+    root = tmp_path / "bidsignore-root"
+    folder = root / "d1" / "sub-01" / "anat"
+    folder.mkdir(parents=True)
+    (folder / "sub-01_T1w.nii").write_bytes(b"x" * 10)
+    (folder / "sub-01_T2w.nii").write_bytes(b"x" * 5000)
+    (folder / "sub-01_bidsignore_T1w.nii").write_bytes(b"x")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        good, bad = index_images(spark, str(root))
+        reasons = {r.path.rsplit("/", 1)[1]: (r.reject_reason, r["md5"] is None, r["size"]) for r in bad.collect()}
+        assert good.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert reasons == {
+        "sub-01_T1w.nii": ("not a NIfTI header", False, 10),
+        "sub-01_T2w.nii": ("more than 1000 bytes", True, 5000),
+    }
+
+
+def test_header_behind_an_empty_member_and_an_extra_field():
+    import gzip
+    import zlib
+
+    from cohortloom.sources.nifti import _payload
+
+    body = bytes(range(256)) * 3
+    assert _payload(gzip.compress(b"") + gzip.compress(body)) == body[:540]
+    plain = gzip.compress(body)
+    extra = plain[:3] + bytes([plain[3] | 4]) + plain[4:10] + (60_000).to_bytes(2, "little") + b"\0" * 60_000 + plain[10:]
+    assert _payload(extra) == body[:540] == zlib.decompress(extra, wbits=31)[:540]

@@ -1,13 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.config import ScaleLimits
 from cohortloom.operators.dedup import dedup_first
 from cohortloom.operators.filters import below_threshold, complete_categories, require_category
 from cohortloom.operators.joins import (
     coverage,
     exclude,
-    hot_keys,
     join_m1,
     keyed_join,
     lookup_with_reasons,
@@ -16,7 +14,7 @@ from cohortloom.operators.joins import (
 )
 from cohortloom.operators.quality import DuplicateKeyError, assert_unique, split_valid
 
-TIGHT = ScaleLimits(broadcast_rows=1, hot_key_rows=50, hot_keys=2, salts=5)
+SPREAD = 5
 
 
 @pytest.fixture(scope="module")
@@ -32,18 +30,19 @@ def right(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_hot_keys_change_nothing_in_the_result(left, right, how):
-    assert hot_keys(left, ["k"], TIGHT)
     want = left.join(right, ["k"], how)
-    got = keyed_join(left, right, ["k"], how, scale=TIGHT)
+    got = keyed_join(left, right, ["k"], how, spread=SPREAD)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 def test_hot_key_is_spread_over_tasks(left, right, spark):
+    """Also where the left side is already gathered by the key."""
+    left = left.repartition("k")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = keyed_join(left, right, ["k"], "inner", scale=TIGHT).filter("k = 0")
+        got = keyed_join(left, right, ["k"], "inner", spread=SPREAD).filter("k = 0")
         parts = got.select(F.spark_partition_id().alias("p")).distinct().count()
         plain = left.join(right, "k").filter("k = 0").select(F.spark_partition_id().alias("p")).distinct()
         assert plain.count() == 1 and parts > 1
@@ -56,6 +55,10 @@ def test_many_to_one_join_checks_the_right_side(left, right):
     twice = right.union(right.limit(1))
     with pytest.raises(DuplicateKeyError, match="repeat"):
         join_m1(left, twice, ["k"])
+    with pytest.raises(Exception, match="repeat"):
+        join_m1(left, twice, ["k"], check="later").collect()
+    later = join_m1(left, right, ["k"], check="later")
+    assert later.columns == join_m1(left, right, ["k"], check="none").columns and later.count() == left.count()
     joined = join_m1(left, right, ["k"], match_flag="found")
     assert joined.count() == left.count()
     c = coverage(joined, "found", ["v"]).first()

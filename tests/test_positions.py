@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortloom.config import ScaleLimits
 from cohortloom.operators.positions import (
     batch_slice,
     ecdf,
@@ -17,7 +16,7 @@ from cohortloom.operators.positions import (
 )
 
 
-LIMITS = [ScaleLimits(), ScaleLimits(hot_key_rows=300), ScaleLimits(hot_key_rows=2, hot_keys=2)]
+LIMITS = [1_000_000, 300, 7]
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +36,7 @@ def skewed(spark):
 @pytest.mark.parametrize("limits", LIMITS)
 def test_positions_match_a_window(skewed, limits):
     for by in ([], ["key"]):
-        got = with_position(skewed, ["value", "id"], by, total="n", scale=limits)
+        got = with_position(skewed, ["value", "id"], by, total="n", range_rows=limits)
         w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
         both = got.withColumns(
             {"p": F.row_number().over(w.orderBy("value", "id")), "m": F.count(F.lit(1)).over(w)}
@@ -57,7 +56,7 @@ def test_order_independence(skewed):
     want = sorted(map(tuple, with_position(skewed, ["value", "id"], ["key"]).collect()), key=str)
     limits = LIMITS[1]
     for n in (1, 17):
-        again = with_position(skewed.repartition(n), ["value", "id"], ["key"], scale=limits)
+        again = with_position(skewed.repartition(n), ["value", "id"], ["key"], range_rows=limits)
         assert sorted(map(tuple, again.collect()), key=str) == want
 
 
@@ -68,7 +67,7 @@ def test_quantiles_match_pandas(skewed, limits):
     want = pdf["value"].quantile(list(ps.values()))
     got = quantiles(skewed, "value", ps).first()
     assert np.allclose([got[n] for n in ps], want)
-    by = {r.key: [r[n] for n in ps] for r in quantiles(skewed, "value", ps, ["key"], scale=limits).collect()}
+    by = {r.key: [r[n] for n in ps] for r in quantiles(skewed, "value", ps, ["key"], range_rows=limits).collect()}
     for key, group in pdf.groupby("key", dropna=False):
         assert np.allclose(by[None if pd.isna(key) else key], group["value"].quantile(list(ps.values())))
 
@@ -103,3 +102,9 @@ def test_array_keys_can_be_ordered(spark):
     rows = spark.range(500).select(F.split(F.concat_ws("/", F.lit("a"), F.col("id").cast("string")), "/").alias("p"))
     got = with_position(rows, ["p"]).orderBy("p").collect()
     assert [r.position for r in got] == list(range(1, 501))
+
+
+def test_very_many_groups_over_very_many_ranges(spark):
+    rows = spark.range(15_000).selectExpr("id", "id % 5000 as g")
+    got = with_position(rows, ["id"], ["g"], total="n", range_rows=100)
+    assert got.filter("position <> id div 5000 + 1 or n <> 3").count() == 0 and got.count() == 15_000

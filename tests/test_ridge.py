@@ -181,3 +181,10 @@ def test_user_model_keeps_the_key(data):
     got = score(df, make, "features", P, 64).toPandas().set_index("row")["prediction"]
     want = np.stack(pdf["features"]) @ [1.0, 2.0, 3.0]
     assert np.allclose(got.loc[pdf["row"]], want)
+
+
+@pytest.mark.parametrize("rows", [[([1.0, 2.0], 1.0), ([1.0], 2.0)], [([1.0, None], 1.0)], [([1.0, 2.0], None)]])
+def test_ragged_and_missing_features_are_an_error(spark, rows):
+    df = spark.createDataFrame([(*r, "c") for r in rows], "x array<double>, y double, cell string")
+    with pytest.raises(Exception, match="features|missing"):
+        gram_sums(df, "x", "y", "cell", [0.0, 0.0, 0.0]).collect()
