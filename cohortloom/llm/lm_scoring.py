@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,10 @@ ORDER = 2
 #: Weight of the shorter context, in observations.
 MU = 5.0
 #: Training occurrences from which a context is a state; rarer ones say little about what follows.
-MIN_CONTEXT = 200
+MIN_CONTEXT = 1_000
 #: Fixed: the base's added count, and folds of which number 0 is held out.
 ADDED, FOLDS = 0.1, 10
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 12_000_000
 _END = np.uint64(0x5DEECE66D1234567)
 
 
@@ -164,10 +165,11 @@ def training_totals(docs: DataFrame) -> tuple[int, int]:
             found: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 found.update(text.lower().split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            words = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     training = docs.where(~F.col("held_out"))
-    words = training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = training.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     row = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = training.count()
     return row.n + ends, row.v + (ends > 0)
