@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm.shared import key_of, store, text_of
@@ -198,12 +198,9 @@ def whole_copies(docs: DataFrame, length: int) -> DataFrame:
 
 def of_shared_anchors(found: DataFrame) -> DataFrame:
     """``anchor, n, row, place``: rows of ``found`` whose anchor occurs more than once, with its count."""
-    # both uses are one exchange, as they need the same columns and have the join's filter below them
-    dealt = found.where("anchor is not null").repartition("anchor")
-    used = [F.max(c).alias(f"most_{c}") for c in ("row", "place")]
-    counts = dealt.groupBy("anchor").agg(F.count("*").alias("n"), *used)
-    counts = counts.where("n > 1 and most_row is not null and most_place is not null")
-    return dealt.join(counts.select("anchor", "n"), "anchor").select("anchor", "n", "row", "place")
+    # a window: the rows move once, and Spark spills a large group
+    counted = found.withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
+    return counted.where("n > 1").select("anchor", "n", "row", "place")
 
 
 def shared_stretches(docs: DataFrame, copies: DataFrame, length: int, gram: int) -> DataFrame:
