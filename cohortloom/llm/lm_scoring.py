@@ -1,26 +1,27 @@
 """LM scoring: a weighted backoff automaton over n-grams, walked once from left to right.
 
-States are the n-grams shorter than ``order`` that occur at least ``MIN_CONTEXT`` times in training texts, and the
-empty one. A state has an arc for each token seen after it, weighted with the log probability there, and a failure arc
+States are the n-grams shorter than ``order`` that occur in training texts, and the empty one. A state has an arc for each token seen after it, weighted with the log probability there, and a failure arc
 to its longest proper suffix that is a state, weighted with the mass left for unseen tokens; the empty state
 knows every token. Counts are smoothed towards the shorter context: P(w | h) = (c(hw) + MU * P(w | h')) / (c(h) + MU),
 down to the add-0.1 unigram base, so probabilities over all known tokens and one unknown sum to one in every state.
 
-The automaton of a corpus fits no worker. Documents are dealt into blocks; a block counts its own n-grams, length by
-length, the counts meet by n-gram, and each block gets back the totals that differ from its own, which is all it
-needs of the automaton to walk its documents exactly. A frequent n-gram is one row for each block, however
-often it occurs, and what moves grows with the text. N-grams are 64-bit hashes of their words.
+The automaton of a corpus fits no worker. Documents are dealt into blocks; a block counts its own n-grams, the counts
+meet in ranges of n-grams, and each block gets back what the others add to its own, which is all it needs of the
+automaton to walk its documents exactly. A frequent n-gram moves once for each block, however often it occurs,
+and what moves grows with the text. N-grams are 64-bit hashes of their words; a block sends them sorted, as
+packed differences, and the answers come in the same order without them.
 """
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.jaccard_join import WordHashes, mixed
@@ -29,18 +30,36 @@ from cohortloom.llm.shared import text_of
 ORDER = 2
 #: Weight of the shorter context, in observations.
 MU = 5.0
-#: Training occurrences from which a context is a state; rarer ones say little about what follows.
-MIN_CONTEXT = 1_000
+#: Training occurrences from which a context is a state: every one that was seen.
+MIN_CONTEXT = 1
 #: Fixed: the base's added count, and folds of which number 0 is held out.
 ADDED, FOLDS = 0.1, 10
 BLOCK_BYTES = 12_000_000
+#: Text whose n-grams meet in one range.
+RANGE_BYTES = 24_000_000
 _END = np.uint64(0x5DEECE66D1234567)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes, as many as the largest needs."""
+    values = np.ascontiguousarray(values).astype("<u8")
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<qB", len(values), width) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<qB", blob)
+    planes = pa.decompress(blob[9:], decompressed_size=n * width, codec="zstd", asbytes=True) if n * width else b""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(n)
+
+
 class Block:
-    """The token sequence of a block's documents and, for each length, its n-grams behind a state."""
+    """The token sequence of a block's documents and, for each length up to ``order``, its n-grams."""
 
-    def __init__(self, texts: list[bytes], training: np.ndarray):
+    def __init__(self, texts: list[bytes], training: np.ndarray, order: int):
         hashes = WordHashes()
         words = [t.lower().split() for t in texts]  # of bytes: A-Z only, and ASCII white space only
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
@@ -52,45 +71,43 @@ class Block:
         self.tokens[inner] = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64)
         self.tokens[last] = _END
         self.ends = ~inner
-        self.train = np.repeat(training, self.sizes)
-        #: Per length: n-gram number at each place (-1: none), n-gram keys, own and corpus-wide counts.
+        train = np.repeat(training, self.sizes)
+        place = np.arange(len(self.tokens)) - np.repeat(self.begin, self.sizes)
+        #: Per length: n-gram number at each place (-1: none), n-gram keys in order, own counts, and once settled the corpus's.
         self.at, self.keys, self.own, self.counts = [], [], [], []
-        self.key = mixed(self.tokens)
-        #: Places after which the last n-gram, so far, is a state; and the longest such length.
-        self.open = np.ones(len(self.tokens), bool)
+        key = mixed(self.tokens)
+        for k in range(order):
+            if k:
+                key[1:] = mixed(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.tokens[1:] + np.uint64(k))
+            there = place >= k
+            found, index = np.unique(key[there], return_inverse=True)
+            at = np.full(len(self.tokens), -1, np.int64)
+            at[there] = index
+            self.at.append(at)
+            self.keys.append(found)
+            self.own.append(np.bincount(index, train[there], len(found)).astype(np.int64))
+        #: Length of the longest n-gram that ends at each place and is a state, once settled.
         self.state = np.zeros(len(self.tokens), np.int64)
 
-    def extend(self) -> None:
-        """Number and count the n-grams of the next length."""
-        k = len(self.at)
-        if k:
-            key = np.empty_like(self.key)
-            key[0] = 0
-            key[1:] = mixed(self.key[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.tokens[1:] + np.uint64(k))
-            self.key = key
-            there = np.append(False, self.open[:-1])
-            there[self.begin] = False
-        else:
-            there = self.open
-        found, index = np.unique(self.key[there], return_inverse=True)
-        at = np.full(len(self.tokens), -1, np.int64)
-        at[there] = index
-        self.at.append(at)
-        self.keys.append(found)
-        self.own.append(np.bincount(index, self.train[there], len(found)).astype(np.int64))
-
-    def settle(self, keys: np.ndarray, totals: np.ndarray, min_context: int) -> None:
-        """Corpus-wide counts of the last length: given ones, sorted by key, else the block's own; then its states."""
-        own_keys, counts = self.keys[-1], self.own[-1].copy()
-        if len(keys):
-            where = np.minimum(np.searchsorted(keys, own_keys), len(keys) - 1)
-            known = keys[where] == own_keys
-            counts[known] = totals[where[known]]
-        self.counts.append(counts)
-        at = self.at[-1]
-        self.open = (at >= 0) & ~self.ends
-        self.open[self.open] = counts[at[self.open]] >= min_context
-        self.state[self.open] = len(self.at)
+    def in_order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """N-grams of all lengths by key: where each stands among the lengths put together, its key and own count."""
+        keys = np.concatenate(self.keys)
+        by = np.argsort(keys, kind="stable")
+        return by, keys[by], np.concatenate(self.own)[by]
+
+    def settle(self, more: np.ndarray, min_context: int) -> None:
+        """Corpus-wide counts, from what other blocks add to the own ones ``in_order``; then the states."""
+        by, _, own = self.in_order()
+        totals = np.empty(len(by), np.int64)
+        totals[by] = own + more
+        self.counts = np.split(totals, np.cumsum([len(k) for k in self.keys])[:-1])
+        opened = None
+        for k, (at, counts) in enumerate(zip(self.at, self.counts)):
+            if opened is not None:  # only n-grams behind a state are arcs
+                at[1:][~opened[:-1]] = -1
+            opened = (at >= 0) & ~self.ends
+            opened[opened] = counts[at[opened]] >= min_context
+            self.state[opened] = k + 1
 
 
 def unigram_base(counts: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -193,48 +210,39 @@ def score(
     n, v = training_totals(rows)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    def settled(table: pa.Table, known: pa.Table | None, lengths: int) -> Block:
-        """The block with corpus-wide counts of so many lengths."""
-        block = Block(table["text"].to_pylist(), ~np.array(table["held_out"].to_pylist(), bool))
-        keys = np.zeros(0, np.uint64) if known is None else known["gram"].to_numpy().view(np.uint64)
-        totals = np.zeros(0, np.int64) if known is None else known["total"].to_numpy()
-        by = np.argsort(keys)
-        keys, totals = keys[by], totals[by]
-        for _ in range(lengths):
-            block.extend()
-            block.settle(keys, totals, min_context)
-        return block
-
-    def counted(block: Block, number: int) -> pa.Table:
-        block.extend()
-        packed = np.int64(number << 32) + block.own[-1]
-        return pa.table({"gram": block.keys[-1].view(np.int64), "own": packed})
-
-    def first(key: tuple, table: pa.Table) -> pa.Table:
-        return counted(settled(table, None, 0), key[0].as_py())
-
-    def further(lengths: int):
-        def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
-            if not table.num_rows:
-                return pa.table({"gram": pa.array([], pa.int64()), "own": pa.array([], pa.int64())})
-            return counted(settled(table, known, lengths), key[0].as_py())
-
-        return run
-
-    # block and count share a column: half of what moves here would be the block's number otherwise
-    known = None
-    for lengths in range(order):
-        if known is None:
-            own = dealt.groupBy("block").applyInArrow(first, "gram long, own long")
-        else:
-            own = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(further(lengths), "gram long, own long")
-        count = F.expr("own & 4294967295L")
-        met = own.withColumn("total", F.sum(count).over(Window.partitionBy("gram")))
-        other = met.where(F.col("total") != count).select(F.expr("cast(own >> 32 as int)").alias("block"), "gram", "total")
-        known = other if known is None else known.unionByName(other)
+    ranges = int(size // RANGE_BYTES) + 1
+
+    def read(table: pa.Table) -> Block:
+        return Block(table["text"].to_pylist(), ~np.array(table["held_out"].to_pylist(), bool), order)
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        _, keys, own = read(table).in_order()
+        place = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        edge = np.searchsorted(place, np.arange(ranges + 1))
+        grams = [packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(edge[:-1], edge[1:])]
+        counts = [packed(own[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+        numbers = pa.array(np.full(ranges, key[0].as_py(), np.int32))
+        return pa.table(
+            {"range": pa.array(np.arange(ranges, dtype=np.int32)), "block": numbers, "grams": pa.array(grams, pa.binary()), "counts": pa.array(counts, pa.binary())}
+        )
+
+    def meet(table: pa.Table) -> pa.Table:
+        own = [unpacked(c).astype(np.int64) for c in table["counts"].to_pylist()]
+        keys = np.concatenate([np.cumsum(unpacked(g), dtype=np.uint64) for g in table["grams"].to_pylist()])
+        _, index = np.unique(keys, return_inverse=True)
+        del keys
+        each = np.concatenate(own)
+        more = np.bincount(index, each).astype(np.int64)[index] - each
+        more = np.split(more, np.cumsum([len(o) for o in own])[:-1])
+        return pa.table({"range": table["range"], "block": table["block"], "more": pa.array([packed(m) for m in more], pa.binary())})
+
+    own = dealt.groupBy("block").applyInArrow(count, "range int, block int, grams binary, counts binary")
+    answers = own.groupBy("range").applyInArrow(meet, "range int, block int, more binary")
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = settled(left, right, order)
+        block = read(left)
+        found = right.sort_by("range")["more"].to_pylist()
+        block.settle(np.concatenate([unpacked(m) for m in found]).astype(np.int64), min_context)
         unigrams = block.counts[0][block.at[0]]
         base = np.add.reduceat(np.log10(unigram_base(unigrams, n, v)), block.begin)
         return pa.table(
@@ -250,4 +258,4 @@ def score(
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(walk, schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema)

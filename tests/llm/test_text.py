@@ -62,6 +62,20 @@ def test_lm_scores(spark, order, block_bytes, least):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=0, atol=1e-6)
 
 
+def test_every_seen_context_is_a_state(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(40)], k=rng.randint(0, 30)))) for i in range(60)] + ODD
+    got = sorted((tuple(r) for r in lm_scoring.score(docs_of(spark, rows), block_bytes=400).collect()), key=str)
+    want = sorted(expected_scores(rows, lm_scoring.ORDER, lm_scoring.MU, 1), key=str)
+    assert np.allclose(sorted(g[6] for g in got), sorted(w[6] for w in want), rtol=0, atol=1e-6)
+    assert sum(abs(g[6] - g[5]) > 1e-3 for g in got) > 40
+
+
+def test_packed_numbers():
+    for values in ([], [0], [0, 0], [1, 255, 256], [2**64 - 1, 0, 7]):
+        assert lm_scoring.unpacked(lm_scoring.packed(np.array(values, np.uint64))).tolist() == values
+
+
 # --- BPE -------------------------------------------------------------------------------------------
 
 
