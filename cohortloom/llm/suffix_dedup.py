@@ -5,8 +5,8 @@ prefixes, and runs of prefixes of at least ``LENGTH`` bytes are equal strings. W
 merged by binary search in sorted runs.
 
 Shards hold what can repeat, and nothing else. A rolling hash of every ``GRAM`` bytes is taken and each string's
-least one is its anchor, so equal strings have equal anchors; only stretches whose anchor occurs twice in the
-corpus go to a shard, chosen by the anchor, equal stretches once with their earliest place. Documents that repeat an earlier one wholly are set apart first. An anchor
+least one is its anchor, so equal strings have equal anchors; only stretches whose anchor occurs twice, in other
+stretches or as a gram within the stretch, go to a shard, chosen by the anchor, equal stretches once with their earliest place. Documents that repeat an earlier one wholly are set apart first. An anchor
 with very many stretches, such as the edge of a passage that countless documents share, is spread over
 shards of its own; each finds its first strings, and their digests meet, sorted, in ranges. Every step is
 linear in the text, and no task holds more than a shard or a range of bounded size.
@@ -35,8 +35,18 @@ RANGE_ROWS = 500_000
 BATCH_BYTES = 4_000_000
 
 
-def least_anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """For each start of ``length`` bytes, the least hash of the grams in it."""
+def spanned(h: np.ndarray, wide: int, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ``wide`` neighbours."""
+    size = 1
+    while size * 2 <= wide:
+        h = pick(h[:-size], h[size:])
+        size *= 2
+    rest = wide - size
+    return pick(h[: len(h) - rest], h[rest:])
+
+
+def least_anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of ``length`` bytes the least hash of the grams in it, and the hash of each gram."""
     with np.errstate(over="ignore"):
         h = data.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
         factor, size = np.uint64(0x9E3779B97F4A7C15), 1
@@ -45,21 +55,33 @@ def least_anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
             h ^= h >> np.uint64(29)
             factor, size = factor * factor, size * 2
         h *= np.uint64(0x94D049BB133111EB)
-    wide, size = length - gram + 1, 1
-    while size * 2 <= wide:
-        h = np.minimum(h[:-size], h[size:])
-        size *= 2
-    rest = wide - size
-    return np.minimum(h[: len(h) - rest], h[rest:])
+    return spanned(h, length - gram + 1, np.minimum), h
+
+
+def near_repeats(h: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second places of grams that are anchors and stand again less than ``STRETCH`` bytes further on.
+
+    Given back by first place, with the least second place from there on.
+    """
+    wide = len(h) - len(anchor) + 1
+    edge = np.zeros(wide - 1, np.uint64)
+    places = np.flatnonzero(spanned(np.concatenate([edge, anchor, edge]), wide, np.maximum) == h)
+    by = places[np.lexsort((places, h[places]))]
+    close = np.flatnonzero((h[by[1:]] == h[by[:-1]]) & (by[1:] - by[:-1] < STRETCH))
+    first, second = by[close], by[close + 1]
+    order = np.argsort(first)
+    return first[order], np.minimum.accumulate(second[order][::-1])[::-1]
 
 
 def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one anchor: text number, anchor, first start, number of starts."""
+    """Runs of starts with one anchor: text number, anchor, first start, number of starts, and whether a gram that
+    is an anchor stands twice in the run's bytes, without which no two of its strings are equal."""
     sizes = np.array([len(t) for t in texts], np.int64)
     if sizes.sum() < length:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
-    anchor = least_anchors(np.frombuffer(b"".join(texts), np.uint8), length, gram)
+        return empty, empty, empty, empty, empty
+    anchor, h = least_anchors(np.frombuffer(b"".join(texts), np.uint8), length, gram)
+    first, second = near_repeats(h, anchor)
     begin = np.cumsum(sizes) - sizes
     number = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
     within = np.arange(len(number)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
@@ -70,7 +92,10 @@ def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, .
     far = np.arange(len(number)) - np.repeat(head, np.diff(np.append(head, len(number))))
     head = np.flatnonzero(new | (far % STRETCH == 0))
     count = np.diff(np.append(head, len(number)))
-    return number[head], anchor[head].view(np.int64), within[head], count
+    start = begin[number[head]] + within[head]
+    following = np.append(second, len(h))[np.searchsorted(first, start)]
+    twice = following < start + count + length - gram
+    return number[head], anchor[head].view(np.int64), within[head], count, twice.astype(np.int64)
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,14 +222,17 @@ def whole_copies(docs: DataFrame, length: int) -> DataFrame:
 
 
 def of_shared_anchors(found: DataFrame) -> DataFrame:
-    """``anchor, n, row, place``: rows of ``found`` whose anchor occurs more than once, with its count."""
+    """``anchor, n, row, place``: rows of ``found`` whose anchor occurs more than once, or twice within, with its count."""
     # a window: the rows move once, and Spark spills a large group
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
-    return counted.where("n > 1").select("anchor", "n", "row", "place")
+    return counted.where("n > 1 or (place & 128) > 0").select("anchor", "n", "row", "place")
 
 
 def shared_stretches(docs: DataFrame, copies: DataFrame, length: int, gram: int) -> DataFrame:
-    """``anchor, n, row, place``: stretches whose anchor occurs more than once, whole copies left out."""
+    """``anchor, n, row, place``: stretches whose anchor occurs more than once, whole copies left out.
+
+    ``place`` holds the number of starts in 7 bits, then the flag of ``stretches``, then the first start.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +243,9 @@ def shared_stretches(docs: DataFrame, copies: DataFrame, length: int, gram: int)
                 while stop < len(texts) and total < BATCH_BYTES:
                     total += len(texts[stop])
                     stop += 1
-                number, anchor, at, count = stretches(texts[start:stop], length, gram)
+                number, anchor, at, count, twice = stretches(texts[start:stop], length, gram)
                 number = number + start
-                columns = [pa.array(anchor), pa.array(rows[number]), pa.array(at * 128 + count)]
+                columns = [pa.array(anchor), pa.array(rows[number]), pa.array(at * 256 + twice * 128 + count)]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "row", "place"])
                 start = stop
 
@@ -232,7 +260,7 @@ def cut_out(docs: DataFrame, found: DataFrame, length: int, spread: int) -> Data
     lists = found.groupBy("row").agg(F.collect_list(F.struct("anchor", "n", "place")).alias("places"))
     rows = docs.select("id", "row", "text").join(lists, "row")
     rows = rows.select("id", "row", "text", F.inline("places"))
-    rows = rows.withColumn("at", F.expr("cast(place div 128 as int)")).withColumn("starts", F.expr("cast(place % 128 as int)"))
+    rows = rows.withColumn("at", F.expr("cast(place div 256 as int)")).withColumn("starts", F.expr("cast(place % 128 as int)"))
     rows = rows.withColumn("part", F.expr(f"substr(text, at + 1, starts + {length - 1})"))
     ways = F.expr(f"(n + {spread - 1}) div {spread}")
     rows = rows.withColumn("key", F.xxhash64("anchor", F.when(ways > 1, F.pmod(F.xxhash64("part"), ways))))

@@ -120,6 +120,22 @@ def test_suffixes(spark, docs, spread, shard_bytes):
     assert "left_over" in got.columns and got.where("text is null").count() == 1
 
 
+def test_repeats_that_overlap_themselves(spark):
+    rng = random.Random(13)
+
+    def text(n):
+        return "".join(rng.choices("abcdefghijklmnop ", k=n))
+
+    rows = []
+    for size in (101, 110, 120, 137, 150, 163):
+        for period in (1, 2, 3, 7, 20, 36, 37, 38, 50, 62):
+            body = (text(period) * size)[:size]
+            rows += [(len(rows), body), (len(rows) + 1, text(40) + (text(period) * size)[:size] + text(150))]
+    rows += [(500, "=" * 120), (501, text(200) + "ha " * 45 + text(99)), (502, "-+" * 60)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows))
+    assert values(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(rows, 100)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for size in (1, 5, 300):
