@@ -5,13 +5,15 @@ an unknown class; it is trained here, on variations of the templates below and o
 confidence is calibrated by a temperature on variations it has not seen. A prediction is confirmed when
 the paragraph shares enough word trigrams with a template of the family, in proportion to the shorter of the two.
 
-A confirmed paragraph shares a trigram with a template, so paragraphs that share none are passed over while the
-texts are read, without moving them; hashes of trigrams and features are bounded by the templates. The
-rest is sums over the few paragraphs left. The scan is all DataFrame functions.
+Each feature has a weight that no family gains more by over unknown. A paragraph where these add up to less than a
+sure prediction takes is unknown whatever its family, and is passed over while the texts are read, without
+moving it, unless it shares a trigram with a template. Features and trigrams are bounded by the templates. The rest
+is sums over the few paragraphs left. The scan is all DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from functools import lru_cache
@@ -182,12 +184,36 @@ def hashed(words: Column) -> Column:
     return F.array_distinct(F.slice(each, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))))
 
 
+def featured(words: Column) -> Column:
+    """Unigrams and bigrams of an array of words."""
+    pairs = F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+    return F.concat(words, F.filter(pairs, lambda g: g.isNotNull()))
+
+
+def gains() -> tuple[dict[str, int], int]:
+    """What each feature adds over unknown for the family that it favours most, in tenths rounded up, and the sum from
+    which a family can reach ``LEAST_PROBABILITY``."""
+    families, weights, bias = trained()
+    unknown = families.index(UNKNOWN)
+
+    def most(w: np.ndarray) -> float:
+        return float(np.delete(w, unknown).max()) - float(w[unknown])
+
+    # surely below the exact sum
+    least = math.floor(10 * (math.log(LEAST_PROBABILITY / (1 - LEAST_PROBABILITY)) - most(bias) - 1e-3))
+    return {g: math.ceil(10 * most(w)) for g, w in weights.items()}, least
+
+
+def listed(features: list[str]) -> str:
+    return ", ".join(f"'{g}'" for g in sorted(features))
+
+
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each paragraph that shares a trigram with a template.
+    """A row for each paragraph of a sure family, and for each that shares a trigram with a template.
 
     ``doc_id, paragraph`` (from 0), ``family`` (``unknown`` if not sure), ``probability, similarity, confirmed``.
     Null, empty and blank texts have no paragraphs; repeated rows are scanned each; a null doc_id stays null.
-    Other columns are ignored. Paragraphs of fewer than three words share no trigram.
+    Other columns are ignored. Paragraphs without a row are unknown. Those of fewer than three words share no trigram.
     """
     spark = docs.sparkSession
     families, weights, bias = trained()
@@ -200,16 +226,20 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("paragraph", "line"))
     lines = lines.withColumn("words", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != ""))
     lines = lines.withColumn("grams", hashed(F.col("words")))
+    gain, least = gains()
+    lines = lines.withColumn("pairs", featured(F.col("words")))
+    lines = lines.withColumn("known", F.expr(f"array_distinct(filter(pairs, g -> g in ({listed(list(gain))})))"))
+    cases = " ".join(f"when g in ({listed([g for g, n in gain.items() if n == step])}) then {step}" for step in sorted(set(gain.values())))
+    lines = lines.withColumn("gain", F.expr(f"aggregate(known, 0, (a, g) -> a + case {cases} else 0 end)"))
     # not a filter: the optimizer would move that down and evaluate the trigrams again for each of them
-    found = F.when(F.exists("grams", lambda g: g.isin(hashes)), F.array(F.struct(*lines.columns)))
-    found = lines.select(F.inline(found)).drop("line").withColumn("row", F.monotonically_increasing_id())
+    kept = F.struct("doc_id", "paragraph", "grams", "known")
+    found = F.when((F.col("gain") >= least) | F.exists("grams", lambda g: g.isin(hashes)), F.array(kept))
+    found = lines.select(F.inline(found)).withColumn("row", F.monotonically_increasing_id())
     found = store(found, "paragraphs")  # few, and read several times
 
-    pairs = F.transform(F.col("words"), lambda w, i: F.concat(w, F.lit(" "), F.get("words", i + 1)))
-    features = F.array_distinct(F.concat("words", F.filter(pairs, lambda g: g.isNotNull())))
     columns = [f"w{i}" for i in range(len(families))]
     table = spark.createDataFrame([(g, *map(float, v)) for g, v in weights.items()], "feature string, " + ", ".join(f"{c} double" for c in columns))
-    each = found.select("row", F.explode(features).alias("feature")).join(F.broadcast(table), "feature")
+    each = found.select("row", F.explode("known").alias("feature")).join(F.broadcast(table), "feature")
     scores = each.groupBy("row").agg(*[(F.sum(c) + float(bias[i])).alias(c) for i, c in enumerate(columns)])
     top = F.greatest(*columns)
     total = sum((F.exp(F.col(c) - top) for c in columns), F.lit(0.0))
@@ -221,10 +251,11 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     shared = shared.groupBy("row", "n", "family", "template").agg(F.count("*").alias("common")).join(F.broadcast(sizes), ["family", "template"])
     similar = shared.groupBy("row", F.col("family").alias("best")).agg(F.max(F.col("common") / F.least("n", "size")).alias("similarity"))
 
-    out = found.select("row", "doc_id", "paragraph").join(scores, "row").join(similar, ["row", "best"], "left")
+    out = found.select("row", "doc_id", "paragraph", "grams").join(scores, "row").join(similar, ["row", "best"], "left")
     sure = (F.col("best") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY)
     similarity = F.round(F.coalesce("similarity", F.lit(0.0)), 6)
-    return out.select(
+    shared = F.exists("grams", lambda g: g.isin(hashes))
+    return out.where(sure | shared).select(
         "doc_id",
         "paragraph",
         F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"),

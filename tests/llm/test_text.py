@@ -232,6 +232,29 @@ def test_licence_scan_agrees_with_plain_python(spark):
     assert len(want) > 20 and got == want
 
 
+def test_licences_are_found_without_template_trigrams(spark):
+    families, weights, bias = license_scan.trained()
+    known = {g for ss in license_scan.template_trigrams().values() for s in ss for g in s}
+    texts = ["MIT License", "Apache License", "GPL-3.0", "License: Apache-2.0", "mit", "..."] + license_scan.OTHERS
+    for ts in license_scan.TEMPLATES.values():
+        for t in ts:
+            w = license_scan.tokens(t)
+            texts += [" ".join(x for i, x in enumerate(w) if i % 3 != k) for k in range(3)]
+            texts += [" ".join(y for a in range(k, len(w), 2) for y in (*w[a : a + 2], "zz")) for k in range(2)]
+    want, silent = {}, 0
+    for d, t in enumerate(texts):
+        words = license_scan.tokens(t)
+        z = bias + sum((weights[g] for g in license_scan.grams(words) if g in weights), np.zeros(len(families)))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        sure = families[int(p.argmax())] != "unknown" and p.max() >= license_scan.LEAST_PROBABILITY
+        shares = any(g in known for g in zip(words, words[1:], words[2:]))
+        silent += sure and not shares
+        if sure or shares:
+            want[d] = families[int(p.argmax())] if sure else "unknown"
+    got = {r.doc_id: r.family for r in license_scan.scan(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert silent > 10 and got == want
+
+
 # --- toxicity --------------------------------------------------------------------------------------
 
 
