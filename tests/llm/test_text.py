@@ -273,6 +273,21 @@ def test_hidden_words_are_read(letters, written, word):
     assert word in toxicity.readings(written, letters)
 
 
+@pytest.mark.parametrize("written, word", [
+    ("the.thing.with_and_of_" * 5 + "m0r0n", "moron"), ("m" + "o" * 90 + "ron", "moron"), ("l." + "o." * 70 + "s.e.r", "loser"), ("stuupid", "stupid"), ("mooron", "moron"), ("tr@sh," * 20, "trash"),
+])
+def test_hidden_words_are_read_at_any_length(letters, written, word):
+    found = toxicity.readings(written, letters)
+    assert word in found or any(word in w for w in found if len(written) > 60)
+    assert any(f in word for w in found for f in toxicity.features_of(w) if len(f) == 5)
+
+
+def test_runs_of_a_long_word(letters):
+    word = "abcdefghij" * 8 + "idiot" + "klmnopqrst" * 2000
+    assert "idiot" in {f for w in toxicity.readings(word, letters) for f in toxicity.features_of(w)}
+    assert len(toxicity.viterbi("ab" * 50_000, letters)) == 100_000
+
+
 def test_spaced_words_and_plain_words(letters):
     assert toxicity.spaced_words("you i d i o t and m o r o n. a b".split()) == ["idiot", "moron."]
     assert toxicity.readings("the%%%", letters) == ("the",) and toxicity.readings("...", letters) == ()
