@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import bpe, exact_dedup, jaccard_join, license_scan, line_dedup, lm_scoring, packing, quality_rules, suffix_dedup, toxicity
+from cohortloom.llm import (
+    bpe,
+    exact_dedup,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    packing,
+    quality_rules,
+    resampling,
+    suffix_dedup,
+    toxicity,
+)
 from cohortloom.llm.shared import documents
 
 
@@ -49,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
     found = [
         op1_license_scan,
@@ -61,6 +77,7 @@ def queries() -> dict:
         op8_quality_rules,
         op9_toxicity,
         op10_bpe,
+        op11_importance_resampling,
     ]
     return {f.__name__: f for f in found}
 
@@ -71,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": jaccard_join.oracle_sql(),
         "op7_line_dedup": line_dedup.oracle_sql(),
         "op8_quality_rules": quality_rules.oracle_sql(),
+        "op11_importance_resampling": resampling.oracle_sql(),
     }
