@@ -17,6 +17,7 @@ from cohortloom.llm import (
     resampling,
     suffix_dedup,
     toxicity,
+    url_filter,
 )
 from cohortloom.llm.shared import documents
 
@@ -65,6 +66,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, url_filter.listed_pages(pages))
+
+
 def queries() -> dict:
     found = [
         op1_license_scan,
@@ -78,6 +84,7 @@ def queries() -> dict:
         op9_toxicity,
         op10_bpe,
         op11_importance_resampling,
+        op12_url_filter,
     ]
     return {f.__name__: f for f in found}
 
@@ -89,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.oracle_sql(),
         "op8_quality_rules": quality_rules.oracle_sql(),
         "op11_importance_resampling": resampling.oracle_sql(),
+        "op12_url_filter": url_filter.oracle_sql(),
     }
