@@ -15,6 +15,7 @@ from cohortloom.llm import (
     packing,
     quality_rules,
     resampling,
+    spelling,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -71,6 +72,10 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.listed_pages(pages))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     found = [
         op1_license_scan,
@@ -85,6 +90,7 @@ def queries() -> dict:
         op10_bpe,
         op11_importance_resampling,
         op12_url_filter,
+        op13_spelling_variants,
     ]
     return {f.__name__: f for f in found}
 
@@ -97,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": quality_rules.oracle_sql(),
         "op11_importance_resampling": resampling.oracle_sql(),
         "op12_url_filter": url_filter.oracle_sql(),
+        "op13_spelling_variants": spelling.oracle_sql(),
     }
