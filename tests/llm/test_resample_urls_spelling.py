@@ -239,6 +239,7 @@ def test_variants(spark, parts):
         return w
 
     rows = [(i, " ".join(edited(rng.choice(base)) for _ in range(60)).title()) for i in range(40)] + ODD
+    rows.append((501, "anchor " * 20 + "anchora " * 7 + "anchorab " * 3))  # a chain of forms
     got = spelling.group_variants(docs_of(spark, rows).repartition(3), parts=parts)
     assert got.columns == ["word", "n", "n_near", "form", "form_n", "root"]
     want = expected_groups(rows)
