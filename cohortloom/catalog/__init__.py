@@ -10,5 +10,6 @@ from cohortloom.catalog import (  # noqa: F401
     planning,
     profile,
     relational,
+    scans,
 )
 from cohortloom.catalog.base import REGISTRY, queries, sql_texts  # noqa: F401

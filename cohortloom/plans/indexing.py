@@ -11,66 +11,54 @@ from cohortloom.functions.names import parse_entities, promote
 from cohortloom.operators.quality import split_valid
 from cohortloom.operators.reshape import in_order
 from cohortloom.session import materialize
-from cohortloom.sources.files import relative_path
-from cohortloom.sources.nifti import extract_headers
+from cohortloom.sources.files import relative_path, scan_files
+from cohortloom.sources.images import describe_files, read_images
 from cohortloom.streaming.index import run_available, stream_files
 
 ENTITIES = ("sub", "ses", "run", "acq", "rec", "ce", "rez", "echo", "part", "task")
 INDEX_TAIL = ("suffix", "shape", "pixdim", "dtype", "orient", "size", "md5", "path")
 
 
-def index_rows(files: DataFrame, root: str, entities: Sequence[str] = ENTITIES) -> DataFrame:
-    """Index rows of files as read by ``binaryFile``, batch or stream, with ``reject_reason``.
+def index_rows(files: DataFrame, entities: Sequence[str] = ENTITIES) -> DataFrame:
+    """Index rows of files as read by :mod:`cohortloom.sources.images`, with ``reject_reason``.
 
-    The digest is taken where the bytes are; only the leading bytes go on to the header decoder.
-    All entities of a name stay in the map ``entities``; the listed ones are columns as well.
+    A bad name is told before a bad file. All entities of a name stay in the map ``entities``; the listed ones
+    are columns as well.
     """
-    read = files.select(
-        relative_path(F.col("path"), root).alias("path"),
-        F.col("length").alias("size"),
-        F.md5("content").alias("md5"),
-        "content",
-    )
-    named = parse_entities(extract_headers(read))
-    reason = F.coalesce("reject_reason", "header_error")
-    rows = promote(named.withColumn("reject_reason", reason), entities).drop("header_error", "datatype")
+    named = parse_entities(files)
+    reason = F.coalesce("reject_reason", "read_error", "header_error")
+    rows = promote(named.withColumn("reject_reason", reason), entities).drop("header_error", "read_error", "datatype")
     return in_order(rows.select("dataset", *entities, "entities", "reject_reason", *INDEX_TAIL), INDEX_TAIL)
 
 
 def index_images(
-    spark: SparkSession, root: str, glob: str = "*.nii*", drop: str = "bidsignore"
+    spark: SparkSession, root: str, glob: str = "*.nii*", drop: str = "bidsignore", listing: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Index of all images below ``root``, and the files that could not be indexed.
 
-    Every listed file is in one of the two.  Rejected are names that break the rules, unreadable headers,
-    files above ``spark.sql.sources.binaryFile.maxLength``, whose contents are not asked for, and
-    files that fail to be read; these have no digest.  ``drop`` is looked for below ``root`` only.
+    Every listed file is in one of the two. Rejected are names that break the rules, unreadable headers, files that
+    cannot be read, and files above ``spark.sql.sources.binaryFile.maxLength`` where the session sets it;
+    without it there is no limit, for files are read in pieces. ``drop`` is looked for below ``root`` only.
+    A ``listing`` (column ``path``) wins over a scan of the folder: it is taken as it is.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(root)
-    )
-    files = files.filter(~relative_path(F.col("path"), root).contains(drop))
-    read = materialize(index_rows(files.filter(F.col("length") <= largest_file(spark)), root), "index")
-    good, bad = split_valid(read)
-    listing = files.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"))
-    lost = listing.join(read.select("path"), "path", "left_anti")
-    return good, bad.unionByName(unread(lost, largest_file(spark)), allowMissingColumns=True)
-
-
-def largest_file(spark: SparkSession) -> int:
-    """Bytes of the largest file whose contents Spark reads as one value."""
-    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    largest = largest_file(spark)
+    if listing is not None:
+        files, large = describe_files(listing, root), None
+    else:
+        files = read_images(spark, root, pathGlobFilter=glob, drop=drop, **({"maxLength": largest} if largest else {}))
+        large = scan_files(spark, root, glob, drop).filter(F.col("size") > largest) if largest else None
+    good, bad = split_valid(materialize(index_rows(files), "index"))
+    return good, bad if large is None else bad.unionByName(unread(large, largest), allowMissingColumns=True)
+
+
+def largest_file(spark: SparkSession) -> int | None:
+    """Bytes of the largest file that the session lets be read; None where it says nothing."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", "0")) or None
 
 
 def unread(listing: DataFrame, largest: int) -> DataFrame:
     """Listed files that were not read, with the reason."""
-    reason = F.when(F.col("size") > largest, f"more than {largest} bytes").otherwise("cannot be read")
-    return listing.select("path", "size", reason.alias("reject_reason"))
+    return listing.select("path", "size", F.lit(f"more than {largest} bytes").alias("reject_reason"))
 
 
 def update_index(
@@ -78,17 +66,18 @@ def update_index(
 ) -> DataFrame:
     """Add the files that are new since the last call to the index at ``out`` and return it all.
 
-    Rejected files, too large ones among them, are recorded with their reason, so they are not read
-    again.  A file that fails to be read is passed over and does not stop the stream.
+    Rejected files are recorded with their reason, so they are not read again; a file that fails to be read does
+    not stop the stream. The stream moves paths only, and each file is read in pieces where its path arrives.
     """
     largest = largest_file(spark)
 
     def rows(files: DataFrame) -> DataFrame:
-        files = files.filter(~relative_path(F.col("path"), root).contains(drop))
-        read = index_rows(files.filter(F.col("length") <= largest), root)
-        large = files.filter(F.col("length") > largest)
-        large = large.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"))
-        return read.unionByName(unread(large, largest), allowMissingColumns=True)
+        below = files.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"))
+        below = below.filter(~F.col("path").contains(drop))
+        if not largest:
+            return index_rows(describe_files(below, root, size="size"))
+        read = index_rows(describe_files(below.filter(F.col("size") <= largest), root, size="size"))
+        return read.unionByName(unread(below.filter(F.col("size") > largest), largest), allowMissingColumns=True)
 
     run_available(stream_files(spark, root, glob), rows, out, checkpoint)
     return spark.read.parquet(out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.filters import visible_images
 from cohortloom.operators.joins import keyed_join
+from cohortloom.sources.images import describe_files
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -75,18 +76,13 @@ def with_md5(df: DataFrame, col: str, name: str = "md5") -> DataFrame:
     return df.withColumn(name, F.md5(F.col(col).cast("binary")))
 
 
-def file_digests(spark: SparkSession, root: str, listing: DataFrame, glob: str = "*.nii*") -> DataFrame:
+def file_digests(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
     """The listing with the digest of each file; files that cannot be read get NULL.
 
-    The digest is taken next to the read, so only 32 characters per file move on.
+    Files of any size are read in pieces, and only 32 characters per file move on.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    reader = reader.option("pathGlobFilter", glob)
-    reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    files = reader.load(root).select(
-        relative_path(F.col("path"), root).alias("path"), F.md5("content").alias("md5")
-    )
-    return listing.join(files, "path", "left")
+    digests = describe_files(listing.select("path").distinct(), root).select("path", "md5")
+    return listing.join(digests, "path", "left")
 
 
 def incremental_index(listing: DataFrame, done: DataFrame, path: str = "path") -> DataFrame:
