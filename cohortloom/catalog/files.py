@@ -21,10 +21,12 @@ from cohortloom.sources.files import (
 from cohortloom.sources.nifti import extract_headers
 from cohortloom.sources.sinks import write_csv, write_report
 from cohortloom.sources.tables import (
+    read_delimited,
     read_image_index,
     read_qc_long,
     read_qc_wide,
     read_regional,
+    row_map,
 )
 from cohortloom.streaming.index import run_available
 
@@ -150,6 +152,36 @@ def score_table_means(spark, sf):
     return means.withColumn("mean", F.round("mean", 6))
 
 
+_QUOTED_SQL = """replace(replace(coalesce(text, ''), ' of ', ' "of", '), ', ', concat(',', chr(9), '""', chr(10)))"""
+
+
+@register(
+    "A4",
+    "A7",
+    "A8",
+    sql=f"""select doc_id, md5(t) as md5, length(t) - length(replace(t, chr(10), '')) as n_breaks,
+              length(t) - length(replace(t, '"', '')) as n_quotes, lang from (select doc_id, lang, {_QUOTED_SQL} as t from documents)""",
+)
+def quoted_records(spark, sf):
+    """Whole texts as quoted fields with line breaks, quotes and separators, in files that are cut into blocks."""
+    path = working_path(spark, "quoted")
+    rows = table(spark, sf, "documents").select("doc_id", F.expr(_QUOTED_SQL.replace("chr(", "char(")).alias("t"), "lang")
+    rows.repartition(2, "doc_id").write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        records = read_delimited(spark, path, ",")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    m = row_map(F.col("header"), F.col("fields"))
+    back = records.select(m["doc_id"].cast("long").alias("doc_id"), m["t"].alias("t"), m["lang"].alias("lang"))
+
+    def count(x):
+        return (F.char_length("t") - F.char_length(F.replace("t", F.lit(x), F.lit("")))).cast("long")
+
+    return back.select("doc_id", F.md5(F.col("t").cast("binary")).alias("md5"), count("\n").alias("n_breaks"), count('"').alias("n_quotes"), "lang")
+
+
 @register(
     "A10",
     sql="""select user_id, count(*) as n, min(value) as low, max(value) as high, cast(null as double) as gap, cast(null as double) as listed_gap, cast(null as double) as undefined from events group by 1""",

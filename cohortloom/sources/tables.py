@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.missing import nan_to_null, token_to_null
@@ -49,44 +49,162 @@ def split_image_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return _typed_index(good), bad
 
 
-def split_fields(line: Column, sep: str) -> Column:
-    """Fields of one delimited line; a quoted field may hold the separator and doubled quotes."""
-    s = "\\t" if sep == "\t" else "\\" + sep
-    pattern = f'{s}("(?:[^"]|"")*"(?={s}|$)|[^{s}]*)'
-    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(pattern), F.lit(1))
-    quoted = r'^"(?s:.*)"$'
+def _quoted(sep: str) -> str:
+    """A field that begins with a quote, up to the next separator: doubled quotes stay, text may follow it."""
+    return f'"(?:[^"]++|"")*+"[^{sep}]*+'
+
+
+def _separator(sep: str) -> str:
+    return "\\t" if sep == "\t" else "\\" + sep
+
+
+def split_fields(record: Column, sep: str) -> Column:
+    """Fields of one record; a quoted field may hold separators, line breaks and doubled quotes.
+
+    A quote counts only at the start of a field; what follows the closing one belongs to the field.
+    """
+    s = _separator(sep)
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), record), F.lit(f"{s}({_quoted(s)}|[^{s}]*+)"), F.lit(1))
+    quoted = r'^"((?s:[^"]|"")*+)"((?s:.*))\z'
     return F.transform(
         raw,
         lambda x: F.when(
-            x.rlike(quoted),
-            F.replace(F.substring(x, 2, F.length(x) - 2), F.lit('""'), F.lit('"')),
+            x.startswith('"') & x.rlike(quoted),
+            F.concat(
+                F.replace(F.regexp_extract(x, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, quoted, 2)
+            ),
         ).otherwise(x),
     )
 
 
-def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str = "\t") -> DataFrame:
-    """Rows of many delimited files, each with a header of its own, in one scan.
+def line_ends(text: Column, sep: str) -> tuple[Column, Column]:
+    """Where a line ends, inside a quoted field (1) or outside (0), if it begins outside, and if inside."""
+    s = _separator(sep)
+    rest = f"(?:{s}(?:{_quoted(s)}|(?!\")[^{s}]*+))*+\\z"
+    has = text.contains('"')
+    outside = F.concat(F.lit(sep), text).rlike("^" + rest)
+    inside = text.rlike(f'^(?:[^"]++|"")*+"[^{s}]*+{rest}')
+    # without a quote nothing changes
+    return F.when(has & ~outside, 1).otherwise(0), F.when(has & inside, 0).otherwise(1)
 
-    Columns: ``file``, ``block`` and ``line`` (the position within the file), ``header`` and
-    ``fields`` as arrays of text.  Large files are split between tasks; the header is the first
-    line of a file's first block and reaches the other lines through a small per-file table.
+
+def _composed(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Running composition of state changes along ``order``: the last fixed state and the turns since.
+
+    A change is ``_fixed`` (the state it leads to, whatever came before) or, where that is null, ``_turn``
+    (1: the other state, 0: the same). The composition of any number of them is again one of these.
     """
-    lines = spark.read.text(paths).select(
+    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_turns", F.sum("_turn").over(upto))
+    mark = F.when(F.col("_fixed").isNotNull(), F.struct("_fixed", "_turns"))
+    rows = rows.withColumn("_mark", F.last(mark, ignorenulls=True).over(upto))
+    turned = (F.col("_turns") - F.coalesce("_mark._turns", F.lit(0))) % 2
+    fixed = F.col("_mark._fixed").bitwiseXOR(turned.cast("int"))
+    return rows.withColumns({"_fixed": fixed, "_turn": F.when(fixed.isNull(), turned).otherwise(0).cast("int")}).drop("_turns", "_mark")
+
+
+def _after(state: Column) -> Column:
+    """The state that a composed change leads to."""
+    return F.coalesce(F.col("_fixed"), state.bitwiseXOR(F.col("_turn")))
+
+
+def join_lines(lines: DataFrame) -> DataFrame:
+    """Records of files with quoted line breaks, from lines with ``file, block, line, text, eol, out, into``.
+
+    Whether a line begins inside a quoted field depends on all lines before it. Each line is a change between
+    the two states; changes are composed within a block and over the blocks of a file, so a block is scanned
+    on its own, whatever the size of the file. Lines are then gathered per record, the largest unit that a
+    task holds. A file that ends inside quotes is an error.
+    """
+    fixed = F.when(F.col("out") == F.col("into"), F.col("out"))
+    turn = F.when((F.col("out") == 1) & (F.col("into") == 0), 1).otherwise(0)
+    scanned = _composed(lines.withColumns({"_fixed": fixed, "_turn": turn}), ["file", "block"], ["line"])
+
+    blocks = scanned.groupBy("file", "block").agg(F.max_by(F.struct("_fixed", "_turn"), "line").alias("m"))
+    blocks = _composed(blocks.select("file", "block", "m.*"), ["file"], ["block"])
+    in_file = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.withColumn("_end", _after(F.lit(0)))
+    blocks = blocks.select("file", "block", F.lag("_end", 1, 0).over(in_file).alias("_start"))
+
+    in_block = Window.partitionBy("file", "block").orderBy("line")
+    ends = scanned.join(blocks, ["file", "block"]).withColumn("_end", _after(F.col("_start")))
+    begins = F.coalesce(F.lag("_end").over(in_block), F.col("_start")) == 0
+    placed = ends.withColumn("_own", F.when(begins, F.struct("block", "line")))
+    placed = placed.withColumn("_own", F.last("_own", ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
+    # written once: the records that run on into the next block are looked up in it
+    placed = materialize(placed.select("file", "block", "line", "text", "eol", "_end", "_own"), "placed")
+
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    last = placed.groupBy("file", "block").agg(F.max("_own").alias("_own"), F.max_by("_end", "line").alias("_end"))
+    carried = last.select(
+        "file",
+        "block",
+        F.last("_own", ignorenulls=True).over(before).alias("_carried"),
+        F.max(F.struct("block", "_end")).over(Window.partitionBy("file")).alias("_tail"),
+        F.max("_own").over(Window.partitionBy("file")).alias("_final"),
+    )
+    owned = placed.join(carried, ["file", "block"]).withColumn("_own", F.coalesce("_own", "_carried"))
+    unclosed = (F.col("_tail._end") == 1) & (F.col("_own") == F.col("_final"))
+    message = F.concat(F.lit("a quoted field is not closed in "), "file")
+    owned = owned.withColumn("text", F.when(unclosed, F.raise_error(message)).otherwise(F.col("text")))
+    parts = F.array_sort(F.collect_list(F.struct("block", "line", "text", "eol")))
+    records = owned.groupBy("file", "_own").agg(parts.alias("p"))
+    inner = F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda x: F.concat(x["text"], x["eol"]))
+    whole = F.concat(F.array_join(inner, ""), F.element_at("p", -1)["text"])
+    return records.select("file", F.col("_own.block").alias("block"), F.col("_own.line").alias("line"), whole.alias("text"))
+
+
+def read_records(spark: SparkSession, paths: str | Sequence[str], sep: str = "\t") -> DataFrame:
+    """Records of many delimited files as ``file, block, line, text``, in one scan; large files are split.
+
+    Lines end with a line feed, a carriage return or both. A quoted field may hold line breaks, which stay as
+    they are. Empty lines between records are left out. ``block`` and ``line`` order the records of a file.
+    """
+    raw = spark.read.text(paths, lineSep="\n").select(
         decoded(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", r"^\uFEFF", "").alias("value"),
+    )
+    # a carriage return within the line ends a line of its own
+    pieces = F.split(F.regexp_replace("value", r"\r\z", ""), "\r")
+    ended = F.when(F.col("value").endswith("\r"), "\r\n").otherwise("\n")
+    raw = raw.select("file", "block", ended.alias("ended"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("i", "text"))
+    out, into = line_ends(F.col("text"), sep)
+    lines = raw.select(
+        "file",
+        "block",
         F.monotonically_increasing_id().alias("line"),
-        F.regexp_replace("value", r"^\uFEFF", "").alias("text"),
+        "text",
+        F.when(F.col("i") < F.col("n") - 1, "\r").otherwise(F.col("ended")).alias("eol"),
+        out.alias("out"),
+        into.alias("into"),
     )
     # written once: headers and rows are told apart by line numbers, which two scans need not agree on
-    lines = materialize(lines.filter(F.col("text") != ""), "delimited")
+    lines = materialize(lines, "delimited")
+    # only where some line leaves a quote open can a record have more than one line
+    broken = lines.filter("out = 1").select("file").distinct()
+    if broken.isEmpty():
+        return lines.filter(F.col("text") != "").select("file", "block", "line", "text")
+    plain = lines.join(broken, "file", "left_anti").select("file", "block", "line", "text")
+    joined = join_lines(lines.join(broken, "file", "left_semi"))
+    return materialize(plain.unionByName(joined).filter(F.col("text") != ""), "records")
+
+
+def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str = "\t") -> DataFrame:
+    """Rows of many delimited files, each with a header of its own, in one scan.
+
+    Columns: ``file``, ``block`` and ``line`` (the position within the file), ``header`` and
+    ``fields`` as arrays of text.  Large files are split between tasks, also within quoted fields; the header is
+    the first record of a file and reaches the others through a small per-file table.
+    """
+    records = read_records(spark, paths, sep)
     heads = (
-        lines.filter(F.col("block") == 0)
-        .groupBy("file")
-        .agg(F.min_by("text", "line").alias("head"), F.min("line").alias("head_line"))
-        .select("file", "head_line", split_fields(F.col("head"), sep).alias("header"))
+        records.groupBy("file")
+        .agg(F.min_by(F.struct("block", "line", "text"), F.struct("block", "line")).alias("h"))
+        .select("file", F.struct("h.block", "h.line").alias("head"), split_fields(F.col("h.text"), sep).alias("header"))
     )
-    rows = attach_group(lines, heads, ["file"], "inner")
-    return rows.filter((F.col("block") > 0) | (F.col("line") > F.col("head_line"))).select(
+    rows = attach_group(records, heads, ["file"], "inner")
+    return rows.filter(F.struct("block", "line") > F.col("head")).select(
         "file", "block", "line", "header", split_fields(F.col("text"), sep).alias("fields")
     )
 
