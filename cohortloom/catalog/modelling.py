@@ -20,6 +20,7 @@ from cohortloom.operators.ridge import (
     scale,
 )
 from cohortloom.operators.scoring import score
+from cohortloom.operators.tsqr import nested_qr
 from cohortloom.plans.evaluation import evaluate
 from cohortloom.plans.regional import ridge_baseline
 
@@ -93,9 +94,74 @@ def _fit(spark, sf):
     return nested_cv(rows, "l_suppkey", ROW_ORDER, "features", "l_extendedprice", 5, ALPHAS)
 
 
-@register("I4", "I5")
-def out_of_fold_predictions(spark, sf):
-    fit = _fit(spark, sf)
+def _det(m: list[list[str]]) -> str:
+    """Determinant of a 3 x 3 matrix of SQL expressions."""
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_R = range(3)
+_IJ = [(i, j) for i in _R for j in _R if i <= j]
+
+
+def _v(i: int, j: int, prefix: str = "v") -> str:
+    return f"{prefix}{min(i, j)}{max(i, j)}"
+
+
+def _cramer() -> str:
+    """``w0, w1, w2``: the solution of (v + alpha) w = c."""
+    m = [[f"({_v(i, j)} + alpha)" if i == j else _v(i, j) for j in _R] for i in _R]
+    whole = _det(m)
+    return ", ".join(f"{_det([[f'c{i}' if j == k else m[i][j] for j in _R] for i in _R])} / {whole} as w{k}" for k in _R)
+
+
+def _normal(n: str, sums: str) -> str:
+    """Centred and scaled sums ``c*, v*`` and means ``u*, uy`` from sums, written ``sums.format(name)``."""
+    at = sums.format
+    parts = [f"({at(f'sxy{i}')} - {at(f'sx{i}')} * {at('sy')} / {n}) / sd{i} as c{i}" for i in _R]
+    parts += [f"({at(f'sxx{i}{j}')} - {at(f'sx{i}')} * {at(f'sx{j}')} / {n}) / (sd{i} * sd{j}) as v{i}{j}" for i, j in _IJ]
+    return ", ".join(parts + [f"{at(f'sx{i}')} / {n} as u{i}" for i in _R] + [f"{at('sy')} / {n} as uy"])
+
+
+_SUMS = [*[f"sx{i}" for i in _R], "sy", *[f"sxx{i}{j}" for i, j in _IJ], *[f"sxy{i}" for i in _R], "syy"]
+_SSE = " + ".join(
+    ["q.syy + q.n * base * base - 2 * base * q.sy"]
+    + [f"{1 if i == j else 2} * b{i} * b{j} * q.sxx{i}{j}" for i, j in _IJ]
+    + [f"2 * b{i} * (base * q.sx{i} - q.sxy{i})" for i in _R]
+)
+# The nested search with three features, every system solved by Cramer's rule. Split 0 uses all rows.
+_SEARCH_SQL = f"""
+  with recursive {FOLDS_SQL},
+  m as (select {", ".join(f"avg({f}) as m{i}" for i, f in enumerate(FEATURES))}, avg(l_extendedprice) as my from lineitem),
+  d as (select l.*, gf.fold, {", ".join(f"{f} - m{i} as x{i}" for i, f in enumerate(FEATURES))}, l_extendedprice - my as y
+        from lineitem l join gf using (l_suppkey), m),
+  t as (select o, d.*, ntile(5) over (partition by o order by {", ".join(ROW_ORDER)}) as piece
+        from d join (select unnest([0, 1, 2, 3, 4, 5]) as o) on fold <> o),
+  s as (select o, piece, count(*) as n, {", ".join(f"sum(x{i}) as sx{i}" for i in _R)}, sum(y) as sy,
+               {", ".join(f"sum(x{i} * x{j}) as sxx{i}{j}" for i, j in _IJ)}, {", ".join(f"sum(x{i} * y) as sxy{i}" for i in _R)},
+               sum(y * y) as syy from t group by 1, 2),
+  a0 as (select o, sum(n) as n, {", ".join(f"sum({c}) as {c}" for c in _SUMS)} from s group by 1),
+  a as (select *, {", ".join(f"sqrt(sxx{i}{i} / n - power(sx{i} / n, 2)) as sd{i}" for i in _R)} from a0),
+  p as (select unnest([0.1::double, 10.0, 1000.0]) as alpha),
+  f0 as (select s.o, piece, alpha, {", ".join(f"sd{i}" for i in _R)}, {_normal("(a.n - s.n)", "(a.{0} - s.{0})")} from s join a using (o), p),
+  f1 as (select *, {_cramer()} from f0),
+  f2 as (select *, {", ".join(f"w{i} / sd{i} as b{i}" for i in _R)} from f1),
+  f3 as (select *, uy - {" - ".join(f"b{i} * u{i}" for i in _R)} as base from f2),
+  r as (select f3.o, alpha, avg(1 - ({_SSE}) / (q.syy - q.sy * q.sy / q.n)) as score from f3 join s q on q.o = f3.o and q.piece = f3.piece group by 1, 2),
+  z as (select o, arg_max(alpha, score) as alpha from r group by 1),
+  h0 as (select a.o, alpha, {", ".join(f"sd{i}" for i in _R)}, {_normal("a.n", "a.{0}")} from a join z using (o)),
+  h as (select *, {_cramer()} from h0)"""
+_PREDICTED = "my + uy + " + " + ".join(f"w{i} / sd{i} * (x{i} - u{i})" for i in _R)
+_OUT_OF_FOLD_SQL = f"""{_SEARCH_SQL}
+  select l_orderkey, l_linenumber, d.fold, alpha, round({_PREDICTED}, 3) as prediction,
+         round({_PREDICTED} - l_extendedprice, 3) as residual, round(abs({_PREDICTED} - l_extendedprice), 3) as absolute_error
+  from d join h on fold = o, m"""
+_FINAL_SQL = f"""{_SEARCH_SQL}
+  select unnest(['{FEATURES[0]}', '{FEATURES[1]}', '{FEATURES[2]}']) as feature,
+         unnest([round(w0, 3), round(w1, 3), round(w2, 3)]) as standardized_coefficient from h where o = 0"""
+
+
+def _out_of_fold(fit):
     return predict_oof(fit, "features", "l_extendedprice").select(
         "l_orderkey",
         "l_linenumber",
@@ -107,6 +173,36 @@ def out_of_fold_predictions(spark, sf):
     )
 
 
+@register("I4", "I5", sql=_OUT_OF_FOLD_SQL)
+def out_of_fold_predictions(spark, sf):
+    return _out_of_fold(_fit(spark, sf))
+
+
+def _factor_fit(spark, sf):
+    return nested_qr(model_rows(spark, sf), "l_suppkey", ROW_ORDER, "features", "l_extendedprice", 5, ALPHAS)
+
+
+@register("I3", "I4", "I5", sql=_OUT_OF_FOLD_SQL)
+def out_of_fold_by_factors(spark, sf):
+    """The same search on triangular factors."""
+    return _out_of_fold(_factor_fit(spark, sf))
+
+
+def _coefficients(spark, fit):
+    out = coefficients(spark, fit.final, FEATURES)
+    return out.withColumn("standardized_coefficient", F.round("standardized_coefficient", 3))
+
+
+@register("I6", sql=_FINAL_SQL)
+def final_coefficients(spark, sf):
+    return _coefficients(spark, _fit(spark, sf))
+
+
+@register("I6", sql=_FINAL_SQL)
+def final_coefficients_by_factors(spark, sf):
+    return _coefficients(spark, _factor_fit(spark, sf))
+
+
 # The same search for one feature, where every solve is a closed form.  Split 0 uses all rows.
 _ONE_FEATURE_SQL = f"""
   with recursive {FOLDS_SQL},
@@ -160,12 +256,6 @@ def final_one_feature(spark, sf):
     return out.withColumn("standardized_coefficient", F.round("standardized_coefficient", 3))
 
 
-@register("I6")
-def final_coefficients(spark, sf):
-    table_ = coefficients(spark, _fit(spark, sf).final, FEATURES)
-    return table_.withColumn("standardized_coefficient", F.round("standardized_coefficient", 3))
-
-
 @register(
     "I8",
     "A10",

@@ -47,27 +47,30 @@ def scale(long: DataFrame, scaler: DataFrame, feature: str, value: str, name: st
 # --- Gram sums ------------------------------------------------------------------------------
 
 
+def design_rows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``[x, y]`` of a batch and the codes of its cells' names; ragged rows and missing values are an error."""
+    n = batch.num_rows
+    y = batch.column("y").to_numpy(zero_copy_only=False)
+    listed = batch.column("features")
+    ragged = n - (pc.sum(pc.fill_null(pc.equal(pc.list_value_length(listed), width), False)).as_py() or 0)
+    if ragged:
+        raise ValueError(f"{ragged} rows do not have {width} features")
+    x = listed.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
+    missing = int((np.isnan(x).any(axis=1) | np.isnan(y)).sum())
+    if missing:
+        raise ValueError(f"{missing} rows have a missing feature or target")
+    return np.column_stack([x, y]), batch.column("cell").to_numpy(zero_copy_only=False).astype(str)
+
+
 def _partial_grams(shift: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         sums = {}
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
+            if batch.num_rows == 0:
                 continue
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            listed = batch.column("features")
-            width = len(shift) - 1
-            ragged = n - pc.sum(pc.fill_null(pc.equal(pc.list_value_length(listed), width), False)).as_py()
-            if ragged:
-                raise ValueError(f"{ragged} rows do not have {width} features")
-            x = listed.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
-            missing = int((np.isnan(x).any(axis=1) | np.isnan(y)).sum())
-            if missing:
-                raise ValueError(f"{missing} rows have a missing feature or target")
-            z = np.column_stack([np.ones(n), np.column_stack([x, y]) - shift])
-            names, codes = np.unique(
-                batch.column("cell").to_numpy(zero_copy_only=False).astype(str), return_inverse=True
-            )
+            xy, cells = design_rows(batch, len(shift) - 1)
+            z = np.column_stack([np.ones(len(xy)), xy - shift])
+            names, codes = np.unique(cells, return_inverse=True)
             for i, cell in enumerate(names):
                 part = z[codes == i]
                 sums[cell] = sums.get(cell, 0) + part.T @ part
@@ -80,6 +83,15 @@ def _partial_grams(shift: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def model_cells(df: DataFrame, features: str, y: str, cell: str) -> DataFrame:
+    """The columns that the sums and factors are made of: ``features, y, cell``."""
+    return df.select(
+        F.col(features).alias("features"),
+        F.col(y).cast("double").alias("y"),
+        F.col(cell).cast("string").alias("cell"),
+    )
+
+
 def _add(pdf):
     first = pdf.iloc[:1].copy()
     first["gram"] = [np.sum(np.stack(pdf["gram"].to_numpy()), axis=0)]
@@ -93,11 +105,7 @@ def gram_sums(df: DataFrame, features: str, y: str, cell: str, shift: Sequence[f
     many shards as Spark has shuffle partitions, the second in the square root of that, so that no
     reducer receives very many of them.  Rows that are ragged or have a missing value are an error.
     """
-    rows = df.select(
-        F.col(features).alias("features"),
-        F.col(y).cast("double").alias("y"),
-        F.col(cell).cast("string").alias("cell"),
-    )
+    rows = model_cells(df, features, y, cell)
     schema = "cell string, gram array<double>"
     parts = rows.mapInArrow(_partial_grams(np.asarray(shift, dtype=float)), schema)
     shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
