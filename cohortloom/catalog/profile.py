@@ -24,7 +24,7 @@ from cohortloom.operators.aggregates import (
     value_counts,
 )
 from cohortloom.operators.ordering import top_abs, top_k
-from cohortloom.operators.positions import ecdf
+from cohortloom.operators.positions import curve, ecdf, rank_error
 from cohortloom.operators.reshape import unpivot_scores
 
 
@@ -250,6 +250,29 @@ def value_curves(spark, sf):
     return _rounded(ecdf(table(spark, sf, "events"), "value", ["event_type"]), 6, "fraction")
 
 
+@register(
+    "F4",
+    sql="""select event_type, i / 20.0::double as fraction, true as within, min(value) as low, max(value) as high
+           from events, (select unnest(range(21)) as i) group by 1, 2""",
+)
+def value_curves_at_points(spark, sf):
+    """Curves at 21 fractions from sketches; every rank is held against the exact ranks of the values."""
+    events = table(spark, sf, "events")
+    sketched = curve(events, "value", ["event_type"], 21)
+    # exact ranks of the reported values: rows below and rows not above
+    counts = events.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    met = sketched.withColumnRenamed("value", "at").join(counts, "event_type")
+    ranked = met.groupBy("event_type", "fraction", "at").agg(
+        F.sum(F.when(F.col("value") < F.col("at"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("value") <= F.col("at"), F.col("n")).otherwise(0)).alias("upto"),
+        F.sum("n").alias("all"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+    )
+    off = F.greatest(F.col("below") / F.col("all") - F.col("fraction"), F.col("fraction") - F.col("upto") / F.col("all"))
+    return ranked.select("event_type", "fraction", (off <= rank_error()).alias("within"), "low", "high")
+
+
 @register(
     "G2",
     sql="""select doc_id, n_chars from documents where n_chars < 3000 order by n_chars, doc_id limit 10""",

@@ -1,7 +1,7 @@
 """Counts, profiles, histograms, box statistics and regression metrics.
 
 Every aggregate combines partial results before its shuffle.  Quantiles go through
-:mod:`cohortloom.operators.positions`, whose tasks hold a value range, not a group.
+:mod:`cohortloom.operators.selection`, which counts values by their bits and moves none.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from cohortloom.config import LARGE_AGE
 from cohortloom.functions.missing import nan_to_null
 from cohortloom.functions.scalars import clip_upper
 from cohortloom.operators.joins import attach_group
-from cohortloom.operators.positions import quantiles
+from cohortloom.operators.selection import select_quantiles
 from cohortloom.session import materialize
 
 
@@ -58,12 +58,12 @@ def distinct_keys(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataFr
 
 
 def median_by(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    return quantiles(df, value, {name: 0.5}, by)
+    return select_quantiles(df, value, {name: 0.5}, by)
 
 
 def quantile_profile(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """p01, p05, median, p95 and the maximum."""
-    return quantiles(df, value, {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "max": 1.0}, by)
+    return select_quantiles(df, value, {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "max": 1.0}, by)
 
 
 def overview(df: DataFrame, by: str, path: str, subject: str, label: str) -> DataFrame:
@@ -200,7 +200,7 @@ def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR, and outlier count per group."""
     kept = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
     marks = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    quart = materialize(quantiles(kept, value, marks, [by], "n_values"), "quartiles")
+    quart = materialize(select_quantiles(kept, value, marks, [by], "n_values"), "quartiles")
     iqr = F.col("q3") - F.col("q1")
     fences = quart.withColumns({"_low": F.col("q1") - 1.5 * iqr, "_high": F.col("q3") + 1.5 * iqr})
     counts = kept.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))

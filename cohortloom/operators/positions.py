@@ -148,6 +148,39 @@ def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "fractio
     return runs.select(*by, value, (F.col("upto") / F.col("upto_total")).alias(name))
 
 
+def curve(
+    df: DataFrame, value: str, by: Sequence[str] = (), points: int = 101, k: int = 800, name: str = "fraction"
+) -> DataFrame:
+    """Sorted-value curve at ``points`` fixed fractions from 0 to 1 per series: ``by, fraction, value``.
+
+    Each task builds one mergeable KLL sketch per series, a few kilobytes whatever the number of rows, and only
+    sketches are shuffled. The rank of a reported value differs from its fraction by at most :func:`rank_error` of
+    ``k`` with 99 % confidence; fractions 0 and 1 are the exact least and greatest value. NULL and NaN
+    values are left out, and a series without others has no row. :func:`ecdf` is the exact form.
+    """
+    if points < 2:
+        raise ValueError("a curve has at least two points")
+    kept = df.select(*by, F.col(f"`{value}`").cast("double").alias(value)).filter(F.col(value).isNotNull() & ~F.isnan(value))
+    # all of the table is one series; an aggregate without groups would give a row for no rows
+    keys = list(by) or ["_one"]
+    sketched = kept.withColumns({} if by else {"_one": F.lit(1)}).groupBy(*keys).agg(
+        F.kll_sketch_agg_double(value, F.lit(k)).alias("_sketch"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    )
+    at = [i / (points - 1) for i in range(points)]
+    inner = F.kll_sketch_get_quantile_double("_sketch", F.array(*map(F.lit, at)))
+    rows = sketched.select(*by, "_lo", "_hi", F.posexplode(F.arrays_zip(F.array(*map(F.lit, at)).alias("p"), inner.alias("v"))))
+    exact = F.when(F.col("pos") == 0, F.col("_lo")).when(F.col("pos") == points - 1, F.col("_hi")).otherwise(F.col("col.v"))
+    return rows.select(*by, F.col("col.p").alias(name), exact.alias(value))
+
+
+def rank_error(k: int = 800) -> float:
+    """Normalised rank error of a sketch of size ``k`` for a single quantile, at 99 % confidence.
+
+    The published fit for these sketches, 2.296 / k ^ 0.9723.
+    """
+    return 2.296 / k**0.9723
+
+
 def quantiles(
     df: DataFrame,
     value: str,

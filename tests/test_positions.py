@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.positions import (
     batch_slice,
+    curve,
     ecdf,
     kfold,
     quantiles,
+    rank_error,
     running_totals,
     with_position,
 )
@@ -108,3 +110,29 @@ def test_very_many_groups_over_very_many_ranges(spark):
     rows = spark.range(15_000).selectExpr("id", "id % 5000 as g")
     got = with_position(rows, ["id"], ["g"], total="n", range_rows=100)
     assert got.filter("position <> id div 5000 + 1 or n <> 3").count() == 0 and got.count() == 15_000
+
+
+def test_curve_at_fixed_points(skewed, spark):
+    pdf = skewed.toPandas()
+    got = curve(skewed, "value", ["key"], 11).toPandas()
+    for key, group in pdf.groupby("key", dropna=False):
+        part = got[got["key"].isna()] if pd.isna(key) else got[got["key"] == key]
+        part, values = part.sort_values("fraction"), np.sort(group["value"].dropna())
+        assert np.allclose(part["fraction"], np.linspace(0, 1, 11)) and part["value"].is_monotonic_increasing
+        assert part["value"].iloc[0] == values[0] and part["value"].iloc[-1] == values[-1]
+        below = np.searchsorted(values, part["value"], "left") / len(values)
+        upto = np.searchsorted(values, part["value"], "right") / len(values)
+        assert (np.maximum(below - part["fraction"], part["fraction"] - upto) <= rank_error() + 1 / len(values)).all()
+    odd = spark.createDataFrame([("a", None), ("b", float("nan")), ("c", 2.0)], "g string, v double")
+    assert [tuple(r) for r in curve(odd, "v", ["g"], 3).orderBy("fraction").collect()] == [("c", 0.0, 2.0), ("c", 0.5, 2.0), ("c", 1.0, 2.0)]
+    assert curve(odd.filter("g <> 'c'"), "v").count() == 0
+    with pytest.raises(ValueError):
+        curve(odd, "v", points=1)
+
+
+def test_curve_of_many_rows_keeps_its_error(spark):
+    rows = spark.range(0, 200_000, 1, 9).selectExpr("pow(id, 3) * (id % 2 * 2 - 1) as v")
+    got = curve(rows, "v", points=21, k=200).orderBy("fraction").collect()
+    values = np.sort([i**3 * (i % 2 * 2 - 1) for i in range(200_000)])
+    ranks = np.searchsorted(values, [r.v for r in got]) / len(values)
+    assert np.abs(ranks - [r.fraction for r in got]).max() <= 2 * rank_error(200)
