@@ -11,5 +11,6 @@ from cohortloom.catalog import (  # noqa: F401
     profile,
     relational,
     scans,
+    stored,
 )
 from cohortloom.catalog.base import REGISTRY, queries, sql_texts  # noqa: F401

@@ -256,15 +256,15 @@ def final_one_feature(spark, sf):
     return out.withColumn("standardized_coefficient", F.round("standardized_coefficient", 3))
 
 
-@register(
-    "I8",
-    "A10",
-    sql="""select count(*) as n_scans, count(distinct l_suppkey) as n_subjects, cast(3 as int) as n_features,
-             min(l_extendedprice) as age_min, max(l_extendedprice) as age_max, round(avg(l_extendedprice), 4) as age_mean,
-             count(distinct l_returnflag) as n_waves, cast(5 as bigint) as n_folds, count(*) as n_predictions from lineitem""",
-)
-def selection_report(spark, sf):
-    got = ridge_baseline(
+_PAIRS_SQL = f"""{_SEARCH_SQL},
+  pairs as (select l_suppkey, l_returnflag, d.fold, alpha, l_extendedprice as y, {_PREDICTED} as p from d join h on fold = o, m),
+  c as (select avg(y) as mean from pairs)"""
+_METRICS_SQL = """round(avg(abs(p - y)), 4) as mae, round(sqrt(avg((p - y) ** 2)), 4) as rmse,
+  round(1 - sum((p - y) ** 2) / (var_pop(y) * count(*)), 6) as r2, round(corr(y, p), 6) as pearson_r, round(avg(p - y), 4) + 0.0 as bias, count(*) as n"""
+
+
+def _report(spark, sf):
+    return ridge_baseline(
         model_rows(spark, sf),
         FEATURES,
         "l_suppkey",
@@ -275,6 +275,28 @@ def selection_report(spark, sf):
         ALPHAS,
         {"feature_set": "raw"},
     ).report
+
+
+def _rounded_metrics(of):
+    digits = {"mae": 4, "rmse": 4, "r2": 6, "pearson_r": 6, "bias": 4}
+    return [(F.round(of(c), d) + F.lit(0.0)).alias(c) for c, d in digits.items()]
+
+
+@register(
+    "I8",
+    "A10",
+    "E12",
+    "E13",
+    sql=f"""{_PAIRS_SQL}
+      select count(*) as n_scans, count(distinct l_suppkey) as n_subjects, cast(3 as int) as n_features,
+             min(y) as age_min, max(y) as age_max, round(avg(y), 4) as age_mean,
+             count(distinct l_returnflag) as n_waves, cast(5 as bigint) as n_folds, {_METRICS_SQL},
+             round(avg(abs(y - mean)), 4) as baseline_mae, round(sqrt(avg((y - mean) ** 2)), 4) as baseline_rmse,
+             (select alpha from h where o = 0) as final_refit_alpha
+      from pairs, c""",
+)
+def selection_report(spark, sf):
+    got = _report(spark, sf)
     return got.select(
         "data.n_scans",
         "data.n_subjects",
@@ -284,8 +306,34 @@ def selection_report(spark, sf):
         F.round("data.age_mean", 4).alias("age_mean"),
         F.size("by_wave").cast("long").alias("n_waves"),
         F.size("per_fold").cast("long").alias("n_folds"),
-        F.col("group_cv.n").alias("n_predictions"),
+        *_rounded_metrics(lambda c: F.col(f"group_cv.{c}")),
+        F.col("group_cv.n").alias("n"),
+        F.round("mean_age_baseline.mae", 4).alias("baseline_mae"),
+        F.round("mean_age_baseline.rmse", 4).alias("baseline_rmse"),
+        "final_refit_alpha",
+    )
+
+
+@register(
+    "I8",
+    "E12",
+    "E14",
+    sql=f"""{_PAIRS_SQL}
+      select 'wave ' || l_returnflag as part, cast(null as double) as alpha, {_METRICS_SQL} from pairs group by l_returnflag
+      union all
+      select 'fold ' || fold, alpha, round(avg(abs(p - y)), 4), null, null, null, null, null from pairs group by fold, alpha""",
+)
+def selection_report_parts(spark, sf):
+    """Metrics by wave, and penalty and error per fold, out of the report."""
+    got = _report(spark, sf)
+    wave = got.select(F.explode("by_wave").alias("w")).select(
+        F.concat(F.lit("wave "), "w.wave").alias("part"), F.lit(None).cast("double").alias("alpha"),
+        *_rounded_metrics(lambda c: F.col(f"w.{c}")), F.col("w.n").alias("n"),
+    )
+    fold = got.select(F.explode("per_fold").alias("f")).select(
+        F.concat(F.lit("fold "), F.col("f.fold").cast("string")).alias("part"), "f.alpha", F.round("f.mae", 4).alias("mae")
     )
+    return wave.unionByName(fold, allowMissingColumns=True)
 
 
 def linear_model():

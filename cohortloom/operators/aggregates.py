@@ -251,6 +251,77 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ())
     return df.groupBy(*by).agg(*[c.alias(n) for n, c in cols.items()])
 
 
+MOMENTS = ("n", "n_y", "y", "p", "yy", "pp", "yp", "e", "e_abs", "e_sq", "y_min", "y_max", "c_abs", "c_sq")
+
+
+def error_moments(df: DataFrame, y: str, yhat: str, by: Sequence[str], centre: float | None = None) -> DataFrame:
+    """Moments of targets and predictions per group, from which the metrics of any union of groups follow.
+
+    ``n`` pairs, means ``y`` and ``p`` of both, sums of squares and products about the means, sums of the
+    errors, their sizes and squares; ``n_y``, least and greatest of all targets; with ``centre`` also sums of the
+    sizes and squares of the targets' distance from it. Rows without target or prediction are no pairs.
+    """
+    t, p = F.col(y).cast("double"), F.col(yhat).cast("double")
+    e = p - t
+    both = e.isNotNull()
+    t_, p_ = F.when(both, t), F.when(both, p)
+    c = t - F.lit(centre).cast("double")
+    return df.groupBy(*by).agg(
+        F.count(e).alias("n"),
+        F.count(t).alias("n_y"),
+        F.avg(t_).alias("y"),
+        F.avg(p_).alias("p"),
+        (F.var_pop(t_) * F.count(e)).alias("yy"),
+        (F.var_pop(p_) * F.count(e)).alias("pp"),
+        (F.covar_pop(t_, p_) * F.count(e)).alias("yp"),
+        F.sum(e).alias("e"),
+        F.sum(F.abs(e)).alias("e_abs"),
+        F.sum(e * e).alias("e_sq"),
+        F.min(t).alias("y_min"),
+        F.max(t).alias("y_max"),
+        F.sum(F.abs(c)).alias("c_abs"),
+        F.sum(c * c).alias("c_sq"),
+    )
+
+
+def merged_moments(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Moments of coarser groups. Means are merged first, so that nothing is lost to large means."""
+    keys = list(by) or ["_all"]
+    rows = moments if by else moments.withColumn("_all", F.lit(0))
+    own = F.struct("n", "y", "p", "yy", "pp", "yp")
+    sums = ["n", "n_y", "e", "e_abs", "e_sq", "c_abs", "c_sq"]
+    weight = F.sum("n")
+    merged = rows.groupBy(*keys).agg(
+        *[F.sum(c).alias(f"_{c}") for c in sums],
+        (F.sum(F.col("n") * F.col("y")) / F.nullif(weight, F.lit(0))).alias("_y"),
+        (F.sum(F.col("n") * F.col("p")) / F.nullif(weight, F.lit(0))).alias("_p"),
+        F.min("y_min").alias("_y_min"),
+        F.max("y_max").alias("_y_max"),
+        F.collect_list(F.when(F.col("n") > 0, own)).alias("_parts"),  # a row for each of the finer groups
+    )
+
+    def about(square: str, a: str, b: str) -> Column:
+        parts = F.transform("_parts", lambda x: x[square] + x["n"] * (x[a] - F.col(f"_{a}")) * (x[b] - F.col(f"_{b}")))
+        return F.when(F.size("_parts") > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)).alias(square)
+
+    squares = {"yy": about("yy", "y", "y"), "pp": about("pp", "p", "p"), "yp": about("yp", "y", "p")}
+    return merged.select(*by, *[squares.get(m, F.col(f"_{m}").alias(m)) for m in MOMENTS])
+
+
+def metrics_of(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The columns of :func:`regression_metrics` from moments."""
+    n = F.nullif("n", F.lit(0))
+    return moments.select(
+        *by,
+        (F.col("e_abs") / n).alias("mae"),
+        F.sqrt(F.col("e_sq") / n).alias("rmse"),
+        (1 - F.try_divide(F.col("e_sq"), F.col("yy"))).alias("r2"),
+        F.try_divide(F.col("yp"), F.sqrt(F.col("yy")) * F.sqrt(F.col("pp"))).alias("pearson_r"),
+        (F.col("e") / n).alias("bias"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
+
+
 def baseline_metrics(df: DataFrame, y: str) -> DataFrame:
     """Metrics of predicting the mean for every row."""
     mean = df.agg(F.avg(F.col(y).cast("double")).alias("m")).scalar()

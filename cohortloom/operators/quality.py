@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -70,3 +71,62 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if missing:
         raise MissingColumnError(f"missing columns {missing}")
     return df
+
+
+@dataclass(frozen=True)
+class Divided:
+    """Stored good and rejected rows, and how many there are of each kind."""
+
+    good: DataFrame
+    bad: DataFrame
+    n_rows: int
+    n_good: int
+    reasons: dict[str, int]
+    masks: dict[str, int]
+
+    @property
+    def failed(self) -> bool:
+        """Whether any row was rejected."""
+        return self.n_good < self.n_rows
+
+    def counts(self) -> DataFrame:
+        """``reason, n``: a row for each rule, those that no row breaks included."""
+        return self.good.sparkSession.createDataFrame(list(self.reasons.items()), "reason string, n long")
+
+
+def divide(
+    df: DataFrame,
+    rules: Sequence[tuple[Column, str]],
+    path: str,
+    masks: dict[str, Column] | None = None,
+    name: str = "reject_reason",
+) -> Divided:
+    """Write good rows and rejects below ``path`` and count both on the way, in one job and one scan.
+
+    ``rules`` are ``(must hold, message)``; the first one that a row breaks is its reason, and rules of one
+    message are counted together. ``masks`` are conditions to be counted over all rows, NULL counts as not covered.
+    The counts are observed while the rows are written: nothing is read again for them.
+    """
+    masks = masks or {}
+    messages = list(dict.fromkeys(m for _, m in rules))
+    judged = with_reasons(df, rules, name)
+    seen = Observation()
+    observed = judged.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(name).isNull()).alias("good"),
+        *[F.count_if(F.col(name) == m).alias(f"r{i}") for i, m in enumerate(messages)],
+        *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"m{i}") for i, c in enumerate(masks.values())],
+    )
+    observed.withColumn("valid", F.col(name).isNull()).write.partitionBy("valid").parquet(path)
+    got = seen.get
+    spark = df.sparkSession
+    stored = spark.read.schema(judged.withColumn("valid", F.lit(True)).schema).parquet(path)
+    return Divided(
+        stored.filter("valid").drop(name, "valid"),
+        stored.filter("not valid").drop("valid"),
+        got["rows"],
+        got["good"],
+        {m: got[f"r{i}"] for i, m in enumerate(messages)},
+        {m: got[f"m{i}"] for i, m in enumerate(masks)},
+    )

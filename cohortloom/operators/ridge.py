@@ -266,6 +266,8 @@ class NestedFit:
     rows: DataFrame
     folds: dict[int, Ridge]
     final: Ridge
+    #: Mean of the target over all rows.
+    mean: float = math.nan
 
 
 def nested_cv(
@@ -309,7 +311,7 @@ def nested_cv(
         pieces = [held_out(split, i) for i in range(1, k + 1)]
         return fit_selected([np.sum(p, axis=0) for p in pieces if p], shift, alphas)
 
-    return NestedFit(rows.drop("places"), {o: fit(o) for o in range(1, k + 1)}, fit(0))
+    return NestedFit(rows.drop("places"), {o: fit(o) for o in range(1, k + 1)}, fit(0), shift[-1])
 
 
 def model_table(spark, models: dict[int, Ridge]) -> DataFrame:

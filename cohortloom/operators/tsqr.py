@@ -245,4 +245,4 @@ def nested_qr(
         members = cells.select("factor", *member).filter("piece > 0")
         pieces = tree_reduced(members, ["split", "piece"], q, fan_in)
     models = fit_pieces(pieces, q, alphas)
-    return NestedFit(rows.drop("places"), {o: m for o, m in models.items() if o > 0}, models[0])
+    return NestedFit(rows.drop("places"), {o: m for o, m in models.items() if o > 0}, models[0], rows.agg(F.avg(F.col(y).cast("double"))).first()[0])

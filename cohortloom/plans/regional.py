@@ -19,12 +19,7 @@ from cohortloom.config import (
 )
 from cohortloom.functions.names import capture, scan_identifier, swap_suffix
 from cohortloom.functions.scalars import feature_label, volume_column
-from cohortloom.operators.aggregates import (
-    baseline_metrics,
-    fold_metrics,
-    qc_summary,
-    regression_metrics,
-)
+from cohortloom.operators.aggregates import error_moments, merged_moments, metrics_of, qc_summary
 from cohortloom.operators.filters import complete_categories, qc_gate, require_category
 from cohortloom.operators.joins import keyed_join, lookup
 from cohortloom.operators.quality import assert_unique
@@ -130,16 +125,36 @@ def report(
     alphas: Sequence[float],
     settings: dict[str, str],
 ) -> DataFrame:
-    """One nested row: settings, data, CV metrics, baseline, metrics by wave and per fold."""
-    data = predictions.agg(
-        F.count(F.lit(1)).alias("n_scans"),
-        F.count_distinct(group).alias("n_subjects"),
-        F.min(y).alias("age_min"),
-        F.max(y).alias("age_max"),
-        F.avg(y).alias("age_mean"),
+    """One nested row: settings, data, CV metrics, baseline, metrics by wave and per fold.
+
+    The predictions are evaluated once.
+    """
+    # one scan: everything below is rolled up from a stored row for each subject, wave and fold
+    keys = [F.col(group).alias("_group"), F.col(by).alias("wave"), "fold", "alpha"]
+    plain = predictions.select(*keys, F.col(y).cast("double").alias("_y"), "prediction")
+    fine = materialize(error_moments(plain, "_y", "prediction", ["_group", "wave", "fold", "alpha"], fit.mean), "moments")
+    groups = fine.agg(F.count_distinct("_group")).scalar()
+    cells = materialize(merged_moments(fine, ["wave", "fold", "alpha"]), "cells")
+    whole = merged_moments(cells)
+    data = whole.select(
+        F.col("n_y").alias("n_scans"),
+        groups.alias("n_subjects"),
+        F.col("y_min").alias("age_min"),
+        F.col("y_max").alias("age_max"),
+        F.lit(fit.mean).alias("age_mean"),
+    )
+    waves = metrics_of(merged_moments(cells, ["wave"]), ["wave"])
+    folds = merged_moments(cells, ["fold", "alpha"])
+    folds = folds.select("fold", "alpha", (F.col("e_abs") / F.col("n")).alias("mae"))
+    # predicting the mean: no spread of the predictions, no explained variance, no bias
+    baseline = whole.select(
+        (F.col("c_abs") / F.col("n_y")).alias("mae"),
+        F.sqrt(F.col("c_sq") / F.col("n_y")).alias("rmse"),
+        (1 - F.try_divide(F.col("c_sq"), F.col("yy"))).alias("r2"),
+        F.lit(None).cast("double").alias("pearson_r"),
+        F.lit(0.0).alias("bias"),
+        F.col("n_y").alias("n"),
     )
-    waves = regression_metrics(predictions, y, "prediction", [by]).withColumnRenamed(by, "wave")
-    folds = fold_metrics(predictions, y, "prediction", "fold", "alpha")
     collected = {
         "by_wave": waves.agg(F.array_sort(F.collect_list(F.struct("*")))).scalar(),
         "per_fold": folds.agg(F.array_sort(F.collect_list(F.struct("*")))).scalar(),
@@ -153,8 +168,8 @@ def report(
     return described.select(
         stated.alias("settings"),
         F.struct("*").alias("data"),
-        _one(regression_metrics(predictions, y, "prediction")).alias("group_cv"),
-        _one(baseline_metrics(predictions, y)).alias("mean_age_baseline"),
+        _one(metrics_of(whole)).alias("group_cv"),
+        _one(baseline).alias("mean_age_baseline"),
         *[c.alias(n) for n, c in collected.items()],
         F.lit(fit.final.alpha).alias("final_refit_alpha"),
     )
