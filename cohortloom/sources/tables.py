@@ -113,8 +113,8 @@ def join_lines(lines: DataFrame) -> DataFrame:
 
     Whether a line begins inside a quoted field depends on all lines before it. Each line is a change between
     the two states; changes are composed within a block and over the blocks of a file, so a block is scanned
-    on its own, whatever the size of the file. Lines are then gathered per record, the largest unit that a
-    task holds. A file that ends inside quotes is an error.
+    on its own, whatever the size of the file. Only the lines of records with several of them are then gathered,
+    record by record. A file that ends inside quotes is an error.
     """
     fixed = F.when(F.col("out") == F.col("into"), F.col("out"))
     turn = F.when((F.col("out") == 1) & (F.col("into") == 0), 1).otherwise(0)
@@ -129,10 +129,10 @@ def join_lines(lines: DataFrame) -> DataFrame:
     in_block = Window.partitionBy("file", "block").orderBy("line")
     ends = scanned.join(blocks, ["file", "block"]).withColumn("_end", _after(F.col("_start")))
     begins = F.coalesce(F.lag("_end").over(in_block), F.col("_start")) == 0
-    placed = ends.withColumn("_own", F.when(begins, F.struct("block", "line")))
+    placed = ends.withColumns({"_own": F.when(begins, F.struct("block", "line")), "_alone": begins & (F.col("_end") == 0)})
     placed = placed.withColumn("_own", F.last("_own", ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
     # written once: the records that run on into the next block are looked up in it
-    placed = materialize(placed.select("file", "block", "line", "text", "eol", "_end", "_own"), "placed")
+    placed = materialize(placed.select("file", "block", "line", "text", "eol", "_end", "_own", "_alone"), "placed")
 
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     last = placed.groupBy("file", "block").agg(F.max("_own").alias("_own"), F.max_by("_end", "line").alias("_end"))
@@ -143,7 +143,7 @@ def join_lines(lines: DataFrame) -> DataFrame:
         F.max(F.struct("block", "_end")).over(Window.partitionBy("file")).alias("_tail"),
         F.max("_own").over(Window.partitionBy("file")).alias("_final"),
     )
-    owned = placed.join(carried, ["file", "block"]).withColumn("_own", F.coalesce("_own", "_carried"))
+    owned = placed.filter("not _alone").join(carried, ["file", "block"]).withColumn("_own", F.coalesce("_own", "_carried"))
     unclosed = (F.col("_tail._end") == 1) & (F.col("_own") == F.col("_final"))
     message = F.concat(F.lit("a quoted field is not closed in "), "file")
     owned = owned.withColumn("text", F.when(unclosed, F.raise_error(message)).otherwise(F.col("text")))
@@ -151,7 +151,8 @@ def join_lines(lines: DataFrame) -> DataFrame:
     records = owned.groupBy("file", "_own").agg(parts.alias("p"))
     inner = F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda x: F.concat(x["text"], x["eol"]))
     whole = F.concat(F.array_join(inner, ""), F.element_at("p", -1)["text"])
-    return records.select("file", F.col("_own.block").alias("block"), F.col("_own.line").alias("line"), whole.alias("text"))
+    joined = records.select("file", F.col("_own.block").alias("block"), F.col("_own.line").alias("line"), whole.alias("text"))
+    return joined.unionByName(placed.filter("_alone").select("file", "block", "line", "text"))
 
 
 def read_records(spark: SparkSession, paths: str | Sequence[str], sep: str = "\t") -> DataFrame:
