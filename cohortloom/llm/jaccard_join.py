@@ -8,10 +8,15 @@ with less than two shingles say little and meet often, so they give no signature
 sure that others agree. A set with too many of them is dealt anew by another hash, and so is each set it
 could only be missed by.
 
-No pairs are made within a signature: every member is compared with the smallest one, exactly, shingle by
-shingle; links become components; where more than one is left of those that met the same document, blocks of them are compared
-within tasks, by matrix products (``across_components``). So groups of copies are joined at the cost of their
-members, no link is lost, and no pair that is none becomes a row. A signature holds a document once while a document has many, so no signature outgrows a task's share.
+No pairs are made within a signature: every member is compared with the smallest one; links become components;
+where more than one is left of those that met the same document, blocks of them are compared within tasks
+(``across_components``). So groups of copies are joined at the cost of their members, no link is lost, and no pair
+that is none becomes a row. A signature holds a document once while a document has many, so no signature outgrows a task's share.
+
+Whole sets are the largest thing to be moved, so a profile goes first: how many shingles a set has in each of about
+half as many buckets as it has shingles, a byte each. The common part of two sets is at most the sum of the
+smaller counts. Pairs that cannot reach the similarity even so are no links, and only the sets of the others are
+moved and compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -164,6 +169,59 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, members binary")
 
 
+def profile(s: np.ndarray) -> np.ndarray:
+    """Shingles of a set by bucket, a power of two of them; empty if a byte does not hold a count."""
+    buckets = max(8, 1 << max(len(s) // 2, 1).bit_length() - 1)
+    counts = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """``id, n, profile`` of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([profile(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "profile"])
+
+    return docs.mapInArrow(run, "id long, n long, profile binary")
+
+
+def folded(p: np.ndarray, buckets: int) -> np.ndarray:
+    """A profile with fewer buckets."""
+    return p.reshape(-1, buckets).sum(axis=0, dtype=np.int64)
+
+
+def most_common(m: int, p: np.ndarray, n: int, q: np.ndarray) -> int:
+    """The most that sets of sizes ``m`` and ``n`` with profiles ``p`` and ``q`` can have in common."""
+    if not len(p) or not len(q):
+        return min(m, n)
+    buckets = min(len(p), len(q))
+    return int(np.minimum(folded(p, buckets), folded(q, buckets)).sum())
+
+
+def plausible(pairs: DataFrame, known: DataFrame, least: int = LEAST) -> DataFrame:
+    """The pairs ``a, b`` that may be links by their profiles: all links, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, x, n, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                good = 100 * min(m, n) >= least * max(m, n)
+                if good:
+                    common = most_common(m, np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8))
+                    good = 100 * common >= least * (m + n - common)
+                keep.append(good)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    one = known.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("profile").alias("x"))
+    other = known.select(F.col("id").alias("b"), "n", F.col("profile").alias("y"))
+    met = pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "m", "x", "n", "y")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def linked(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough, counted exactly."""
 
@@ -185,12 +243,11 @@ def linked(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across_components(compared: DataFrame, labels: DataFrame, sets: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` between components, among documents that were compared with the same one.
+def in_blocks(compared: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``a, b, component, i, j``: the members of the groups that are more than one component, for each pair of blocks.
 
-    The members of such a group are dealt into blocks of about ``block``, and a task takes two blocks and counts what
-    each two sets share by matrix products, in memory of bounded size. No pair becomes a row: a task returns only as
-    many links as join its components. Groups that are one component by now are left out.
+    Members are those that were compared with the same document ``a``; they are dealt into blocks of about ``block``.
+    Groups that are one component by now are left out.
     """
     named = compared.join(labels.select(F.col("id").alias("b"), "component"), "b", "left")
     named = named.select("a", "b", F.coalesce("component", "b").alias("component"))
@@ -200,8 +257,37 @@ def across_components(compared: DataFrame, labels: DataFrame, sets: DataFrame, l
     # with every block once: the smaller of the two names the row of the table of block pairs
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("a", "b", "component", "own", other)
-    dealt = dealt.select("a", "b", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(sets.select(F.col("id").alias("b"), "members"), "b")
+    return dealt.select("a", "b", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def still_open(compared: DataFrame, labels: DataFrame, known: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """The rows ``a, b`` of ``compared`` that may be linked, by their profiles, to another component of their group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_numpy()
+        found = table["component"].to_numpy()
+        raw = [np.frombuffer(p, np.uint8) for p in table["profile"].to_pylist()]
+        buckets = min([len(p) for p in raw if len(p)], default=1)
+        small = np.array([folded(p, buckets) if len(p) else np.full(buckets, 1 << 30) for p in raw])
+        hit = np.zeros(len(raw), bool)
+        for k in range(len(raw)):
+            common = np.minimum(np.minimum(small[k], small[k + 1 :]).sum(axis=1), np.minimum(sizes[k], sizes[k + 1 :]))
+            near = (100 * common >= least * (sizes[k] + sizes[k + 1 :] - common)) & (found[k] != found[k + 1 :])
+            hit[k] |= near.any()
+            hit[k + 1 :] |= near
+        return table.select(["a", "b"]).filter(pa.array(hit))
+
+    rows = in_blocks(compared, labels, block).join(known.select(F.col("id").alias("b"), "n", "profile"), "b")
+    return rows.groupBy("a", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def across_components(compared: DataFrame, labels: DataFrame, sets: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` between components, among documents that were compared with the same one.
+
+    A task takes two blocks of such a group and counts what each two sets share by matrix products, in memory of
+    bounded size. No pair becomes a row: a task returns only as many links as join its components.
+    """
+    rows = in_blocks(compared, labels, block).join(sets.select(F.col("id").alias("b"), "members"), "b")
 
     def run(table: pa.Table) -> pa.Table:
         ids, found = table["b"].to_pylist(), table["component"].to_pylist()
@@ -256,10 +342,10 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     rows = bodies(docs, text, doc_id)
     sizes = store(set_sizes(rows), "set-sizes")
-    known = sizes.where("n > 0")
+    worded = sizes.where("n > 0")
     # equal sets: one of them stands for all
-    copies = known.groupBy("n", "d1", "d2").agg(F.min("id").alias("first"))
-    stands = known.join(copies, ["n", "d1", "d2"]).where("id <> first").select("id", "first").distinct()
+    copies = worded.groupBy("n", "d1", "d2").agg(F.min("id").alias("first"))
+    stands = worded.join(copies, ["n", "d1", "d2"]).where("id <> first").select("id", "first").distinct()
     stands = store(stands, "equal-sets")
 
     # the filter is the join's own: with it here, both uses are one exchange
@@ -276,12 +362,21 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     first_pairs = store(leaders(members), "pairs")
     involved = first_pairs.select("a").union(first_pairs.select("b")).distinct().select(F.col("a").alias("id"))
-    sets = store(full_sets(rows.join(involved, "id", "left_semi").select("id", "text")).dropDuplicates(), "sets")
-    links = store(linked(first_pairs, sets), "links")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return rows.join(ids, "id", "left_semi").select("id", "text")
+
+    known = store(profiles(texts_of(involved)).dropDuplicates(), "profiles")
+    likely = store(plausible(first_pairs, known), "likely")
+    meant = likely.select("a").union(likely.select("b")).distinct().select(F.col("a").alias("id"))
+    sets = store(full_sets(texts_of(meant)).dropDuplicates(), "sets")
+    links = store(linked(likely, sets), "links")
     labels = components(links)
 
-    more = store(across_components(first_pairs, labels, sets), "links")
-    if not more.isEmpty():
+    open_ = store(still_open(first_pairs, labels, known), "open")
+    if not open_.isEmpty():
+        sets = store(full_sets(texts_of(open_.select(F.col("b").alias("id")).distinct())).dropDuplicates(), "sets")
+        more = store(across_components(open_, labels, sets), "links")
         labels = components(links.union(more))
 
     joined = stands.select(F.col("id").alias("a"), F.col("first").alias("b"))
@@ -298,8 +393,12 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stand for their component: those with its smallest doc_id."""
-    groups = similar_groups(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    """Rows of ``docs`` that stand for their component: those with its smallest doc_id.
+
+    A missing id comes before all others, so a row without one stays, and its copies go. Rows that repeat a
+    doc_id stay or go together. Texts without words stay; an empty table stays empty.
+    """
+    groups = similar_groups(docs).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -201,6 +201,58 @@ def test_signatures_meet_whenever_sets_are_similar():
     assert tried > 1000
 
 
+def test_profiles_bound_what_sets_share():
+    rng = random.Random(4)
+    for _ in range(500):
+        pool = [rng.getrandbits(64) for _ in range(rng.choice([3, 20, 300, 3000]))]
+        a, b = (np.array(sorted(set(rng.sample(pool, rng.randint(1, len(pool))))), np.uint64) for _ in range(2))
+        most = jaccard_join.most_common(len(a), jaccard_join.profile(a), len(b), jaccard_join.profile(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+    crowd = np.arange(300, dtype=np.uint64) * np.uint64(1 << 40)  # all in one bucket
+    assert len(jaccard_join.profile(crowd)) == 0 and jaccard_join.most_common(300, jaccard_join.profile(crowd), 200, jaccard_join.profile(crowd[:200])) == 200
+    assert jaccard_join.profile(np.zeros(0, np.uint64)).sum() == 0
+
+
+def test_links_between_members_that_met_another(spark):
+    """Documents that each share passages with one, and are near copies among themselves, in blocks of two."""
+    rng = random.Random(21)
+    shared = [f"s{i}" for i in range(120)]
+    rows = [(0, " ".join(shared))]
+    for g in range(6):
+        own = shared[g : g + 100] + [f"g{g}x{i}" for i in range(25)]
+        for k in range(5):
+            w = list(own)
+            w[rng.randrange(len(w))] = f"v{g}{k}"
+            rows.append((len(rows), " ".join(w)))
+    df = frame(spark, rows)
+    want = values(jaccard_join.similar_groups(df), "doc_id", "component_id")
+    old = jaccard_join.BLOCK
+    sets = [set(zip(*[t.split()[i:] for i in range(4)])) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 85 * len(a | b):
+                    label[i] = min(label[i], label[j])
+    assert want == sorted(map(str, [(i, c) for i, c in enumerate(label)]))
+    compared = spark.createDataFrame([(0, i) for i in range(1, len(rows))], "a long, b long")
+    none = spark.createDataFrame([], "id long, component long")
+    body = jaccard_join.bodies(df, "text", "doc_id")
+    open_ = jaccard_join.still_open(compared, none, jaccard_join.profiles(body), block=4)
+    links = jaccard_join.across_components(open_, none, jaccard_join.full_sets(body), block=4)
+    got = {r.id: r.component for r in components.components(links).collect()}
+    assert got == {i: c for i, c in enumerate(label) if i and label.count(c) > 1 and c > 0} and jaccard_join.BLOCK == old
+
+
+def test_one_of_each_group_stays(spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, body), (5, body), (7, body + " x"), (9, "other words here"), (9, "more of them"), (11, None), (12, ""), (None, "alone it stands here")]
+    kept = jaccard_join.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert values(kept, "doc_id", "text") == sorted(map(str, [rows[0], rows[3], rows[4], rows[5], rows[6], rows[7]]))
+    assert jaccard_join.keep_one(frame(spark, []).limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 60).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(90, 80), (81, 90)], "a long, b long"))
     got = {r.id: r.component for r in components.components(links).collect()}
