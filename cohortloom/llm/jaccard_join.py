@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.components import components
 from cohortloom.llm.shared import NO_ID, key_of, store, text_of
+from cohortloom.llm.url_filter import MAX_BLOCKS, PER_BLOCK, bloom_filter, possible
 
 WIDTH = 4
 #: Similarity in hundredths.
@@ -128,17 +129,28 @@ def bodies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """``id, n, d1, d2``: size and 128-bit digest of each row's set."""
+    """``id, n, d1, d2, profile``: size, 128-bit digest and profile of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
-            sums = [(len(s), s.sum(), mixed(s + np.uint64(1)).sum()) for s in sets]
-            values = np.array([(n, int(a), int(b)) for n, a, b in sums], np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(values[:, i]) for i in range(3)]], ["id", "n", "d1", "d2"])
+            sums, known = [], []
+            for t in batch.column(1).to_pylist():
+                s = shingles(t, hashes)
+                sums.append((len(s), int(s.sum()), int(mixed(s + np.uint64(1)).sum())))
+                known.append(profile(s).tobytes())
+            values = np.array(sums, np.uint64).reshape(-1, 3).view(np.int64)
+            columns = [batch.column(0), *[pa.array(values[:, i]) for i in range(3)], pa.array(known, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "profile"])
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, profile binary")
+
+
+def profile(s: np.ndarray) -> np.ndarray:
+    """Shingles of a set by bucket, a power of two of them; empty if a byte does not hold a count."""
+    buckets = max(8, 1 << max(len(s) // 2, 1).bit_length() - 1)
+    counts = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
 
 
 def all_signatures(docs: DataFrame) -> DataFrame:
@@ -157,6 +169,16 @@ def all_signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sig long, id long")
 
 
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows ``id, text`` whose id is among ``ids``. A Bloom filter of bounded size passes over the others where they
+    are read, so that no more texts are moved than are asked for, and a few by chance."""
+    ids = store(ids.distinct(), "ids")
+    n_blocks = max(1, min(MAX_BLOCKS, -(-ids.count() // PER_BLOCK)))
+    bloom = bloom_filter(ids.select(F.col("id").cast("string").alias("listed_url")), n_blocks)
+    asked = possible(rows.withColumn("key", F.col("id").cast("string")), "key", bloom, n_blocks)
+    return asked.where("maybe").select("id", "text").join(ids, "id", "left_semi").select("id", "text")
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
     """``id, members``: each row's shingle hashes, sorted, as bytes."""
 
@@ -169,26 +191,6 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, members binary")
 
 
-def profile(s: np.ndarray) -> np.ndarray:
-    """Shingles of a set by bucket, a power of two of them; empty if a byte does not hold a count."""
-    buckets = max(8, 1 << max(len(s) // 2, 1).bit_length() - 1)
-    counts = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-    return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
-
-
-def profiles(docs: DataFrame) -> DataFrame:
-    """``id, n, profile`` of each row's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([profile(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "profile"])
-
-    return docs.mapInArrow(run, "id long, n long, profile binary")
-
-
 def folded(p: np.ndarray, buckets: int) -> np.ndarray:
     """A profile with fewer buckets."""
     return p.reshape(-1, buckets).sum(axis=0, dtype=np.int64)
@@ -363,19 +365,17 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     first_pairs = store(leaders(members), "pairs")
     involved = first_pairs.select("a").union(first_pairs.select("b")).distinct().select(F.col("a").alias("id"))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return rows.join(ids, "id", "left_semi").select("id", "text")
-
-    known = store(profiles(texts_of(involved)).dropDuplicates(), "profiles")
+    known = sizes.join(involved, "id", "left_semi").select("id", "n", "profile")
+    known = store(known.dropDuplicates(), "profiles")
     likely = store(plausible(first_pairs, known), "likely")
     meant = likely.select("a").union(likely.select("b")).distinct().select(F.col("a").alias("id"))
-    sets = store(full_sets(texts_of(meant)).dropDuplicates(), "sets")
+    sets = store(full_sets(rows_of(rows, meant)).dropDuplicates(), "sets")
     links = store(linked(likely, sets), "links")
     labels = components(links)
 
     open_ = store(still_open(first_pairs, labels, known), "open")
     if not open_.isEmpty():
-        sets = store(full_sets(texts_of(open_.select(F.col("b").alias("id")).distinct())).dropDuplicates(), "sets")
+        sets = store(full_sets(rows_of(rows, open_.select(F.col("b").alias("id")))).dropDuplicates(), "sets")
         more = store(across_components(open_, labels, sets), "links")
         labels = components(links.union(more))
 

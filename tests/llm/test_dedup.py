@@ -238,7 +238,7 @@ def test_links_between_members_that_met_another(spark):
     compared = spark.createDataFrame([(0, i) for i in range(1, len(rows))], "a long, b long")
     none = spark.createDataFrame([], "id long, component long")
     body = jaccard_join.bodies(df, "text", "doc_id")
-    open_ = jaccard_join.still_open(compared, none, jaccard_join.profiles(body), block=4)
+    open_ = jaccard_join.still_open(compared, none, jaccard_join.set_sizes(body), block=4)
     links = jaccard_join.across_components(open_, none, jaccard_join.full_sets(body), block=4)
     got = {r.id: r.component for r in components.components(links).collect()}
     assert got == {i: c for i, c in enumerate(label) if i and label.count(c) > 1 and c > 0} and jaccard_join.BLOCK == old
