@@ -203,13 +203,13 @@ def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     quart = materialize(select_quantiles(kept, value, marks, [by], "n_values"), "quartiles")
     iqr = F.col("q3") - F.col("q1")
     fences = quart.withColumns({"_low": F.col("q1") - 1.5 * iqr, "_high": F.col("q3") + 1.5 * iqr})
-    counts = kept.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = attach_group(counts, fences.select(by, "_low", "_high"), [by], "inner")
+    # a row of fences for each group meets the values where they lie; nothing but sums by group is shuffled
+    placed = attach_group(kept.select(by, value), fences.select(by, "_low", "_high"), [by], "inner")
     inside = F.col(value).between(F.col("_low"), F.col("_high"))
     ends = placed.groupBy(by).agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"),
+        F.count_if(~inside).alias("n_outliers"),
     )
     return quart.join(ends, by)
 
