@@ -70,10 +70,10 @@ def repeated_keys(spark, sf):
 )
 def wide_volumes_with_orders(spark, sf):
     long = volumes(spark, sf)
-    wide = long_to_wide(long, ["scan"], "region", "volume", REGIONS)
+    wide = long_to_wide(long, ["scan"], "region", "volume", REGIONS, check="later")
     wide = wide.withColumnsRenamed({str(r): f"volume__{r}" for r in REGIONS})
     meta = table(spark, sf, "orders").select(F.col("o_orderkey").alias("scan"), "o_orderpriority")
-    return join_11(meta, wide, ["scan"])
+    return join_11(meta, wide, ["scan"], check="later")
 
 
 @register(

@@ -41,11 +41,25 @@ def unpivot_scores(df: DataFrame, key: str, name: str = "score", value: str = "v
 
 
 def long_to_wide(
-    df: DataFrame, key: Sequence[str], category: str, value: str, categories: Sequence[str]
+    df: DataFrame, key: Sequence[str], category: str, value: str, categories: Sequence[str], check: str = "now"
 ) -> DataFrame:
-    """One column per listed category; a repeated (key, category) is an error."""
-    assert_unique(df, [*key, category])
-    return df.groupBy(*key).pivot(category, list(categories)).agg(F.first(value))
+    """One column per listed category; a repeated (key, category) is an error.
+
+    ``check`` says when: ``now``, by a job of its own; ``later``, in the plan, whose action then fails. The latter
+    shuffles once, by the key.
+    """
+    if check == "now":
+        assert_unique(df, [*key, category])
+        return df.groupBy(*key).pivot(category, list(categories)).agg(F.first(value))
+    if check != "later":
+        raise ValueError(f"check must be now or later, not {check}")
+    columns = []
+    for c in categories:
+        here = F.col(category) == F.lit(c)
+        message = F.concat(F.lit(f"{category} {c} repeats for "), F.to_json(F.struct(*key)))
+        only = F.first(F.when(here, F.col(value)), ignorenulls=True)
+        columns.append(F.when(F.count_if(here) > 1, F.raise_error(message)).otherwise(only).alias(str(c)))
+    return df.groupBy(*key).agg(*columns)
 
 
 def normalize_by_reference(

@@ -105,6 +105,12 @@ def test_reshapes(spark):
     assert [tuple(r) for r in wide] == [("s", 1.0, 4.0), ("t", None, 2.0)]
     with pytest.raises(DuplicateKeyError):
         long_to_wide(long.union(long), ["k"], "c", "v", ["a", "b"])
+    later = long_to_wide(long, ["k"], "c", "v", ["a", "b"], check="later").orderBy("k")
+    assert later.columns == ["k", "a", "b"] and [tuple(r) for r in later.collect()] == [("s", 1.0, 4.0), ("t", None, 2.0)]
+    with pytest.raises(Exception, match="c a repeats for"):
+        long_to_wide(long.union(long), ["k"], "c", "v", ["a", "b"], check="later").collect()
+    with pytest.raises(ValueError):
+        long_to_wide(long, ["k"], "c", "v", ["a"], check="never")
     ratios = normalize_by_reference(long, ["k"], "c", "v", "b").collect()
     assert [(r.k, r.c, r.ratio) for r in ratios] == [("s", "a", 0.25)]
     assert {r.k: r.f for r in assemble(long, ["k"], "c", "v", "f").collect()} == {"s": [1.0, 4.0], "t": [2.0]}
