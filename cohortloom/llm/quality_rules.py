@@ -1,13 +1,15 @@
 """Quality rules: text statistics, hard limits, and robust multivariate outliers.
 
 Per language and source, minimum-covariance-determinant estimates of location and scatter are found by
-concentration steps, and a document goes when its Mahalanobis distance is too large. Statistics are
-kept as whole thousandths, so all sums are exact and the result does not depend on the partitioning.
-The same expressions run as Spark columns and, in the oracle, as DuckDB SQL.
-
-A concentration step is one pass: distances are binned, the moments are summed per group and bin, and
-the nearest bins that together hold ``SUPPORT`` of the group give the next estimate. Nothing but a row
-for each group and bin is shuffled, so a group with a third of all rows costs no more than others.
+concentration steps from three starts, each run until its determinant stops falling; the start that ends
+with the least determinant counts, and a document goes when its Mahalanobis distance is too large.
+Statistics are kept as whole thousandths, so sums over rows are exact and the result does not depend on
+the partitioning. The same expressions run as Spark columns and, in the oracle, as DuckDB SQL.
+
+A concentration step is one pass for all starts: distances are binned, the moments are summed per group,
+start and bin, and the nearest bins that together hold ``SUPPORT`` of the group, the last one in part,
+give the next estimate. Nothing but a row for each group, start and bin is shuffled, so a group with a
+third of all rows costs no more than others.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ MAX_REPEAT_PERCENT = 50
 SUPPORT = 0.75
 #: Makes the scatter of the nearest 75 % consistent for a normal distribution in five dimensions.
 CONSISTENCY = 1.41
-STEPS = 4
-BINS_PER_E = 20
-#: Squared distance beyond which a document goes: the 1 - 1e-7 quantile of chi-square, 5 degrees.
-CUTOFF = 42.0
+BINS_PER_E = 50
+#: A step counts only if it lowers the determinant of the scatter's root by this share, so steps end.
+FALL = 1e-6
+#: Where the winsorised start clips, in robust standard deviations.
+CLIP = 2.0
+#: Squared distance beyond which a document goes: the 0.999 quantile of chi-square, 5 degrees.
+CUTOFF = 20.515
+#: Steps that the SQL writes out.
+ORACLE_STEPS = 16
 
 #: Transformed statistics in thousandths, and the smallest standard deviation granted to each: a
 #: statistic that is constant in a group must not turn ordinary documents into outliers.
@@ -138,9 +145,62 @@ def described(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     return add(out, [(n, feature_sql(e)) for n, e, _ in FEATURES])
 
 
-def estimate(moments: DataFrame, name: str) -> DataFrame:
-    """Location and scatter from the moments of each group, stored: a row for each group."""
-    return store(add(moments, factor_sql()).select(*GROUP, *PARAMETERS), name)
+def quartile_sql(quantile: str) -> list[tuple[str, str]]:
+    """Lower quartile, median and upper quartile of each feature; ``quantile`` takes place and feature."""
+    return [(f"{c}{i}", f"cast({quantile.format(q, NAMES[i])} as bigint)") for i in range(P) for c, q in (("lo", 0.25), ("me", 0.5), ("hi", 0.75))]
+
+
+def diagonal_sql() -> list[tuple[str, str]]:
+    """Moments of a start without correlations: medians, and the quartile range as standard deviation."""
+    sums = [(f"s{i}", f"me{i}") for i in range(P)]
+    spread = "cast(floor(pow((hi{0} - lo{0}) / cast(1.349 as double), 2)) as bigint)"
+    return sums + [(f"q{i}{j}", f"me{i} * me{j}" + (" + " + spread.format(i) if i == j else "")) for i, j in PAIRS]
+
+
+def clipped_sql() -> list[tuple[str, str]]:
+    """Features moved to within ``CLIP`` robust standard deviations, the smallest deviation at least, of the median."""
+    steps = []
+    for i, (name, _, floor) in enumerate(FEATURES):
+        reach = f"cast(floor({CLIP} * greatest((hi{i} - lo{i}) / cast(1.349 as double), {floor})) as bigint)"
+        steps.append((name, f"least(greatest({name}, me{i} - {reach}), me{i} + {reach})"))
+    return steps
+
+
+def support_sql() -> list[tuple[str, str]]:
+    """Moments of the nearest ``SUPPORT`` of a group from its bins: of the last bin in part, as all its rows are alike."""
+    wanted = f"cast({SUPPORT} as double) * total"
+    whole, part = f"sum(case when upto <= {wanted} then {{0}} else 0 end)", f"sum(case when upto > {wanted} then {{0}} * ({wanted} - (upto - n)) / n else 0 end)"
+    return [(c, f"{whole.format(c)} + {part.format(c)}") for c in ["n", *MOMENTS]]
+
+
+#: Product of the factor's diagonal, the root of the scatter's determinant.
+DET = " * ".join(f"l{i}{i}" for i in range(P))
+KEY = [*GROUP, "start"]
+
+
+def aggregates(steps: list[tuple[str, str]]) -> list:
+    return [F.expr(e).alias(n) for n, e in steps]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Moments of three starts for each group: the plain ones, medians without correlations, winsorised values.
+
+    Quartiles are exact; whole thousandths of logarithms leave each group few distinct values to count.
+    """
+    quartiles = rows.groupBy(*GROUP).agg(*aggregates(quartile_sql("percentile_disc({}) within group (order by {})")))
+    quartiles = store(quartiles, "quartiles")
+    sums = [F.count("*").alias("n"), *aggregates(moment_sql())]
+    plain = rows.groupBy(*GROUP).agg(*sums).withColumn("start", F.lit(0))
+    diagonal = add(quartiles.withColumn("n", F.lit(1).cast("long")), diagonal_sql()).withColumn("start", F.lit(1))
+    clipped = rows.join(quartiles, GROUP).select(*GROUP, *[F.expr(e).alias(n) for n, e in clipped_sql()])
+    clipped = clipped.groupBy(*GROUP).agg(*sums).withColumn("start", F.lit(2))
+    columns = [*KEY, "n", *MOMENTS]
+    return plain.select(columns).unionByName(diagonal.select(columns)).unionByName(clipped.select(columns))
+
+
+def estimate(moments: DataFrame) -> DataFrame:
+    """Location, scatter and determinant from moments: a row for each group and start."""
+    return add(moments, [*factor_sql(), ("det", DET)]).select(*KEY, *PARAMETERS, "det")
 
 
 def distances(rows: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -148,27 +208,33 @@ def distances(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     return add(rows.join(parameters, GROUP, "left"), whitened_sql() + [("d2", DISTANCE)])
 
 
+def concentrated(rows: DataFrame, parameters: DataFrame) -> DataFrame:
+    """One step for every group and start; ``fell`` says whether its determinant did, else the old estimate stays."""
+    near = distances(rows, parameters).withColumn("bin", F.expr(BIN))
+    binned = near.groupBy(*KEY, "bin").agg(F.count("*").alias("n"), *aggregates(moment_sql()))
+    binned = binned.withColumn("upto", F.sum("n").over(Window.partitionBy(*KEY).orderBy("bin")))
+    binned = binned.withColumn("total", F.sum("n").over(Window.partitionBy(*KEY)))
+    nearest = binned.where(F.expr(f"upto - n < {SUPPORT} * total"))
+    nearest = nearest.groupBy(*KEY).agg(*aggregates(support_sql()))
+    new = estimate(nearest).select(*KEY, *[F.col(c).alias(f"new_{c}") for c in [*PARAMETERS, "det"]])
+    both = parameters.drop("fell").join(new, KEY).withColumn("fell", F.expr(f"new_det < det * {1 - FALL}"))
+    return both.select(*KEY, *[F.expr(f"if(fell, new_{c}, {c})").alias(c) for c in [*PARAMETERS, "det"]], "fell")
+
+
 def fit(rows: DataFrame) -> DataFrame:
-    """Concentration steps over all rows that pass the hard limits, from the classical estimate on.
+    """Minimum-covariance-determinant estimate of every group over its rows that pass the hard limits.
 
-    Each step keeps the nearest rows, so the determinant of the scatter never grows (but for rows that
-    share the last bin, which stay together). A group of any size, one row included, gets an estimate:
-    the smallest deviations keep the scatter regular.
+    Each start takes concentration steps until its determinant falls no more; the first start with the
+    least determinant is the estimate. A determinant that always falls by a share and never below the
+    smallest deviations' comes to rest, so the loop ends. A group of any size, one row included, gets an
+    estimate: the smallest deviations keep the scatter regular. The driver sees one flag a step.
     """
     rows = rows.where(~F.col("base_failed"))
-    sums = [F.expr(e).alias(n) for n, e in moment_sql()]
-    start = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *sums)
-    parameters = estimate(start, "mcd")
-    ordered = Window.partitionBy(*GROUP).orderBy("bin")
-    for _ in range(STEPS):
-        near = distances(rows, parameters).withColumn("bin", F.expr(BIN))
-        binned = near.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"), *sums)
-        binned = binned.withColumn("upto", F.sum("n").over(ordered))
-        binned = binned.withColumn("all", F.sum("n").over(Window.partitionBy(*GROUP)))
-        half = binned.where(F.expr(f"upto - n < {SUPPORT} * `all`"))
-        half = half.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in ["n", *MOMENTS]])
-        parameters = estimate(half, "mcd")
-    return parameters
+    parameters = store(estimate(starts(rows)).withColumn("fell", F.lit(True)), "mcd")
+    while not parameters.where("fell").isEmpty():
+        parameters = store(concentrated(rows, parameters), "mcd")
+    best = F.min(F.struct("det", "start", *PARAMETERS)).alias("best")
+    return store(parameters.groupBy(*GROUP).agg(best).select(*GROUP, "best.*"), "mcd")
 
 
 def judge(rows: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -188,27 +254,33 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are kept, with their own columns. Texts are described again, not moved."""
-    bare = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang", "source"
-    )
-    rows = store(described(docs.select("text", "lang", "source")).drop("text"), "statistics")
-    judged = judge(described(bare), fit(rows))
-    # not a filter: the optimizer would move that below the join and evaluate the statistics again
-    return judged.select(F.inline(F.when(F.col("kept"), F.array("row"))))
+    """Rows of ``docs`` that are kept, with their own columns. Every text is described once.
+
+    Null or blank text goes; rows with null ids, repeated rows and languages or sources that are null are
+    judged like others. An empty table stays empty. Columns beside text, lang and source may have any name.
+    """
+    bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang", "source")
+    rows = store(described(bare).drop("text", "lang", "source"), "described")
+    return judge(rows, fit(rows.drop("row"))).where("kept").select("row.*")
 
 
-def oracle_sql() -> str:
-    """The same rows from DuckDB, the counts by other means."""
+def oracle_sql(steps: int = ORACLE_STEPS) -> str:
+    """The same rows from DuckDB, the counts by other means. More steps than needed change nothing."""
 
     def nested(source: str, steps: list[tuple[str, str]]) -> str:
         for name, expression in steps:
             source = f"(select *, {expression} as {name} from {source})"
         return source
 
-    moments = ", ".join(f"{e} as {n}" for n, e in moment_sql())
-    again = ", ".join(f"sum({c}) as {c}" for c in ["n", *MOMENTS])
-    group, on = ", ".join(GROUP), "using (g_lang, g_source)"
+    def listed(steps: list[tuple[str, str]]) -> str:
+        return ", ".join(f"{e} as {n}" for n, e in steps)
+
+    moments = listed(moment_sql())
+    group, key = ", ".join(GROUP), ", ".join(KEY)
+    columns = ", ".join([key, "n", *MOMENTS])
+    estimated = [*factor_sql(), ("det", DET)]
+    values = [*PARAMETERS, "det"]
+    clipped = f"(select {group}, {listed(clipped_sql())} from ok join qu using ({group}))"
     parts = [
         r"""t as (select row_number() over () as r, doc_id, coalesce(lang, '') as g_lang, coalesce(source, '') as g_source,
             coalesce(text, '') as text from documents)""",
@@ -227,19 +299,25 @@ def oracle_sql() -> str:
         + ", ".join(f"{feature_sql(e)} as {n}" for n, e, _ in FEATURES)
         + f", {BASE_FAILED} as base_failed from st)",
         "ok as (select * from fe where not base_failed)",
-        f"p0 as materialized (select {group}, {', '.join(PARAMETERS)} from "
-        + nested(f"(select {group}, count(*) as n, {moments} from ok group by {group})", factor_sql())
-        + ")",
+        f"qu as materialized (select {group}, {listed(quartile_sql('quantile_disc({1}, {0})'))} from ok group by {group})",
+        f"""s0 as (select {group}, 0 as start, count(*) as n, {moments} from ok group by {group}
+            union all by name select {columns} from {nested("(select *, 1 as start, 1 as n from qu)", diagonal_sql())}
+            union all by name select {group}, 2 as start, count(*) as n, {moments} from {clipped} group by {group})""",
+        f"p0 as materialized (select {key}, {', '.join(values)} from {nested('s0', estimated)})",
     ]
-    for k in range(STEPS):
-        near = nested(f"(select * from ok join p{k} {on})", whitened_sql() + [("d2", DISTANCE), ("bin", BIN)])
+    for k in range(steps):
+        near = nested(f"(select * from ok join p{k} using ({group}))", whitened_sql() + [("d2", DISTANCE), ("bin", BIN)])
         parts += [
-            f"b{k} as materialized (select {group}, bin, count(*) as n, {moments} from {near} group by {group}, bin)",
-            f'c{k} as (select *, sum(n) over (partition by {group} order by bin) as upto, sum(n) over (partition by {group}) as "all" from b{k})',
-            f'h{k} as (select {group}, {again} from c{k} where upto - n < {SUPPORT} * "all" group by {group})',
-            f"p{k + 1} as materialized (select {group}, {', '.join(PARAMETERS)} from {nested(f'h{k}', factor_sql())})",
+            f"b{k} as materialized (select {key}, bin, count(*) as n, {moments} from {near} group by {key}, bin)",
+            f"c{k} as (select *, sum(n) over (partition by {key} order by bin) as upto, sum(n) over (partition by {key}) as total from b{k})",
+            f"h{k} as (select {key}, {listed(support_sql())} from c{k} where upto - n < {SUPPORT} * total group by {key})",
+            f"e{k} as (select {key}, {', '.join(f'{c} as new_{c}' for c in values)} from {nested(f'h{k}', estimated)})",
+            f"p{k + 1} as materialized (select {key}, "
+            + ", ".join(f"case when new_det < det * {1 - FALL} then new_{c} else {c} end as {c}" for c in values)
+            + f" from p{k} join e{k} using ({key}))",
         ]
-    last = nested(f"(select * from fe left join p{STEPS} {on})", whitened_sql() + [("d2", DISTANCE)])
+    best = f"(select * from p{steps} qualify row_number() over (partition by {group} order by det, start) = 1)"
+    last = nested(f"(select * from fe left join {best} using ({group}))", whitened_sql() + [("d2", DISTANCE)])
     return (
         "with "
         + ",\n".join(parts)
