@@ -7,8 +7,11 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from cohortloom.llm import bpe, license_scan, lm_scoring, packing, quality_rules, toxicity
 
@@ -199,6 +202,79 @@ def test_outlier_goes_and_its_group_stays(spark):
     assert kept == set(range(80))
 
 
+def plain_mcd(x, tries, rng):
+    """Least determinant that concentration steps from random starts reach, with the same smallest deviations."""
+    floors = np.diag([f[2] ** 2 for f in quality_rules.FEATURES])
+    h = int(quality_rules.SUPPORT * len(x))
+    best = (np.inf, None)
+    for _ in range(tries):
+        near = rng.choice(len(x), 12, replace=False)
+        for _ in range(40):
+            mean = x[near].mean(axis=0)
+            scatter = quality_rules.CONSISTENCY * np.cov(x[near].T, bias=True) + floors
+            far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(scatter), x - mean)
+            near = np.argsort(far, kind="stable")[:h]
+        best = min(best, (np.sqrt(np.linalg.det(scatter)), tuple(mean)))
+    return best
+
+
+def features_of(spark, groups):
+    """A table of features as ``fit`` takes it, one group for each array."""
+    rows = [("en", f"s{k}", False, *map(int, row)) for k, x in enumerate(groups) for row in x]
+    return spark.createDataFrame(rows, "g_lang string, g_source string, base_failed boolean, f1 long, f2 long, f3 long, f4 long, f5 long")
+
+
+def test_masked_outliers_are_found_by_the_least_determinant(spark):
+    rng = np.random.default_rng(4)
+    scale = np.array([900, 60, 100, 200, 40])
+    clean = rng.normal([5500, 1800, 200, 300, 50], scale, (400, 5))
+    # a fifth of the rows far off in two statistics draws the plain mean and scatter over to itself
+    planted = rng.normal([5500, 1800, 6000, 4500, 50], scale / 4, (100, 5))
+    groups = [np.rint(np.vstack([clean, planted])), np.rint(clean[:60]), np.rint(clean[:1])]
+    rows = features_of(spark, groups)
+    estimates = {r.g_source: r for r in quality_rules.fit(rows).collect()}
+    for k in (0, 1):
+        det, mean = plain_mcd(groups[k], 100, rng)
+        assert estimates[f"s{k}"].det <= 1.02 * det
+    np.testing.assert_allclose([estimates["s0"][f"m{i}"] for i in range(5)], plain_mcd(groups[0], 100, rng)[1], atol=60)
+    kept = quality_rules.judge(rows, quality_rules.fit(rows)).where("kept").groupBy("g_source").agg(F.max("f3").alias("f3"), F.count("*").alias("n"))
+    assert {(r.g_source, r.n) for r in kept.collect() if r.f3 < 3000} == {("s0", 400), ("s1", 60), ("s2", 1)}
+    sums = rows.groupBy(*quality_rules.GROUP).agg(F.count("*").alias("n"), *quality_rules.aggregates(quality_rules.moment_sql()))
+    plain = quality_rules.estimate(sums.withColumn("start", F.lit(0)))
+    assert quality_rules.judge(rows, plain).where("kept and f3 > 3000").count() == 100  # the classical estimate misses all
+
+
+def test_steps_written_out_in_sql_are_enough(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    enough, more = (con.execute(quality_rules.oracle_sql(k)).fetchall() for k in (quality_rules.ORACLE_STEPS, quality_rules.ORACLE_STEPS + 3))
+    got = sorted(tuple(r) for r in quality_rules.score(docs).collect())
+    assert sorted(enough) == sorted(more) == got
+
+
+def test_rows_with_many_symbols_go_and_good_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    got = quality_rules.score(docs).where("not base_failed").join(labels, "doc_id", "left")
+    got = got.join(docs.select("doc_id", "lang", "source"), "doc_id").withColumn("odd", F.expr("n_symbols > 0.2 * n_words"))
+    got = got.withColumn("share", F.avg(F.col("odd").cast("int")).over(Window.partitionBy("lang", "source"))).cache()
+    # the estimate rests on three quarters of a group, so it holds where fewer than a quarter are odd
+    assert got.where("odd and share < 0.25").count() > 20
+    assert got.where("kept and odd and share < 0.25").count() == 0
+    assert got.where("not kept and quality = 1").count() == 0
+
+
+def test_quality_of_missing_groups_and_repeated_rows(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, good, None, None), (1, good, None, None), (None, good, "", ""), (2, None, None, "s"), (3, good, "en", None)]
+    docs = spark.createDataFrame([r + (0.5, 7) for r in rows], "doc_id long, text string, lang string, source string, row double, kept int")
+    out = quality_rules.keep_good(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.where("text is not null").collect()))
+    assert quality_rules.keep_good(docs.limit(0)).count() == 0
+
+
 # --- licences --------------------------------------------------------------------------------------
 
 
