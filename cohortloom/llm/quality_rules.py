@@ -32,6 +32,8 @@ FALL = 1e-6
 CLIP = 2.0
 #: Squared distance beyond which a document goes: the 0.9999 quantile of chi-square, 5 degrees.
 CUTOFF = 25.745
+#: Rows of estimates or quartiles, of at most 23 numbers and a group's names each, that are sent to all tasks.
+MAX_SENT = 50_000
 #: Steps that the SQL writes out.
 ORACLE_STEPS = 16
 
@@ -182,6 +184,14 @@ def aggregates(steps: list[tuple[str, str]]) -> list:
     return [F.expr(e).alias(n) for n, e in steps]
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A stored table, broadcast if its counted rows are few; its many small files would hide that from Spark.
+
+    Beyond that the join is Spark's choice, which splits hot groups.
+    """
+    return F.broadcast(table) if table.count() <= MAX_SENT else table
+
+
 def starts(rows: DataFrame) -> DataFrame:
     """Moments of three starts for each group: the plain ones, medians without correlations, winsorised values.
 
@@ -192,7 +202,7 @@ def starts(rows: DataFrame) -> DataFrame:
     sums = [F.count("*").alias("n"), *aggregates(moment_sql())]
     plain = rows.groupBy(*GROUP).agg(*sums).withColumn("start", F.lit(0))
     diagonal = add(quartiles.withColumn("n", F.lit(1).cast("long")), diagonal_sql()).withColumn("start", F.lit(1))
-    clipped = rows.join(quartiles, GROUP).select(*GROUP, *[F.expr(e).alias(n) for n, e in clipped_sql()])
+    clipped = rows.join(sent(quartiles), GROUP).select(*GROUP, *[F.expr(e).alias(n) for n, e in clipped_sql()])
     clipped = clipped.groupBy(*GROUP).agg(*sums).withColumn("start", F.lit(2))
     columns = [*KEY, "n", *MOMENTS]
     return plain.select(columns).unionByName(diagonal.select(columns)).unionByName(clipped.select(columns))
@@ -204,8 +214,8 @@ def estimate(moments: DataFrame) -> DataFrame:
 
 
 def distances(rows: DataFrame, parameters: DataFrame) -> DataFrame:
-    """``d2`` per row. Parameters are stored, so Spark knows their size and broadcasts only small ones."""
-    return add(rows.join(parameters, GROUP, "left"), whitened_sql() + [("d2", DISTANCE)])
+    """``d2`` per row, from a stored table of parameters."""
+    return add(rows.join(sent(parameters), GROUP, "left"), whitened_sql() + [("d2", DISTANCE)])
 
 
 def concentrated(rows: DataFrame, parameters: DataFrame) -> DataFrame:
