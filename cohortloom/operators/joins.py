@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.operators.quality import assert_unique, unique_in_plan
+from cohortloom.session import materialize
 
 
 def keyed_join(
@@ -36,8 +37,13 @@ def keyed_join(
 def attach_group(
     df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Attach the values of a per-group table to the rows of each group."""
-    return keyed_join(df, table, on, how)
+    """Attach the values of a per-group table to the rows of each group.
+
+    The table is written first, so that Catalyst knows its size when it plans the join: a small one is broadcast
+    and the rows stay where they are. Left to AQE they are dealt by the group before the size is known, and with
+    few groups AQE takes the broadcast back, for most partitions are empty: a task then reads a whole group.
+    """
+    return keyed_join(df, materialize(table, "groups"), on, how)
 
 
 def join_m1(

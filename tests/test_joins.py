@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators.dedup import dedup_first
 from cohortloom.operators.filters import below_threshold, complete_categories, require_category
 from cohortloom.operators.joins import (
+    attach_group,
     coverage,
     exclude,
     join_m1,
@@ -126,3 +127,11 @@ def test_regions_missing_in_one_scan_are_dropped(spark):
 def test_nan_scores_never_flag(spark):
     df = spark.createDataFrame([(0.1,), (0.65,), (None,), (float("nan"),)], "v double")
     assert [r.v for r in below_threshold(df, "v").collect()] == [0.1]
+
+
+def test_few_groups_stay_where_they_are(spark):
+    rows = spark.range(3_000_000).withColumn("k", F.col("id") % 3)
+    found = attach_group(rows, rows.groupBy("k").agg(F.max("id").alias("top")), ["k"], "inner")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert [tuple(r) for r in found.groupBy("k", "top").count().orderBy("k").collect()] == [(i, 2_999_997 + i, 1_000_000) for i in range(3)]
