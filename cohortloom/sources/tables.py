@@ -183,9 +183,10 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], sep: str = "\t
     # written once: headers and rows are told apart by line numbers, which two scans need not agree on
     lines = materialize(lines, "delimited")
     # only where some line leaves a quote open can a record have more than one line
-    broken = lines.filter("out = 1").select("file").distinct()
+    broken = materialize(lines.filter("out = 1").select("file").distinct(), "broken")
     if broken.isEmpty():
         return lines.filter(F.col("text") != "").select("file", "block", "line", "text")
+    # of known size: rows are not dealt by file, of which a few may hold all of them
     plain = lines.join(broken, "file", "left_anti").select("file", "block", "line", "text")
     joined = join_lines(lines.join(broken, "file", "left_semi"))
     return materialize(plain.unionByName(joined).filter(F.col("text") != ""), "records")
@@ -199,11 +200,11 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str = "
     the first record of a file and reaches the others through a small per-file table.
     """
     records = read_records(spark, paths, sep)
-    heads = (
-        records.groupBy("file")
-        .agg(F.min_by(F.struct("block", "line", "text"), F.struct("block", "line")).alias("h"))
-        .select("file", F.struct("h.block", "h.line").alias("head"), split_fields(F.col("h.text"), sep).alias("header"))
-    )
+    # places first, in two steps of numbers only: texts would be sorted by file, to the last record
+    first = records.groupBy("file", "block").agg(F.min("line").alias("line"))
+    first = first.groupBy("file").agg(F.min("block").alias("block"), F.min_by("line", "block").alias("line"))
+    heads = attach_group(records, first, ["file", "block", "line"], "left_semi")
+    heads = heads.select("file", F.struct("block", "line").alias("head"), split_fields(F.col("text"), sep).alias("header"))
     rows = attach_group(records, heads, ["file"], "inner")
     return rows.filter(F.struct("block", "line") > F.col("head")).select(
         "file", "block", "line", "header", split_fields(F.col("text"), sep).alias("fields")

@@ -124,3 +124,12 @@ def test_readers_of_tables_take_such_files(spark, tmp_path):
     assert long == [("s\n1", "mean\nscore", 0.5)]
     m = read_delimited(spark, str(tmp_path / "a/1_qc.csv"), ",").select(row_map(F.col("header"), F.col("fields")).alias("m")).first().m
     assert m == {"subject": "s\n1", "mean\nscore": "0.5"}
+
+
+def test_records_are_not_dealt_by_file(spark, tmp_path):
+    body = "id,t\n" + "".join(f'{i},"a\nb {i}"\n' for i in range(3_000))
+    (tmp_path / "t.csv").write_text(body)
+    rows = read_delimited(spark, str(tmp_path / "t.csv"), ",")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and "hashpartitioning" not in plan
+    assert rows.count() == 3_000
