@@ -13,7 +13,7 @@ from cohortloom.plans.curation import curate
 from cohortloom.plans.indexing import index_images
 from cohortloom.session import materialize, working_path
 from cohortloom.sources.files import list_or_scan, write_list
-from cohortloom.sources.images import write_files
+from cohortloom.sources.images import BATCH_FILES, write_files
 
 # A NIfTI-1 header as hex text, the same expression in Spark and DuckDB: shape, type and voxel size follow from
 # the length of the text, so that copies of a text are copies of a file. Values below 256 take one byte and a zero.
@@ -38,10 +38,12 @@ _FILES_SQL = f"""
 
 
 def _zipped(batches):
-    for batch in batches:
-        rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-        content = [gzip.compress(raw, 1, mtime=0) if path.endswith(".gz") else raw for path, raw in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary())], ["doc_id", "path", "content"])
+    for whole in batches:
+        for i in range(0, whole.num_rows, BATCH_FILES):
+            batch = whole.slice(i, BATCH_FILES)
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            content = [gzip.compress(raw, 1, mtime=0) if path.endswith(".gz") else raw for path, raw in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary())], ["doc_id", "path", "content"])
 
 
 def image_files(spark, sf):

@@ -209,14 +209,13 @@ def write_files(files: DataFrame, root: str, path: str = "path", content: str =
     def run(batches):
         system, folder = open_root(root)
         for batch in batches:
-            n = 0
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = f"{folder}/{name}"
+            # contents are written out of the batch, none becomes a Python value
+            for name, data in zip(batch.column(0), batch.column(1)):
+                target = f"{folder}/{name.as_py()}"
                 system.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(target, compression=None) as out:
-                    out.write(data)
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+                    out.write(data.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     rows = files.select(F.col(path), F.col(content)).where(F.col(path).isNotNull() & F.col(content).isNotNull())
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -4,10 +4,12 @@ import gzip
 import hashlib
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_files import nifti, put
 
+from cohortloom.catalog.scans import _zipped
 from cohortloom.plans.indexing import index_images
 from cohortloom.sources.files import file_digests
 from cohortloom.sources.images import ImageReader, described, describe_files, open_root, planned, read_images, write_files
@@ -173,3 +175,12 @@ def test_header_in_single_bytes():
     head = HeaderBytes()
     head.feed(b"\x1f")
     assert head.payload() == b"\x1f" and not head.complete
+
+
+def test_files_are_made_in_small_batches():
+    n = 1_000
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "path": [f"{i}.nii{'.gz' * (i % 2)}" for i in range(n)], "content": [b"x" * i for i in range(n)]})
+    parts = list(_zipped(iter([whole])))
+    assert max(p.num_rows for p in parts) <= 256 and sum(p.num_rows for p in parts) == n
+    back = [gzip.decompress(c) if p.endswith(".gz") else c for part in parts for p, c in zip(part["path"].to_pylist(), part["content"].to_pylist())]
+    assert back == whole["content"].to_pylist()
