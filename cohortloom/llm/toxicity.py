@@ -5,9 +5,9 @@ lattice of readings per character; Viterbi decoding under a character trigram mo
 word. Tokens that offer one reading only are taken as they stand. Restored words, and their runs of five
 characters for what inflection and compounding do to them, are the features of a logistic regression.
 
-Labels are learned from a sample of at most ``max_train`` labelled training rows, chosen by a hash of the
-doc_id; word statistics, the language model and the weights all come from it, so their size is bounded and
-they travel with the tasks. Scoring is per row: nothing is shuffled, whatever the sizes and sources.
+Every labelled training row is learned from. Word statistics are counted in the tasks; the trigrams, features and
+weights kept of them are bounded in number and travel with the tasks. Each text is turned into its features once,
+for training and scoring; the weights come from Newton steps on sums over the distinct sets of features.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -27,12 +28,16 @@ from pyspark.sql import functions as F
 from cohortloom.llm.shared import store, text_of
 
 FOLDS = 5
-MAX_TRAIN = 20_000
 MAX_FEATURES = 400
 #: Training rows a word must appear in, and how sure its excess among toxic ones must be (standard errors).
 MIN_ROWS, MIN_Z = 4, 2.8
-STEPS = 1_000
+#: Newton steps, shortened ones included; ten or so are usual.
+STEPS = 60
 MAX_TRIGRAMS = 100_000
+#: Words that a task counts before it hands them on.
+MAX_COUNTED = 400_000
+#: Pairs of features whose products are held at once.
+MAX_PAIRS = 1_000_000
 #: Tokens that a task remembers before it starts anew.
 MAX_MEMO = 400_000
 #: Longer tokens may be many words: they are also read piece by piece, and not remembered.
@@ -87,32 +92,35 @@ class CharModel:
         return sum(self.cost(padded[i : i + 3]) for i in range(len(padded) - 2))
 
 
+@lru_cache(maxsize=10_000)
+def run_readings(c: str, n: int) -> list[tuple[str, float]]:
+    """Readings of ``n`` equal characters with their costs; three stand for more."""
+    options = []
+    if c.isalpha():
+        options.append((c * n, 0.0))
+        if n >= 2:
+            options.append((c, RUN_COST if n > 2 else 2 * KEEP_COST))
+        if n > 2:
+            options.append((c * 2, RUN_COST))
+    else:
+        options.append((c, KEEP_COST))
+        for reading in LEET.get(c, ""):
+            options.append((reading * min(n, 2), LEET_COST))
+            if n > 1:
+                options.append((reading, LEET_COST + RUN_COST))
+        if c in SEPARATORS or not (c in LEET or c.isalnum()):
+            options.append(("", DROP_COST))
+    return options
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Readings of each run of equal characters with their costs."""
-    out = []
-    for run in re.finditer(r"(.)\1*", token, re.S):
-        c, n = run[1], len(run[0])
-        options = []
-        if c.isalpha():
-            options.append((c * min(n, 3), 0.0))
-            if n >= 2:
-                options.append((c, RUN_COST if n > 2 else 2 * KEEP_COST))
-            if n > 2:
-                options.append((c * 2, RUN_COST))
-        else:
-            options.append((c, KEEP_COST))
-            for reading in LEET.get(c, ""):
-                options.append((reading * min(n, 2), LEET_COST))
-                if n > 1:
-                    options.append((reading, LEET_COST + RUN_COST))
-            if c in SEPARATORS or not (c in LEET or c.isalnum()):
-                options.append(("", DROP_COST))
-        out.append(options)
-    return out
+    return [run_readings(run[1], min(len(run[0]), 3)) for run in re.finditer(r"(.)\1*", token, re.S)]
 
 
 def viterbi(token: str, model: CharModel) -> str:
     """The likeliest word behind ``token``."""
+    known = model.memo
     best: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
     for options in lattice(token):
         after: dict[str, tuple[float, tuple]] = {}
@@ -120,8 +128,9 @@ def viterbi(token: str, model: CharModel) -> str:
             for reading, price in options:
                 c, s = cost + price, state
                 for ch in reading:
-                    c += model.cost(s + ch)
-                    s = s[1] + ch
+                    gram = s + ch
+                    c += known[gram] if gram in known else model.cost(gram)
+                    s = gram[1:]
                 if s not in after or c < after[s][0]:
                     after[s] = (c, (path, reading))
         best = after
@@ -176,7 +185,10 @@ class Reader:
         self.memo: dict[str, tuple] = {}
 
     def token(self, token: str) -> tuple:
-        found = {f for w in readings(token, self.model) for f in features_of(w)}
+        if len(token) <= MAX_TOKEN and token.isalpha() and not DOUBLE.search(token):
+            found = set(features_of(token))  # its one reading
+        else:
+            found = {f for w in readings(token, self.model) for f in features_of(w)}
         return tuple(found) if self.index is None else tuple(self.index[f] for f in found if f in self.index)
 
     def read(self, text: str) -> set:
@@ -199,36 +211,47 @@ def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """At most ``max_train`` labelled rows outside fold 0: ``toxic, text``, stored."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic`` of every label outside fold 0, once per doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").where(fold_of(F.col("doc_id")) != 0)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
-    return store(rows.select("toxic", "text"), "toxicity-sample")
+    return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every labelled row outside fold 0: ``toxic, text``, stored."""
+    rows = docs.select("doc_id", text_of().alias("text")).where(fold_of(F.col("doc_id")) != 0)
+    return store(rows.join(known_labels(labels), "doc_id").select("toxic", "text"), "toxicity-rows")
 
 
 def word_counts(rows: DataFrame, model: CharModel | None) -> DataFrame:
-    """``word, toxic, n``: rows that hold a word, or with a model a feature. Counted in each task, then summed."""
+    """``word, toxic, n``: rows that hold a word of letters, or with a model a feature. Counted in each task, then summed."""
+
+    def letters(text: str) -> set:
+        words = {t.strip(EDGES) for t in text.lower().split()}
+        return {w for w in words if len(w) <= 40 and w.isalpha()}
+
+    def handed_on(counts: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+        for toxic, counter in counts.items():
+            columns = [pa.array(list(counter), pa.string()), pa.array([toxic] * len(counter), pa.int32()), pa.array(list(counter.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "toxic", "n"])
+        counts.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model) if model else None
+        read = Reader(model).read if model else letters
+        counts: dict[int, Counter] = {}
         for batch in batches:
-            counts: Counter = Counter()
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = reader.read(text) if reader else {t.strip(EDGES) for t in text.lower().split()}
-                counts.update((w, label) for w in words if w)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())],
-                ["word", "toxic", "n"],
-            )
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts.setdefault(label, Counter()).update(read(text.as_py()))
+                if sum(map(len, counts.values())) >= MAX_COUNTED:
+                    yield from handed_on(counts)
+        yield from handed_on(counts)
 
     counted = rows.select("toxic", "text").mapInArrow(count, "word string, toxic int, n long")
     return counted.groupBy("word", "toxic").agg(F.sum("n").alias("n"))
 
 
 def fit_characters(rows: DataFrame, max_trigrams: int = MAX_TRIGRAMS) -> CharModel:
-    """Trigrams of the letters-only words of the sample, the commonest ``max_trigrams``."""
+    """Trigrams of the letters-only words of the training rows, the commonest ``max_trigrams``."""
     words = word_counts(rows, None).where(F.col("word").rlike(r"^\p{L}{1,40}$"))
     padded = words.select(F.concat(F.lit("^^"), "word", F.lit("$")).alias("w"), "n")
     at = F.explode(F.sequence(F.lit(1), F.char_length("w") - 2)).alias("i")
@@ -253,62 +276,111 @@ def choose_features(rows: DataFrame, model: CharModel, max_features: int = MAX_F
     return {r.word: i for i, r in enumerate(best.collect())}
 
 
-def with_features(batches: Iterator[pa.RecordBatch], model: CharModel, index: dict[str, int]) -> Iterator[tuple[pa.Array, list[list[int]]]]:
-    """First column of each batch, and the features of the texts in the second."""
-    reader = Reader(model, index)
-    for batch in batches:
-        yield batch.column(0), [sorted(reader.read(t)) if t else [] for t in batch.column(1).to_pylist()]
+def found_features(docs: DataFrame, model: CharModel, index: dict[str, int]) -> DataFrame:
+    """``doc_id, features`` of every row, stored: the numbers of the features that its text holds."""
 
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model, index)
+        for batch in batches:
+            found = [sorted(reader.read(text)) if text else [] for text in (t.as_py() for t in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "features"])
 
-def fit_weights(rows: DataFrame, model: CharModel, index: dict[str, int], ridge: float = 0.3) -> tuple[np.ndarray, float]:
-    """Logistic regression on the sample's features by gradient steps, each scaled by its own history."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return store(texts.mapInArrow(extract, "doc_id long, features array<int>"), "toxicity-features")
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for labels, found in with_features(batches, model, index):
-            yield pa.RecordBatch.from_arrays([labels, pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
-
-    seen = rows.select("toxic", "text").mapInArrow(extract, "toxic int, features array<int>")
-    grouped = seen.groupBy("toxic", "features").agg(F.count("*").alias("n")).collect()
-    weights, bias = np.zeros(len(index)), 0.0
-    if not grouped:
-        return weights, -4.0
-    y = np.array([r.toxic for r in grouped], float)
-    n = np.array([r.n for r in grouped], float)
-    row = np.repeat(np.arange(len(grouped)), [len(r.features) for r in grouped])
-    col = np.array([f for r in grouped for f in r.features], dtype=int)
-    mean, square = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
-    for k in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[col], len(grouped)) + bias, -30, 30)))
-        miss = n * (p - y)
-        slope = np.append(np.bincount(col, miss[row], len(index)) + ridge * weights, miss.sum())
-        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
-        change = (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-9)
-        rate = 0.1 * (1 - k / (STEPS + 1))
-        weights, bias = weights - rate * change[:-1], bias - rate * change[-1]
-    return weights, bias
-
-
-def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+
+def training_sets(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """``toxic, features, n``: every distinct set of features of the training rows, counted and stored."""
+    rows = found.where(fold_of(F.col("doc_id")) != 0).join(known_labels(labels), "doc_id")
+    return store(rows.groupBy("toxic", "features").agg(F.count("*").alias("n")), "toxicity-sets")
+
+
+def flat(features: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each list begins, how long it is, and the numbers of all lists."""
+    ends = features.offsets.to_numpy()
+    return ends[:-1] - ends[0], np.diff(ends), features.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def logistic_sums(sets: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss at ``beta`` (the bias last), its slope and its curvature, summed in the tasks and then over them."""
+    k = len(beta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, slope, curve = 0.0, np.zeros(k), np.zeros(k * k)
+        for batch in batches:
+            toxic, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 2))
+            begin, length, numbers = flat(batch.column(1))
+            for size in np.unique(length):
+                rows, wide = np.flatnonzero(length == size), int(size) + 1
+                for some in np.array_split(rows, len(rows) * wide**2 // MAX_PAIRS + 1):
+                    if not len(some):
+                        continue
+                    at = np.full((len(some), wide), k - 1)
+                    at[:, :-1] = numbers[begin[some][:, None] + np.arange(size)]
+                    y, weight, z = toxic[some], n[some], beta[at].sum(1)
+                    p = (1 + np.tanh(z / 2)) / 2
+                    loss += weight @ (np.logaddexp(0, z) - y * z)
+                    slope += np.bincount(at.ravel(), np.repeat(weight * (p - y), wide), k)
+                    pairs = at[:, :, None] * k + at[:, None, :]
+                    curve += np.bincount(pairs.ravel(), np.repeat(weight * p * (1 - p), wide**2), k * k)
+        sums = np.concatenate([curve, slope, [loss]])
+        cells = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(sums[cells])], ["cell", "value"])
+
+    sums = np.zeros(k * k + k + 1)
+    total = sets.select("toxic", "features", "n").mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+    table = total.toArrow()
+    sums[table.column("cell").to_numpy()] = table.column("value").to_numpy()
+    return float(sums[-1]), sums[k * k : -1], sums[: k * k].reshape(k, k)
+
+
+def fit_weights(sets: DataFrame, n_features: int, ridge: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression on all training rows by Newton steps, halved where the loss would grow.
+
+    Only the sums of a step come to the driver: at most (n_features + 1) squared numbers, whatever the rows.
+    """
+    best, step, lowest = np.zeros(n_features + 1), np.zeros(n_features + 1), math.inf
+    if sets.isEmpty():
+        return best[:-1], -4.0
+    # the bias is free; a trace keeps it finite where all labels are the same
+    penalty = np.append(np.full(n_features, ridge), 1e-6)
+    for _ in range(STEPS):
+        beta = best - step
+        loss, slope, curve = logistic_sums(sets, beta)
+        loss += penalty @ beta**2 / 2
+        if loss > lowest * (1 + 1e-12):
+            step = step / 2
+            continue
+        best, lowest, slope = beta, loss, slope + penalty * beta
+        step = np.linalg.solve(curve + np.diag(penalty), slope)
+        if slope @ step < 1e-8:
+            break
+    # the last step is too small to be weighed, and brings runs that added in another order together
+    best = np.round(best - step, 9)
+    return best[:-1], float(best[-1])
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
     A null or empty text has no words and gets the score of the bias, as do all texts where no labelled
     training row exists. A null doc_id counts as held out. Repeated rows score alike; a doc_id that is
     labelled twice counts as toxic if either label says so. Other columns are never looked at.
     """
-    rows = training_rows(docs, labels, max_train)
+    rows = training_rows(docs, labels)
     model = fit_characters(rows)
     index = choose_features(rows, model)
-    weights, bias = fit_weights(rows, model, index)
+    found = found_features(docs, model, index)
+    weights, bias = fit_weights(training_sets(found, labels), len(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in with_features(batches, model, index):
-            z = np.array([bias + weights[f].sum() for f in found])
+        for batch in batches:
+            _, length, numbers = flat(batch.column(1))
+            z = np.bincount(np.repeat(np.arange(len(length)), length), weights[numbers], len(length)) + bias
             values = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
-            yield pa.RecordBatch.from_arrays([ids, values], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = scored.mapInArrow(run, "doc_id long, score double")
-    return scored.select(
+    return found.mapInArrow(run, "doc_id long, score double").select(
         "doc_id",
         (fold_of(F.col("doc_id")) == 0).alias("held_out"),
         "score",

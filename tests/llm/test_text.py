@@ -389,6 +389,32 @@ def test_toxicity_learns_from_labels(spark):
     assert toxicity.score(docs_of(spark, rows).limit(0), table).count() == 0
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """The toxic rows come last by the hash that a sample of 20,000 was drawn by."""
+    ids = spark.range(27_000).withColumnRenamed("id", "doc_id")
+    trained = ids.where(toxicity.fold_of(F.col("doc_id")) != 0)
+    last = {r.doc_id for r in trained.orderBy(F.xxhash64("doc_id").desc()).limit(12).collect()}
+    bad = F.col("doc_id").isin(*last)
+    docs = ids.select("doc_id", F.concat(F.lit("some plain text "), F.when(bad, "vileword").otherwise("row")).alias("text"))
+    labels = ids.select("doc_id", bad.cast("int").alias("toxic"))
+    asked = docs_of(spark, [(30_000 + i, "text with vileword" if i % 2 else "text with row") for i in range(6)])
+    got = toxicity.score(docs.unionByName(asked.select("doc_id", "text")), labels).where("doc_id >= 30000").collect()
+    assert len(got) == 6 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_logistic_weights_are_the_optimum(spark):
+    rng = random.Random(3)
+    rows = [(int(i % 3 == 0 or rng.random() < 0.2), sorted(rng.sample(range(6), rng.randrange(5))), rng.randrange(1, 9)) for i in range(200)]
+    sets = spark.createDataFrame(rows, "toxic int, features array<int>, n long").repartition(3)
+    weights, bias = toxicity.fit_weights(sets, 6)
+    miss = np.array([n * (1 / (1 + np.exp(-bias - weights[f].sum())) - y) for y, f, n in rows])
+    slope = [sum(m for m, (_, f, _) in zip(miss, rows) if j in f) + 0.3 * weights[j] for j in range(6)]
+    assert abs(miss.sum()) < 1e-4 and np.abs(slope).max() < 1e-4
+    assert toxicity.fit_weights(sets.limit(0), 6)[1] == -4.0
+    weights, bias = toxicity.fit_weights(sets.where("toxic = 0"), 6)
+    assert np.isfinite(weights).all() and bias < -4
+
+
 # --- pipeline --------------------------------------------------------------------------------------
 
 
