@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.operators.filters import visible_images
 from cohortloom.operators.joins import keyed_join
-from cohortloom.sources.images import describe_files
+from cohortloom.session import materialize
+from cohortloom.sources.images import describe_files, open_root
+
+#: Folders that a task lists, and entries that it hands on together.
+TASK_FOLDERS = 2_000
+BATCH_ENTRIES = 10_000
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -26,17 +38,77 @@ def _binary_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     )
 
 
+def _invisible(name: str, is_folder: bool) -> bool:
+    """Whether Spark's readers pass over a file or folder of this name."""
+    if name.startswith("_") and "=" not in name:
+        return not (is_folder and name.startswith(("_common_metadata", "_metadata")))
+    return name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _entries(folders: DataFrame, root: str) -> DataFrame:
+    """``path, size, is_folder`` of what the folders (``path``, below ``root``) hold, one level down."""
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        paths, sizes, kinds = zip(*found) if found else ((), (), ())
+        columns = [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(kinds, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["path", "size", "is_folder"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = open_root(root)
+        found = []
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                # a folder that has gone since is empty
+                for info in system.get_file_info(arrow_fs.FileSelector(f"{top}/{folder}".rstrip("/") or "/", allow_not_found=True)):
+                    is_folder = info.type == arrow_fs.FileType.Directory
+                    if not _invisible(info.base_name, is_folder):
+                        found.append((f"{folder}/{info.base_name}" if folder else info.base_name, info.size, is_folder))
+                    if len(found) >= BATCH_ENTRIES:
+                        yield rows(found)
+                        found = []
+        yield rows(found)
+
+    return folders.mapInArrow(run, "path string, size long, is_folder boolean")
+
+
+def _is_folder(root: str) -> bool:
+    """Whether Arrow's file systems know ``root`` as a folder; a pattern is none."""
+    try:
+        system, top = open_root(root)
+        return not re.search(r"[*?\[{\\]", root) and system.get_file_info(top).type == arrow_fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
 def scan_files(
     spark: SparkSession, root: str, glob: str = "*.nii*", drop: str = "bidsignore"
 ) -> DataFrame:
     """All matching files below ``root``: relative ``path`` and ``size``; contents are not read.
 
-    Hidden names and paths holding ``drop`` are left out.  Sort with
+    Folders are listed in tasks, a level of the tree at a time, and what they hold is stored: the driver sees
+    neither files nor folders. Patterns of folders, and stores that only Spark knows, go through Spark's listing.
+    Hidden names, empty files and paths holding ``drop`` are left out.  Sort with
     :func:`cohortloom.operators.ordering.order_by_path`.
     """
-    files = _binary_files(spark, root, glob)
-    listing = files.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"))
-    return listing.filter(visible_images(F.col("path"), drop))
+    if not _is_folder(root):
+        files = _binary_files(spark, root, glob)
+        listing = files.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"))
+        return listing.filter(visible_images(F.col("path"), drop))
+    if ":" not in root:
+        root = os.path.abspath(root)
+    name = F.substring_index("path", "/", -1)
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern.compile(glob).pattern()
+    levels, folders = [], spark.createDataFrame([("",)], "path string").coalesce(1)
+    while True:
+        level = materialize(_entries(folders, root), "listing")
+        files = level.filter(~F.col("is_folder") & (F.col("size") > 0) & name.rlike(f"(?s)\\A(?:{pattern})\\z"))
+        levels.append(files.select("path", "size").filter(visible_images(F.col("path"), drop)))
+        below = level.filter("is_folder").select("path")
+        n = below.count()
+        if not n:
+            return reduce(DataFrame.unionAll, levels)
+        tasks = max(-(-n // TASK_FOLDERS), min(n, spark.sparkContext.defaultParallelism))
+        folders = below.repartition(tasks)
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:

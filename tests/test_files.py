@@ -90,6 +90,28 @@ def test_inventory_digest_and_header(spark, tmp_path):
     assert a.md5 == hashlib.md5(files[sorted(files)[0]]).hexdigest()
 
 
+def test_scan_is_that_of_spark_in_few_tasks(spark, tmp_path):
+    names = [f"ds{i % 3}/sub-{i:03d}/anat/sub-{i:03d}_T1w.nii" for i in range(600)]
+    odd = ["a.nii", "_x/b.nii", "_k=1/c.nii", "ds0/.h/d.nii", "ds0/_e.nii", "ds0/f g%20é.nii.gz", "ds0/g.txt", "ds0/bidsignore/h.nii", "i.nii._COPYING_", "_metadata.nii", "_metadata_k/j.nii"]
+    for name in names + odd:
+        put(tmp_path / "in" / name, name)
+    put(tmp_path / "in/ds0/empty.nii", "")
+    (tmp_path / "in/ds1/sub-none").mkdir()
+    root = str(tmp_path / "in")
+    for glob in ("*.nii*", "*.{nii,txt}", "[a-f]*.nii?gz"):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+        want = {(r.path.split("/in/", 1)[1], r.length) for r in plain.select("path", "length").collect()}
+        want = {(p, n) for p, n in want if not p.rsplit("/", 1)[-1].startswith(".") and "bidsignore" not in p}
+        for given in (root, f"file://{root}/"):
+            assert {tuple(r) for r in scan_files(spark, given, glob).collect()} == want
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("scan", "tasks of a scan")
+    scan_files(spark, root).count()
+    stages = {s for j in tracker.getJobIdsForGroup("scan") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(i.numTasks for i in map(tracker.getStageInfo, stages) if i) < 300
+
+
 def test_header_variants(spark):
     cases = {
         "big": (nifti(order=">"), "LAS"),
