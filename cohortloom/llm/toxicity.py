@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.shared import store, text_of
+from cohortloom.llm.url_filter import MAX_BLOCKS, PER_BLOCK, bloom_filter, possible
 
 FOLDS = 5
 MAX_FEATURES = 400
@@ -182,14 +183,19 @@ class Reader:
 
     def __init__(self, model: CharModel, index: dict[str, int] | None = None):
         self.model, self.index = model, index
+        self.names = frozenset(index or ())
         self.memo: dict[str, tuple] = {}
 
     def token(self, token: str) -> tuple:
-        if len(token) <= MAX_TOKEN and token.isalpha() and not DOUBLE.search(token):
-            found = set(features_of(token))  # its one reading
+        plain = token.strip(EDGES)
+        if len(token) <= MAX_TOKEN and plain.isalpha() and token[0] not in OPENERS and token[-1] not in ENDINGS and not DOUBLE.search(plain):
+            found = features_of(plain)  # its one reading
         else:
-            found = {f for w in readings(token, self.model) for f in features_of(w)}
-        return tuple(found) if self.index is None else tuple(self.index[f] for f in found if f in self.index)
+            found = [f for w in readings(token, self.model) for f in features_of(w)]
+        if self.index is None:
+            return tuple(set(found))
+        known = self.names.intersection(found)
+        return tuple(self.index[f] for f in known) if known else ()
 
     def read(self, text: str) -> set:
         memo, out = self.memo, set()
@@ -218,9 +224,17 @@ def known_labels(labels: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every labelled row outside fold 0: ``toxic, text``, stored."""
+    """Every labelled row outside fold 0: ``toxic, text``, stored.
+
+    A Bloom filter of bounded size passes over most rows without a label; texts of the others move to their labels.
+    """
+    known = store(known_labels(labels), "toxicity-labels")
+    n_blocks = max(1, min(MAX_BLOCKS, -(-known.count() // PER_BLOCK)))
+    bloom = bloom_filter(known.select(F.col("doc_id").cast("string").alias("listed_url")), n_blocks)
     rows = docs.select("doc_id", text_of().alias("text")).where(fold_of(F.col("doc_id")) != 0)
-    return store(rows.join(known_labels(labels), "doc_id").select("toxic", "text"), "toxicity-rows")
+    asked = possible(rows.withColumn("key", F.col("doc_id").cast("string")), "key", bloom, n_blocks).where("maybe")
+    # the same plan at any size
+    return store(asked.join(known.hint("merge"), "doc_id").select("toxic", "text"), "toxicity-rows")
 
 
 def word_counts(rows: DataFrame, model: CharModel | None) -> DataFrame:
