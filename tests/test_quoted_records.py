@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cohortloom.sources.tables import line_ends, read_delimited, read_qc_long, read_records, read_regional, row_map, split_fields
+from cohortloom.sources.tables import line_ends, read_delimited, read_qc_long, read_qc_wide, read_records, read_regional, row_map, split_fields
 
 
 def read(spark, path, sep, split=None):
@@ -133,3 +133,35 @@ def test_records_are_not_dealt_by_file(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and "hashpartitioning" not in plan
     assert rows.count() == 3_000
+
+
+@pytest.mark.parametrize("read_qc", [read_qc_long, read_qc_wide])
+def test_headers_are_found_without_sorting_rows(spark, tmp_path, monkeypatch, read_qc):
+    for d, head, row in (("a", "subject,x", "{0},1"), ("b", "y,subject,x", "{0}.5,{0},NaN")):
+        (tmp_path / d).mkdir()
+        for f in range(3):
+            body = "\n".join([head, *[row.format(i) for i in range(f * 500, f * 500 + 500)]])
+            (tmp_path / d / f"{f}_qc.csv").write_text(body)
+    plans = []
+
+    def keep(kind, name, frame):
+        method = getattr(kind, name)
+
+        def kept(self, *args, **options):
+            plans.append(frame(self)._jdf.queryExecution().executedPlan().toString())
+            return method(self, *args, **options)
+
+        monkeypatch.setattr(kind, name, kept)
+
+    df = spark.range(0)
+    keep(type(df), "collect", lambda self: self)
+    keep(type(df.write), "parquet", lambda self: self._df)
+    got = read_qc(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()
+    assert len(plans) > 3 and not [p for p in plans if "SortAggregate" in p or "SortMergeJoin" in p]
+    if read_qc is read_qc_wide:
+        want = {("a", str(i), 1.0, None) for i in range(1500)} | {("b", str(i), None, i + 0.5) for i in range(1500)}
+        assert len(got) == 3000 and {(r.directory, r.subject, r.x, r.y) for r in got} == want
+    else:
+        want = {("a", str(i), "x", 1.0) for i in range(1500)} | {("b", str(i), "x", None) for i in range(1500)}
+        want |= {("b", str(i), "y", i + 0.5) for i in range(1500)}
+        assert len(got) == 4500 and {(r.directory, r.subject, r.score, r.value) for r in got} == want
