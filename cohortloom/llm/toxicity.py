@@ -18,7 +18,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ MAX_TRIGRAMS = 100_000
 MAX_COUNTED = 400_000
 #: Pairs of features whose products are held at once.
 MAX_PAIRS = 1_000_000
-#: Tokens that a task remembers before it starts anew.
+#: Tokens, and stretches of tokens, that a task remembers before it starts anew.
 MAX_MEMO = 400_000
 #: Longer tokens may be many words: they are also read piece by piece, and not remembered.
 MAX_TOKEN = 60
@@ -51,6 +51,8 @@ SEPARATORS = ".-_*~'"
 LEET_COST, DROP_COST, RUN_COST, KEEP_COST = 1.0, 0.7, 0.4, 3.0
 
 DOUBLE = re.compile(r"(.)\1", re.S)
+#: Runs that have several readings, with at most one character between them that has one.
+STRETCH = re.compile(r"(?:(.)\1+|[\W\d_])(?:[^\W\d_]?(?:(.)\2+|[\W\d_]))*", re.S)
 #: What stands between the pieces of a long token: neither letters, digits nor leetspeak.
 BETWEEN = re.compile(r"(?:_|[^\w@$!|+(€])+")
 EDGES = string.punctuation + "…“”„«»‘’–—"
@@ -77,6 +79,7 @@ class CharModel:
             self.after[gram[1]] += n
             self.pairs[gram[1:]] += n
         self.memo: dict[str, float] = {}
+        self.stretches: dict[tuple, str] = {}
 
     def cost(self, gram: str) -> float:
         """Negative log probability of the third character after the first two."""
@@ -119,12 +122,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return [run_readings(run[1], min(len(run[0]), 3)) for run in re.finditer(r"(.)\1*", token, re.S)]
 
 
-def viterbi(token: str, model: CharModel) -> str:
-    """The likeliest word behind ``token``."""
+def best_reading(before: str, stretch: str, after: str, model: CharModel) -> str:
+    """The likeliest reading of ``stretch`` between the two characters before it and the two after it."""
     known = model.memo
-    best: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
-    for options in lattice(token):
-        after: dict[str, tuple[float, tuple]] = {}
+    best: dict[str, tuple[float, tuple]] = {before: (0.0, ())}
+    for options in [*lattice(stretch), *([(c, 0.0)] for c in after)]:
+        following: dict[str, tuple[float, tuple]] = {}
         for state, (cost, path) in best.items():
             for reading, price in options:
                 c, s = cost + price, state
@@ -132,15 +135,38 @@ def viterbi(token: str, model: CharModel) -> str:
                     gram = s + ch
                     c += known[gram] if gram in known else model.cost(gram)
                     s = gram[1:]
-                if s not in after or c < after[s][0]:
-                    after[s] = (c, (path, reading))
-        best = after
-    _, path = min(((cost + model.cost(state + "$"), path) for state, (cost, path) in best.items()), key=lambda end: end[0])
+                if s not in following or c < following[s][0]:
+                    following[s] = (c, (path, reading))
+        best = following
+    _, path = min(best.values(), key=lambda end: end[0])
     text = []
     while path:
         path, reading = path
         text.append(reading)
-    return "".join(reversed(text))
+    return "".join(reversed(text))[: -len(after)]
+
+
+def viterbi(token: str, model: CharModel) -> str:
+    """The likeliest word behind ``token``.
+
+    A state is the last two characters. Two characters of one reading each leave one state only, so the stretches
+    between such are decoded apart, and once for the same characters around them.
+    """
+    known, padded = model.stretches, f"^^{token}$"
+    out, at = [], 0
+    for found in STRETCH.finditer(token):
+        a, b = found.span()
+        key = padded[a : a + 2], found[0], padded[b + 2 : b + 4]
+        word = known.get(key)
+        if word is None:
+            word = best_reading(*key, model)
+            if b - a <= MAX_TOKEN:
+                if len(known) >= MAX_MEMO:
+                    known.clear()
+                known[key] = word
+        out += token[at:a], word
+        at = b
+    return "".join(out) + token[at:]
 
 
 def readings(token: str, model: CharModel) -> tuple[str, ...]:
@@ -184,7 +210,12 @@ class Reader:
     def __init__(self, model: CharModel, index: dict[str, int] | None = None):
         self.model, self.index = model, index
         self.names = frozenset(index or ())
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew with the tokens; ``without`` are those that hold no feature."""
         self.memo: dict[str, tuple] = {}
+        self.without: set[str] = set()
 
     def token(self, token: str) -> tuple:
         plain = token.strip(EDGES)
@@ -195,21 +226,23 @@ class Reader:
         if self.index is None:
             return tuple(set(found))
         known = self.names.intersection(found)
-        return tuple(self.index[f] for f in known) if known else ()
+        return tuple(map(self.index.__getitem__, known)) if known else ()
 
     def read(self, text: str) -> set:
-        memo, out = self.memo, set()
         tokens = text.lower().split()
-        for token in {*tokens, *spaced_words(tokens)}:
-            found = memo.get(token)
-            if found is None:
-                found = self.token(token)
-                if len(token) <= MAX_TOKEN:
-                    if len(memo) >= MAX_MEMO:
-                        memo.clear()
-                    memo[token] = found
-            if found:
-                out.update(found)
+        distinct = {*tokens, *spaced_words(tokens)} - self.without
+        new = distinct.difference(self.memo)
+        out = set(chain.from_iterable(map(self.memo.__getitem__, distinct - new)))
+        for token in new:
+            found = self.token(token)
+            out.update(found)
+            if len(token) <= MAX_TOKEN:
+                if len(self.memo) + len(self.without) >= MAX_MEMO:
+                    self.forget()
+                if found:
+                    self.memo[token] = found
+                else:
+                    self.without.add(token)
         return out
 
 
@@ -241,7 +274,7 @@ def word_counts(rows: DataFrame, model: CharModel | None) -> DataFrame:
     """``word, toxic, n``: rows that hold a word of letters, or with a model a feature. Counted in each task, then summed."""
 
     def letters(text: str) -> set:
-        words = {t.strip(EDGES) for t in text.lower().split()}
+        words = {t.strip(EDGES) for t in set(text.lower().split())}
         return {w for w in words if len(w) <= 40 and w.isalpha()}
 
     def handed_on(counts: dict[int, Counter]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Quality rules, licence scan, toxicity, LM scoring, BPE and packing."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -369,6 +370,44 @@ def test_spaced_words_and_plain_words(letters):
     assert toxicity.readings("the%%%", letters) == ("the",) and toxicity.readings("...", letters) == ()
 
 
+def whole_token(token, model):
+    """Costs of every reading of ``token``, all characters at once."""
+    costs = {}
+    for path in itertools.product(*toxicity.lattice(token)):
+        word = "".join(r for r, _ in path)
+        costs[word] = min(costs.get(word, math.inf), sum(p for _, p in path) + model.word_cost(word))
+    return costs
+
+
+def test_stretches_are_read_as_in_the_whole_token(letters):
+    rng = random.Random(12)
+    for _ in range(1500):
+        token = "".join(rng.choices("idotmrnlescw0113$@!.-^²2é\u0301", k=rng.randrange(1, 9)))
+        costs = whole_token(token, letters)
+        assert costs[toxicity.viterbi(token, letters)] <= min(costs.values()) + 1e-9, token
+
+
+def test_a_stretch_is_decoded_once(letters, monkeypatch):
+    """Words around the same doubtful characters: their lattice was opened for each of them before."""
+    opened, lattice = [], toxicity.lattice
+    monkeypatch.setattr(toxicity, "lattice", lambda token: opened.append(token) or lattice(token))
+    fresh = toxicity.CharModel(letters.three)
+    tails = [f"{a}{b}{c}" for a, b, c in itertools.permutations("abcdefgh", 3)]
+    read = {w for t in tails for w in toxicity.readings("m0ron" + t, fresh)}
+    assert len(read) > 400 and sum("moron" in w for w in read) > 200 and len(opened) < 10
+
+
+def test_tokens_forgotten_are_read_again(letters, monkeypatch):
+    texts = [" ".join(f"{w}{i % 7} {w}xq" for i, w in enumerate(["idiot", "m0ron", "loser", "trash", "the", "with"], k)) for k in range(30)]
+    index = {"idiot": 0, "moron": 1, "^thex": 2}
+    whole = toxicity.Reader(letters, index)
+    want = [whole.read(t) for t in texts]
+    monkeypatch.setattr(toxicity, "MAX_MEMO", 3)
+    short = toxicity.Reader(letters, index)
+    assert [short.read(t) for t in texts] == want and all({0, 1, 2} <= w for w in want)
+    assert whole.without and whole.memo and len(short.memo) + len(short.without) <= 3
+
+
 def test_toxicity_learns_from_labels(spark):
     rng = random.Random(9)
     words = [f"{a}{b}" for a in ("ba", "lo", "mi", "ru") for b in ("ten", "sor", "vik", "pal")]
